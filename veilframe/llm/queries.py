@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import bpe, lengths, simhash
+from veilframe.llm import ann, bpe, lengths, mixing, simhash
 from veilframe.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -21,6 +21,12 @@ def query(f):
     return f
 
 
+@query
+def op1_vantage_point_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=ann.FACTOR)
+
+
 @query
 def op5_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("text")
@@ -34,6 +40,14 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+@query
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_source_mix"] = mixing.ORACLE
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
