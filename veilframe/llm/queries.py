@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import ann, bpe, lengths, mixing, simhash
+from veilframe.llm import ann, bpe, lengths, mixing, quality, simhash
 from veilframe.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -27,6 +27,11 @@ def op1_vantage_point_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=ann.FACTOR)
 
 
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=quality.SAMPLE)
+
+
 @query
 def op5_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("text")
