@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import ann, bpe, lengths, mixing, quality, simhash
+from veilframe.llm import ann, bpe, lengths, mixing, pii, quality, simhash
 from veilframe.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -53,6 +53,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op7_source_mix"] = mixing.ORACLE
 
 
+@query
+def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), support=pii.SUPPORT, confident=pii.CONFIDENT)
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
