@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import ann, bpe, lengths, mixing, pii, quality, simhash
+from veilframe.llm import ann, bpe, lengths, licenses, mixing, pii, quality, simhash, urlfilter
 from veilframe.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -27,6 +27,14 @@ def op1_vantage_point_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=ann.FACTOR)
 
 
+@query
+def op2_url_link_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"), urlfilter.RULES)
+
+
+ORACLES["op2_url_link_filter"] = urlfilter.oracle()
+
+
 @query
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=quality.SAMPLE)
@@ -62,3 +70,11 @@ def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.digests(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+
+
+@query
+def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+
+
+ORACLES["op10_license_digests"] = licenses.oracle()
