@@ -58,7 +58,7 @@ def test_against_brute_force(spark):
     want = slow_components([(i, f) for (i, _), f in zip(docs, fps, strict=True)], 4)
     order = lambda rows: sorted(rows, key=str)
     assert order((r.doc_id, r.fp, r.component_id) for r in got) == order((i, f"{f:016x}", w) for (i, _), f, w in zip(docs, fps, want, strict=True))
-    kept = simhash.representatives(df, 4, 4)
+    kept = simhash.representatives(df, 4, 4, None)
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(w) for w in want})
 
@@ -82,3 +82,25 @@ def test_long_chain_and_empty(spark):
     assert {(r.node, r.root) for r in components(chain).collect()} == {(i, 0) for i in range(1, 41)}
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(none).count() == 0
+
+
+def test_similarity_is_checked(spark):
+    docs = [(i, t) for i, t in documents() if i is not None]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5, 14, 0.8).collect()}
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in docs for w in [(t or "").lower().split()]}
+    fps = {i: slow_fingerprint(t, 5) for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            near = bin(fps[i] ^ fps[j]).count("1")
+            if i < j and (near == 0 or near <= 14 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert got == {i: find(i) for i in sets}

@@ -34,6 +34,8 @@ SEED = 42
 TILE = 65_536
 #: Rows of one block inside a tile.
 BLOCK = 256
+#: Spanning forests without common links, for each half of the radius, where links are tested afterwards.
+DISJOINT = 6
 
 
 def text_fingerprint(text: str | None, width: int) -> int:
@@ -78,12 +80,16 @@ class _Forest:
         self.label = np.arange(n)
         self.links: list[tuple[int, int]] = []
 
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+    def add(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Takes those of the links (i, j) that tie components, earlier ones first; returns which were taken."""
+        taken = np.zeros(len(i), bool)
         a, b = self.label[i], self.label[j]
-        differ = a != b
-        if not differ.any():
-            return
-        low, high = np.minimum(a, b)[differ], np.maximum(a, b)[differ]
+        differ = np.flatnonzero(a != b)
+        if not len(differ):
+            return taken
+        a, b = a[differ], b[differ]
+        key, first = np.unique(np.minimum(a, b).astype(np.int64) * len(self.label) + np.maximum(a, b), return_index=True)
+        order = np.argsort(first)
         parent: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -92,21 +98,18 @@ class _Forest:
                 x = up
             return x
 
-        for x, y in zip(*(v.tolist() for v in _pairs(low, high, len(self.label))), strict=True):
-            x, y = find(x), find(y)
+        for k, at in zip(key[order].tolist(), differ[first[order]].tolist(), strict=True):
+            x, y = find(k // len(self.label)), find(k % len(self.label))
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                self.links.append((min(x, y), max(x, y)))
+                self.links.append((int(i[at]), int(j[at])))
+                taken[at] = True
         if parent:
             to = np.arange(len(self.label))
             for x in parent:
                 to[x] = find(x)
             self.label = to[self.label]
-
-
-def _pairs(low: np.ndarray, high: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    key = np.unique(low.astype(np.int64) * n + high)
-    return key // n, key % n
+        return taken
 
 
 def _blocks(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -118,14 +121,19 @@ def _blocks(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return order, starts, np.minimum.reduceat(quarters, starts), np.maximum.reduceat(quarters, starts)
 
 
-def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarray:
-    """A spanning forest of the links within ``left``, or between it and ``right``: an array of value pairs."""
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, disjoint: int = 0) -> np.ndarray:
+    """Links within ``left``, or between it and ``right``, that tie what all links tie: an array of value pairs.
+
+    With ``disjoint`` 0 a spanning forest. Else, for a later test of the links that drops some, so many
+    spanning forests without common links for each half of the radius: all links of a row that has no
+    more than ``disjoint`` in a half, and for rows in dense groups as many separate ways, nearest first.
+    """
     own = right is None
     order, starts, least, most = _blocks(left)
     order2, starts2, least2, most2 = (order, starts, least, most) if own else _blocks(right)
     x, y = left[order], (left if own else right)[order2]
     shift = 0 if own else len(x)
-    forest = _Forest(len(x) + (0 if own else len(y)))
+    forests = [[_Forest(len(x) + (0 if own else len(y))) for _ in range(disjoint or 1)] for _ in range(2 if disjoint else 1)]
     for k, start in enumerate(starts.tolist()):
         gap = np.maximum(least2 - most[k], least[k] - most2)
         near = np.flatnonzero(np.maximum(gap, 0).sum(axis=1) <= radius)
@@ -136,26 +144,39 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.nd
             if not len(other):
                 continue
             places = np.concatenate([np.arange(s, min(s + BLOCK, len(y))) for s in starts2[other].tolist()])
-            i, j = np.nonzero(np.bitwise_count(a[:, None] ^ y[places][None, :]) <= radius)
-            forest.add(i + start, places[j] + shift)
+            differ = np.bitwise_count(a[:, None] ^ y[places][None, :])
+            i, j = np.nonzero(differ <= radius)
+            if own:
+                i, j = i[(up := i + start < places[j])], j[up]
+            if not disjoint:
+                forests[0][0].add(i + start, places[j] + shift)
+                continue
+            bits = differ[i, j]
+            order = np.argsort(bits, kind="stable")
+            i, j, far = i[order] + start, places[j[order]] + shift, bits[order] > radius * 2 // 3
+            for half, some in zip(forests, (~far, far), strict=True):
+                p, q = i[some], j[some]
+                for forest in half:
+                    rest = ~forest.add(p, q)
+                    p, q = p[rest], q[rest]
     both = x if own else np.concatenate((x, y))
-    return both[np.array(forest.links, dtype=np.int64).reshape(-1, 2)]
+    return both[np.array([link for half in forests for f in half for link in f.links], dtype=np.int64).reshape(-1, 2)]
 
 
-def _task(radius: int):
+def _task(radius: int, disjoint: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf["fp"].to_numpy(np.int64)[pdf["side"].to_numpy() == 0].view(np.uint64)
         second = pdf["fp"].to_numpy(np.int64)[pdf["side"].to_numpy() == 1].view(np.uint64)
         own = bool(pdf["own"].iloc[0])
         if not own and not (len(first) and len(second)):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        found = tile_links(first, None if own else second, radius).view(np.int64)
+        found = tile_links(first, None if own else second, radius, disjoint).view(np.int64)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     return run
 
 
-def links(distinct_fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
+def links(distinct_fps: DataFrame, radius: int = 4, tile: int = TILE, disjoint: int = 0) -> DataFrame:
     """(a, b): a spanning set of the links between distinct fingerprints ``fp`` at ``radius`` or fewer differing bits."""
     levels = distinct_fps.select("fp", F.bit_count("fp").cast("long").alias("level"))
     sizes = levels.groupBy("level").count().select("level", F.ceil(F.col("count") / tile).cast("long").alias("parts"))
@@ -172,14 +193,50 @@ def links(distinct_fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFra
     first = grid.select(task.alias("task"), own.alias("own"), F.lit(0).alias("side"), F.col("l1").alias("level"), F.col("p1").alias("part"))
     second = grid.where(~own).select(task.alias("task"), F.lit(False).alias("own"), F.lit(1).alias("side"), F.col("l2").alias("level"), F.col("p2").alias("part"))
     met = tiles.join(first.union(second), ["level", "part"]).select("task", "own", "side", "fp")
-    return met.groupBy("task").applyInPandas(_task(radius), "a long, b long")
+    return met.groupBy("task").applyInPandas(_task(radius, disjoint), "a long, b long")
+
+
+def _shingle_hashes(text: str | None, width: int) -> list[int]:
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    return [xxhash.xxh64_intdigest(x, SEED) - (1 << 63) for x in {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}]
+
 
+def similar(found: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those links of ``found`` whose texts share ``similarity`` or more of their different shingles (Jaccard).
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): one row per row of ``docs``; component_id is the smallest doc_id reachable over links."""
-    marked = written(fingerprints(docs, width, doc_id, text), "fingerprints")
+    A fingerprint's text is that of its smallest id. Only texts at the ends of links are read again.
+    """
+    ends = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    asked = ends.join(classes, "fp").select(F.col("fp").alias("_fp"), "least_id")
+    rows = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("_fp", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = [k for k in range(len(fp)) if text_fingerprint(text[k], width) == fp[k]]  # ids may repeat: only the fingerprint's own text
+            sets = [_shingle_hashes(text[k], width) for k in keep]
+            yield pa.RecordBatch.from_arrays([pa.array([fp[k] for k in keep], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "s"])
+
+    sets = written(rows.mapInArrow(run, "fp long, s array<long>").dropDuplicates(["fp"]), "shingles")
+    both = found.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, similarity: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id): one row per row of ``docs``; component_id is the smallest doc_id reachable over links.
+
+    ``similarity``: links within ``radius`` count only if their texts are that similar; equal fingerprints always link.
+    """
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    marked = written(fingerprints(docs, width), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
-    roots = components(links(classes.select("fp"), radius))
+    found = links(classes.select("fp"), radius, disjoint=0 if similarity is None else DISJOINT)
+    if similarity is not None:
+        found = similar(written(found.distinct(), "candidates"), classes, docs, width, similarity)
+    roots = components(found)
     placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
@@ -191,13 +248,12 @@ def hexadecimal(fp) -> F.Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def representatives(docs: DataFrame, width: int, radius: int) -> DataFrame:
+def representatives(docs: DataFrame, width: int = 5, radius: int = 14, similarity: float | None = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: of each component, the one with the smallest doc_id.
 
-    Of rows that share this id one stays (the one with the least text by its hash). Rows without
-    an id stay only if no row of their component has one, and then one of them does.
+    Of rows that share this id one stays. Rows without an id stay only if no row of their component
+    has one, and then one of them does.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]))
-    named = near_duplicates(keyed, width, radius).select("doc_id", "component_id").where("doc_id <=> component_id").groupBy("doc_id", "component_id").count()
-    kept = keyed.join(named.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    stay = near_duplicates(docs, width, radius, similarity).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
