@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilframe.functions.checks import digits, id_holds, id_verified
-from veilframe.functions.patterns import CHECKED_IDS, COLUMN_HEADERS, CONFIDENCE, CONTENT_PATTERNS, HAS_VALUE, ID_LABEL, ID_PATTERNS, ID_SEVERITY, PHONE_DIGITS, PHONE_DIGITS_WITH_CODE, PLACEHOLDER, SPACE, java
+from veilframe.functions.patterns import CHECKED_IDS, COLUMN_HEADERS, CONFIDENCE, CONTENT_PATTERNS, CUES, HAS_VALUE, ID_LABEL, ID_PATTERNS, ID_SEVERITY, PHONE_DIGITS, PHONE_DIGITS_WITH_CODE, PLACEHOLDER, SPACE, java
 
 HIT = "struct<category:string,confidence:double,reason:string>"
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
@@ -116,10 +116,8 @@ def classify_text(text: Column, given_names: Sequence[str] = ()) -> Column:
     by_id = let(strongest_id(found_ids(text)), lambda b: F.when(b.isNotNull(), hit("id_number", F.when(b["verified"], CONFIDENCE["checksum"]).otherwise(CONFIDENCE["pattern"]), F.concat(F.lit("visible text matched "), described_id(b), F.lit(" format")))))
     out = F.when(F.lit(False), F.lit(None).cast(HIT))
     for category, pattern in CONTENT_PATTERNS.items():
-        fits = text.rlike(java(pattern))
-        if category == "email":
-            fits = text.contains("@") & fits
-        elif category == "phone":
+        fits = text.rlike(java(CUES[category])) & text.rlike(java(pattern))
+        if category == "phone":
             fits = fits & phone_credible(F.regexp_extract(text, java(pattern), 0))
         out = out.when(fits, hit(category, CONFIDENCE["pattern"], f"visible text matched {category} format"))
     if given_names:
@@ -152,16 +150,16 @@ def _scrub_phones(text: Column) -> Column:
 
 def scrub_content(text: Column) -> Column:
     """Content patterns replaced in order, each phone only if it is credible."""
-    for category, pattern in CONTENT_PATTERNS.items():
-        if category == "phone":
-            text = let(text, lambda t: F.when(t.rlike(java(CONTENT_PATTERNS["phone"])), _scrub_phones(t)).otherwise(t))
-        elif category == "email":
-            text = let(text, lambda t: F.when(t.contains("@"), F.regexp_replace(t, java(CONTENT_PATTERNS["email"]), PLACEHOLDER["email"])).otherwise(t))
-        else:
-            text = F.regexp_replace(text, java(pattern), PLACEHOLDER[category])
+    for category in CONTENT_PATTERNS:
+        text = let(text, _scrub_one(category))
     return text
 
 
+def _scrub_one(category: str):
+    replaced = _scrub_phones if category == "phone" else lambda t: F.regexp_replace(t, java(CONTENT_PATTERNS[category]), PLACEHOLDER[category])
+    return lambda t: F.when(t.rlike(java(CUES[category])), replaced(t)).otherwise(t)
+
+
 def scrub_text(text: Column, given_names: Sequence[str] = ()) -> Column:
     """Text with tokens for identifiers (by value, everywhere), content patterns and known names."""
     out = scrub_content(_replace_all(text, F.transform(id_spans(text), lambda s: s["value"]), PLACEHOLDER["id_number"]))
