@@ -12,7 +12,7 @@ from veilframe.tables import table
 
 NOW_MS = 1_706_659_200_000  # 31 January 2024, 00:00 UTC
 
-_AUDIT_SQL = """(SELECT user_id AS device_id, event_id AS entry_id, epoch_ms(ts) AS "at", CASE WHEN event_type IN ('click', 'purchase') THEN 'run' ELSE 'scan' END AS kind,
+_AUDIT_SQL = """(SELECT user_id AS device_id, event_id AS entry_id, (epoch_us(ts) // 1000)::BIGINT AS "at", CASE WHEN event_type IN ('click', 'purchase') THEN 'run' ELSE 'scan' END AS kind,
   event_type IN ('purchase', 'signup') AS transmitted, floor(value)::BIGINT AS total, value AS duration_ms, event_type FROM events)"""
 
 
