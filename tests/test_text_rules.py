@@ -11,19 +11,26 @@ def one(spark, value, f):
     return spark.createDataFrame([(value,)], "t string").select(f(F.col("t")).alias("r")).first().r
 
 
-@pytest.mark.parametrize(("number", "good"), [("234567890124", True), ("234567890125", False), ("234567809124", False), ("", False)])
-def test_verhoeff(spark, number, good):
-    assert one(spark, number, checks.verhoeff_valid) is good
+def every(spark, values, f):
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, t string").select("i", f(F.col("t")).alias("r"))
+    return [r.r for r in rows.orderBy("i").collect()]
 
 
-@pytest.mark.parametrize(("number", "good"), [("4539578763621486", True), ("4539578763621487", False)])
-def test_luhn(spark, number, good):
-    assert one(spark, number, checks.luhn_valid) is good
+VERHOEFF = [("234567890124", True), ("234567890125", False), ("234567809124", False), ("", False)]
 
 
-@pytest.mark.parametrize(
-    ("value", "kinds"),
-    [
+def test_verhoeff(spark):
+    assert every(spark, [n for n, _ in VERHOEFF], checks.verhoeff_valid) == [g for _, g in VERHOEFF]
+
+
+LUHN = [("4539578763621486", True), ("4539578763621487", False)]
+
+
+def test_luhn(spark):
+    assert every(spark, [n for n, _ in LUHN], checks.luhn_valid) == [g for _, g in LUHN]
+
+
+IDENTIFIERS = [
         ("Aadhaar: 2345 6789 0125", [("aadhaar", False, [])]),
         ("Card 4539 5787 6362 1486", [("card", True, [])]),
         ("Ref 4539578763621487", [("card", False, ["bank_account"])]),
@@ -32,17 +39,16 @@ def test_luhn(spark, number, good):
         ("shiv@hdfcbank.com", []),
         ("épan ABCPE1234F", [("pan", True, [])]),
         ("", []),
-    ],
-)
-def test_identifiers(spark, value, kinds):
-    assert [(r.kind, r.verified, r.alternatives) for r in one(spark, value, text.found_ids)] == kinds
-    for r in one(spark, value, text.found_ids):
-        assert value[r.start : r.end] == r.value
+    ]
+
 
+def test_identifiers(spark):
+    for (value, kinds), found in zip(IDENTIFIERS, every(spark, [v for v, _ in IDENTIFIERS], text.found_ids), strict=True):
+        assert [(r.kind, r.verified, r.alternatives) for r in found] == kinds
+        assert all(value[r.start : r.end] == r.value for r in found)
 
-@pytest.mark.parametrize(
-    ("value", "category"),
-    [
+
+CLASSES = [
         ("Copyright 2024-2025 Acme Corp", None),
         ("Order 1234-5678 shipped today", None),
         ("Call +91 98765 43210 today", "phone"),
@@ -55,33 +61,35 @@ def test_identifiers(spark, value, kinds):
         ("Asha Kumar", "name"),
         ("1234-5678 then +91 98765 43210", None),
         (None, None),
-    ],
-)
-def test_classes(spark, value, category):
-    found = one(spark, value, lambda t: text.classify_text(t, NAMES))
-    assert (found and found.category) == category
-    if category:
-        assert one(spark, value, lambda t: text.scrub_text(t, NAMES)) != value
-
-
-@pytest.mark.parametrize(
-    ("value", "out"),
-    [
+    ]
+
+
+def test_classes(spark):
+    values = [v for v, _ in CLASSES]
+    found, scrubbed = every(spark, values, lambda t: text.classify_text(t, NAMES)), every(spark, values, lambda t: text.scrub_text(t, NAMES))
+    assert [f and f.category for f in found] == [c for _, c in CLASSES]
+    assert all(s != v for (v, c), s in zip(CLASSES, scrubbed, strict=True) if c)
+
+
+SCRUB = [
         ("Branch SBIN0001234", "Branch [ID_NUMBER]"),
         ("PIN: 4539578763621486", "[PASSWORD]"),
         ("a 1234-5678 b +91 98765 43210", "a 1234-5678 b [PHONE]"),
         ("met Asha Kumar twice, Asha Kumar!", "met [NAME] twice, [NAME]!"),
         ("Please deliver it to 12 Park Street, Kolkata 700016.", "Please deliver it to [ADDRESS], [ADDRESS]."),
-    ],
-)
-def test_scrub(spark, value, out):
-    assert one(spark, value, lambda t: text.scrub_text(t, NAMES)) == out
+    ]
+
+
+def test_scrub(spark):
+    assert every(spark, [v for v, _ in SCRUB], lambda t: text.scrub_text(t, NAMES)) == [o for _, o in SCRUB]
+
+
+HEADERS = [("Email", "email"), ("Mobile", "phone"), ("Aadhaar · PAN", "id_number"), ("Customer (s)", "name"), ("Item name", None), ("City", None), (None, None)]
 
 
-@pytest.mark.parametrize(("header", "category"), [("Email", "email"), ("Mobile", "phone"), ("Aadhaar · PAN", "id_number"), ("Customer (s)", "name"), ("Item name", None), ("City", None), (None, None)])
-def test_headers(spark, header, category):
-    found = one(spark, header, text.classify_header)
-    assert (found and found.category) == category
+def test_headers(spark):
+    found = every(spark, [h for h, _ in HEADERS], text.classify_header)
+    assert [f and f.category for f in found] == [c for _, c in HEADERS]
 
 
 def test_lookalike_digits(spark):
