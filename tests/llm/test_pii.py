@@ -103,3 +103,13 @@ def test_scores_against_brute_force(spark):
                         doubt *= 1 - min(score[q], 0.999999)
                 value[c] = 1 - doubt
     assert all(abs(got[p] - score[p]) < 1e-9 for p in kept)
+
+
+def test_pairs_of_everyday_words_induce_nothing(spark):
+    docs = [f"some text reach me user{i}@mail.example" for i in range(10)]
+    docs += [f"and the thing{i} more text and the other{i} and the user{i}@mail.example" for i in range(20)]
+    docs += [docs[-1]] * 30
+    marked = pii.base_spans(spark.createDataFrame([(str(i), t) for i, t in enumerate(docs)], "key string, text string"))
+    assert {r.pattern for r in pii.induced_patterns(marked, 5).collect()} == {"reach me", "and the"}
+    assert {r.pattern for r in pii.induced_patterns(marked, 5, 0.5).collect()} == {"reach me"}
+    assert {r.pattern for r in pii.induced_patterns(marked, 5, 0.2).collect()} == {"reach me", "and the"}

@@ -6,7 +6,8 @@ run of characters more than once: quantifiers are possessive where nothing can b
 match may begin only at the start of a run or where the last match ended.
 
 The contextual extraction starts from the base spans as seed entities. The two words before a seed
-induce a lexical pattern; patterns with enough different seeds are kept, and all places in all texts
+induce a lexical pattern; patterns with enough different seeds are kept if, in the texts that hold seeds,
+these are a large enough share of the different values that the pattern precedes. All places in all texts
 that such a pattern precedes make a graph between patterns and the values found there. Rounds of
 joins score it: a pattern's score is the mean score of its different values, a value's is 1 for
 seeds and otherwise the noisy-or of its patterns'. Values with an identifier's form (four or more
@@ -39,8 +40,9 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 TOKEN = {**{k: f"[{k.upper()}]" for k in KINDS}, "context": "[ID]"}
 
-#: Different seeds that a pattern needs, its least score, rounds of scoring, and patterns up to which a table is broadcast.
-SUPPORT, CONFIDENT, ROUNDS, BROADCAST_ROWS = 5, 0.8, 3, 50_000
+#: Different seeds that a pattern needs, their least share of its different values, its least score, rounds of
+#: scoring, and patterns up to which a table is broadcast.
+SUPPORT, SHARE, CONFIDENT, ROUNDS, BROADCAST_ROWS = 5, 0.2, 0.8, 3, 50_000
 
 
 def _digits(x: Column) -> Column:
@@ -116,11 +118,18 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def induced_patterns(marked: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(pattern): those that precede at least ``support`` different seed values. ``marked``: key, text, base."""
-    seeded = _places(marked.where(F.size("base") > 0)).withColumn("kind", _seed(F.col("value"), F.col("base"))).where("kind is not null")
-    distinct = seeded.select(_pattern().alias("pattern"), "value").distinct()
-    return distinct.groupBy("pattern").count().where(F.col("count") >= support).select("pattern")
+def induced_patterns(marked: DataFrame, support: int = SUPPORT, share: float = 0.0) -> DataFrame:
+    """(pattern): those that precede at least ``support`` different seed values, if these are at least ``share``
+    of the different values that follow the pattern in texts with seeds. ``marked``: key, text, base.
+
+    Pairs of everyday words precede some seeds by chance, the more the larger the corpus; the share keeps them
+    out of the graph. Values are counted once each, so copies of a text change nothing.
+    """
+    seed = F.coalesce(_seed(F.col("value"), F.col("base")).isNotNull(), F.lit(False))
+    places = _places(marked.where(F.size("base") > 0)).select(_pattern().alias("pattern"), "value", seed.cast("int").alias("seed"))
+    distinct = places.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    counted = distinct.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count(F.lit(1)).alias("values"))
+    return counted.where((F.col("seeds") >= support) & (F.col("seeds") >= share * F.col("values"))).select("pattern")
 
 
 def scored_patterns(marked: DataFrame, patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -161,7 +170,7 @@ def context_spans(marked: DataFrame, confident: DataFrame) -> DataFrame:
     return found.where(clear).groupBy("key").agg(F.array_sort(F.collect_set(span)).alias("extra"))
 
 
-def detected(docs: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, text: str = "text") -> DataFrame:
+def detected(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, confident: float = CONFIDENT, text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``extra``, the spans by pattern and by context.
 
     Texts are told apart by their SHA-256 digest. The corpus is read for its seeds, again for the places of
@@ -170,7 +179,7 @@ def detected(docs: DataFrame, support: int = SUPPORT, confident: float = CONFIDE
     body = F.coalesce(F.col(text), F.lit(""))
     marked = base_spans(docs.select(body.alias("text")), "text").select(F.sha2("text", 256).alias("key"), "text", "base")
     extra = None
-    patterns = written(induced_patterns(marked, support), "induced")
+    patterns = written(induced_patterns(marked, support, share), "induced")
     if patterns.limit(1).count():
         scores = scored_patterns(marked, patterns)
         sure = written(scores.where(F.col("score") >= confident).select("pattern"), "confident")

@@ -68,7 +68,7 @@ ORACLES["op7_source_mix"] = mixing.ORACLE
 
 @query
 def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"), support=pii.SUPPORT, confident=pii.CONFIDENT)
+    return pii.report(table(spark, sf_dir, "documents"), support=pii.SUPPORT, share=pii.SHARE, confident=pii.CONFIDENT)
 
 
 @query
