@@ -104,3 +104,34 @@ def test_similarity_is_checked(spark):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     assert got == {i: find(i) for i in sets}
+
+
+def test_dense_groups_lose_no_similar_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "DISJOINT", 1)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(900)]
+    shared, docs = [rng.choice(words) for _ in range(150)], []
+    for g in range(40):
+        own = [rng.choice(words) for _ in range(rng.choice((10, 30, 60)))]
+        for _ in range(4):
+            copy = [*shared, *own]
+            copy[rng.randrange(len(copy))] = f"new{g}"
+            docs.append((len(docs), " ".join(copy)))
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for _, t in docs for w in [t.split()]]
+    fps = [slow_fingerprint(t, 5) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in range(len(docs)):
+        for i in range(j):
+            if bin(fps[i] ^ fps[j]).count("1") <= 14 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 5, 14, 0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(docs))}
+    one, two = simhash.shingle_bins(docs[0][1], 5), simhash.shingle_bins("", 5)
+    assert one[0] == len(sets[0]) == sum(one[1]) and two[0] == 1

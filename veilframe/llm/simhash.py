@@ -9,6 +9,12 @@ exclusive-or and bit counts. A task returns a spanning forest of the links it fo
 between different components is lost and no group is expanded into all its pairs. Rounds of joins
 then find the components.
 
+Where links count only if the texts' shingles are similar enough, each fingerprint carries the number of
+its text's different shingles and a histogram of them. Two texts' histograms differ by no more than their sets do,
+so a larger difference than the similarity allows rules a pair out inside the tile, and never a link.
+Rows in dense groups first keep a few separate ways each, whose links are tested; then every pair of
+such rows that these links have left in different components is tested too, so that none is lost.
+
 Words are the runs of `[^\\x20\\x09-\\x0D]` after A-Z is lower-cased; shingles are ``width`` words
 joined by spaces, repeats counted; with fewer words the whole sequence is the one shingle; without
 words (null, empty or blank texts) the fingerprint is zero, linked like any other. Repeated rows and
@@ -18,7 +24,7 @@ component's ids are null. Only the id and text columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,6 +42,8 @@ TILE = 65_536
 BLOCK = 256
 #: Spanning forests without common links, for each half of the radius, where links are tested afterwards.
 DISJOINT = 6
+#: Bins of the histogram of a text's shingles, one saturating byte each, and pairs of histograms compared at a time.
+BINS, PAIRS = 32, 1 << 16
 
 
 def text_fingerprint(text: str | None, width: int) -> int:
@@ -61,16 +69,26 @@ def text_fingerprint(text: str | None, width: int) -> int:
     return int.from_bytes(bits.tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): a signed 64-bit fingerprint for every row."""
+def shingle_bins(text: str | None, width: int) -> tuple[int, bytes]:
+    """Number of different shingles of a text, and their histogram by hash."""
+    hashes = np.array(_shingle_hashes(text, width), np.int64)
+    return len(hashes), np.minimum(np.bincount(hashes & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def fingerprints(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text: str = "text", bins: bool = False) -> DataFrame:
+    """(doc_id, fp): a signed 64-bit fingerprint for every row; with ``bins`` also what ``shingle_bins`` returns, as n and bins."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([text_fingerprint(x, width) for x in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["doc_id", "fp"])
+            texts = batch.column(1).to_pylist()
+            made = {"doc_id": batch.column(0), "fp": pa.array([text_fingerprint(x, width) for x in texts], pa.int64())}
+            if bins:
+                sketches = [shingle_bins(x, width) for x in texts]
+                made |= {"n": pa.array([n for n, _ in sketches], pa.int64()), "bins": pa.array([b for _, b in sketches], pa.binary())}
+            yield pa.RecordBatch.from_pydict(made)
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", n long, bins binary" * bins)
 
 
 class _Forest:
@@ -121,18 +139,19 @@ def _blocks(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return order, starts, np.minimum.reduceat(quarters, starts), np.maximum.reduceat(quarters, starts)
 
 
-def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, disjoint: int = 0) -> np.ndarray:
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, disjoint: int = 0, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, every: bool = False) -> np.ndarray:
     """Links within ``left``, or between it and ``right``, that tie what all links tie: an array of value pairs.
 
     With ``disjoint`` 0 a spanning forest. Else, for a later test of the links that drops some, so many
     spanning forests without common links for each half of the radius: all links of a row that has no
     more than ``disjoint`` in a half, and for rows in dense groups as many separate ways, nearest first.
+    ``keep`` tells which pairs of positions count; with ``every`` all of them are returned.
     """
     own = right is None
     order, starts, least, most = _blocks(left)
     order2, starts2, least2, most2 = (order, starts, least, most) if own else _blocks(right)
     x, y = left[order], (left if own else right)[order2]
-    shift = 0 if own else len(x)
+    shift, pairs = 0 if own else len(x), [np.zeros((0, 2), np.int64)]
     forests = [[_Forest(len(x) + (0 if own else len(y))) for _ in range(disjoint or 1)] for _ in range(2 if disjoint else 1)]
     for k, start in enumerate(starts.tolist()):
         gap = np.maximum(least2 - most[k], least[k] - most2)
@@ -148,40 +167,74 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, disjoint
             i, j = np.nonzero(differ <= radius)
             if own:
                 i, j = i[(up := i + start < places[j])], j[up]
+            if keep is not None:
+                i, j = i[(good := keep(order[i + start], order2[places[j]]))], j[good]
+            if every:
+                pairs.append(np.stack((i + start, places[j] + shift), axis=1))
+                continue
             if not disjoint:
                 forests[0][0].add(i + start, places[j] + shift)
                 continue
             bits = differ[i, j]
-            order = np.argsort(bits, kind="stable")
-            i, j, far = i[order] + start, places[j[order]] + shift, bits[order] > radius * 2 // 3
+            rank = np.argsort(bits, kind="stable")
+            i, j, far = i[rank] + start, places[j[rank]] + shift, bits[rank] > radius * 2 // 3
             for half, some in zip(forests, (~far, far), strict=True):
                 p, q = i[some], j[some]
                 for forest in half:
                     rest = ~forest.add(p, q)
                     p, q = p[rest], q[rest]
     both = x if own else np.concatenate((x, y))
+    if every:
+        return both[np.concatenate(pairs)]
     return both[np.array([link for half in forests for f in half for link in f.links], dtype=np.int64).reshape(-1, 2)]
 
 
-def _task(radius: int, disjoint: int):
+def _may_be_similar(one: pd.DataFrame, two: pd.DataFrame, similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether pairs of positions can reach ``similarity``: sets of sizes n and m that do differ in no more than
+    (n + m)(1 - similarity) / (1 + similarity) elements, and their histograms in no more than that."""
+    sides = [(x["n"].to_numpy(np.int64), np.frombuffer(b"".join(x["bins"]), np.uint8).reshape(-1, BINS).astype(np.int16)) for x in (one, two)]
+    (n, h), (m, g) = sides
+
+    def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        apart = [np.abs(h[i[k : k + PAIRS]] - g[j[k : k + PAIRS]]).sum(axis=1) for k in range(0, len(i), PAIRS)]
+        limit = (n[i] + m[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        return (np.concatenate(apart) if apart else np.zeros(0)) <= limit
+
+    return keep
+
+
+def _task(radius: int, disjoint: int, similarity: float | None, every: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf["fp"].to_numpy(np.int64)[pdf["side"].to_numpy() == 0].view(np.uint64)
-        second = pdf["fp"].to_numpy(np.int64)[pdf["side"].to_numpy() == 1].view(np.uint64)
+        one, two = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         own = bool(pdf["own"].iloc[0])
-        if not own and not (len(first) and len(second)):
+        if not own and not (len(one) and len(two)):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        found = tile_links(first, None if own else second, radius, disjoint).view(np.int64)
+        first, second = (x["fp"].to_numpy(np.int64).view(np.uint64) for x in (one, two))
+        other = one if own else two
+        keep = close = None if similarity is None else _may_be_similar(one, other, similarity)
+        if every:
+            root, roots = one["root"].to_numpy(np.int64), other["root"].to_numpy(np.int64)
+
+            def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                found = root[i] != roots[j]
+                found[found] = close(i[found], j[found])
+                return found
+
+        found = tile_links(first, None if own else second, radius, disjoint, keep, every).view(np.int64)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     return run
 
 
-def links(distinct_fps: DataFrame, radius: int = 4, tile: int = TILE, disjoint: int = 0) -> DataFrame:
-    """(a, b): a spanning set of the links between distinct fingerprints ``fp`` at ``radius`` or fewer differing bits."""
-    levels = distinct_fps.select("fp", F.bit_count("fp").cast("long").alias("level"))
+def links(distinct_fps: DataFrame, radius: int = 4, tile: int = TILE, disjoint: int = 0, similarity: float | None = None, every: bool = False) -> DataFrame:
+    """(a, b): a spanning set of the links between distinct fingerprints ``fp`` at ``radius`` or fewer differing bits.
+
+    ``similarity``: pairs whose ``n`` and ``bins`` rule it out don't count. ``every``: all pairs of different ``root`` that count.
+    """
+    levels = distinct_fps.select("*", F.bit_count("fp").cast("long").alias("level"))
     sizes = levels.groupBy("level").count().select("level", F.ceil(F.col("count") / tile).cast("long").alias("parts"))
     sizes = written(sizes, "levels")  # at most 65 rows
-    tiles = levels.join(F.broadcast(sizes), "level").select("fp", "level", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))
+    tiles = levels.join(F.broadcast(sizes), "level").select(*distinct_fps.columns, "level", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))
     one, two = sizes.toDF("l1", "n1"), sizes.toDF("l2", "n2")
     grid = one.join(F.broadcast(two), F.col("l2").between(F.col("l1"), F.col("l1") + radius))
     for n, p in (("n1", "p1"), ("n2", "p2")):
@@ -192,8 +245,8 @@ def links(distinct_fps: DataFrame, radius: int = 4, tile: int = TILE, disjoint:
     task = F.shiftleft(F.col("l1") * 65 + F.col("l2"), 48) + F.shiftleft("p1", 24) + F.col("p2")
     first = grid.select(task.alias("task"), own.alias("own"), F.lit(0).alias("side"), F.col("l1").alias("level"), F.col("p1").alias("part"))
     second = grid.where(~own).select(task.alias("task"), F.lit(False).alias("own"), F.lit(1).alias("side"), F.col("l2").alias("level"), F.col("p2").alias("part"))
-    met = tiles.join(first.union(second), ["level", "part"]).select("task", "own", "side", "fp")
-    return met.groupBy("task").applyInPandas(_task(radius, disjoint), "a long, b long")
+    met = tiles.join(first.union(second), ["level", "part"]).select("task", "own", "side", *distinct_fps.columns)
+    return met.groupBy("task").applyInPandas(_task(radius, disjoint, similarity, every), "a long, b long")
 
 
 def _shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -225,18 +278,43 @@ def similar(found: DataFrame, classes: DataFrame, docs: DataFrame, width: int, s
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _similar_components(classes: DataFrame, docs: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
+    """(node, root) over the links whose texts are similar.
+
+    A pair that the forests leave out has ``DISJOINT`` or more candidates at both its ends; such pairs
+    between different components are found and tested in a second pass.
+    """
+    sketches = classes.select("fp", "n", "bins")
+    candidates = written(links(sketches, radius, disjoint=DISJOINT, similarity=similarity).distinct(), "candidates")
+    found = written(similar(candidates, classes, docs, width, similarity), "similar")
+    roots = components(found)
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("_end"))
+    dense = ends.groupBy("_end").count().where(F.col("count") >= DISJOINT).select("_end")
+    rows = sketches.join(dense, F.col("fp") == F.col("_end"), "left_semi")
+    labelled = rows.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "bins", F.coalesce("root", "fp").alias("root"))
+    rest = links(labelled, radius, similarity=similarity, every=True)
+    ordered = [x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for x in (rest, candidates)]
+    untested = written(ordered[0].join(ordered[1], ["a", "b"], "left_anti"), "untested")
+    if not untested.limit(1).count():
+        return roots
+    return components(found.union(similar(untested, classes, docs, width, similarity)))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, similarity: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``; component_id is the smallest doc_id reachable over links.
 
     ``similarity``: links within ``radius`` count only if their texts are that similar; equal fingerprints always link.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marked = written(fingerprints(docs, width), "fingerprints")
-    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
-    found = links(classes.select("fp"), radius, disjoint=0 if similarity is None else DISJOINT)
-    if similarity is not None:
-        found = similar(written(found.distinct(), "candidates"), classes, docs, width, similarity)
-    roots = components(found)
+    tested = similarity is not None
+    marked = written(fingerprints(docs, width, bins=tested), "fingerprints")
+    sketch = [F.min_by(F.struct("n", "bins"), F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("s")] if tested else []
+    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *sketch)
+    classes = written(classes.select("fp", "least_id", *(["s.n", "s.bins"] if tested else [])), "classes")
+    if tested:
+        roots = _similar_components(classes, docs, width, radius, similarity)
+    else:
+        roots = components(links(classes.select("fp"), radius))
     placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
