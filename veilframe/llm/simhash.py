@@ -40,8 +40,9 @@ SEED = 42
 TILE = 65_536
 #: Rows of one block inside a tile.
 BLOCK = 256
-#: Spanning forests without common links, for each half of the radius, where links are tested afterwards.
-DISJOINT = 6
+#: Spanning forests without common links, for each half of the radius, where links are tested afterwards. More of
+#: them leave less to the second pass, and carry more links of dense groups through the rounds of joins.
+DISJOINT = 2
 #: Bins of the histogram of a text's shingles, one saturating byte each, and pairs of histograms compared at a time.
 BINS, PAIRS = 32, 1 << 16
 
