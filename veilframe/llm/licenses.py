@@ -56,7 +56,8 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     found = lines.distinct().select("_text", digest(F.col("line")).alias("d")).join(known.toDF("d", "notice"), "d")
     notices = found.groupBy("_text").agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices")).withColumnRenamed("_text", "_key")
     whole = marked.join(known, marked["digest"] == known["known_digest"], "left")
-    out = whole.join(notices, F.col("_text") == F.col("_key"), "left")
+    apart = F.coalesce("_text", F.xxhash64("doc_id", "digest").cast("string"))  # no digest, and not one key for all texts without a cue
+    out = whole.join(notices, apart == F.col("_key"), "left")
     return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
