@@ -1,6 +1,10 @@
 import numpy as np
 
 from veilframe.llm import ann
+from veilframe.llm.queries import QUERIES
+from veilframe.llm.shared import table
+
+DATA = "/root/testdata/sf0.1"
 
 
 def brute(ids, vectors, asked, k):
@@ -42,3 +46,37 @@ def test_recall_and_pruning():
         scores = found.groupby("query_id").score.apply(np.array)
         recall = np.mean([(scores[i] >= exact[i, -1] - 1e-12).sum() / 20 for i in range(200)])
         assert recall >= least
+
+
+def lengthened(points, how, rng):
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    if how == "outlier":
+        unit[7] *= 5
+        return unit
+    return unit * rng.lognormal(0, how, len(unit))[:, None]
+
+
+def test_recall_where_lengths_differ(spark):
+    rng = np.random.default_rng(8)
+    for how in ("outlier", 0.25, 0.5):
+        points, ids = lengthened(rng.normal(size=(6000, 32)), how, rng), np.arange(6000)
+        exact = points[:100] @ points.T
+        exact[ids[:100], ids[:100]] = -np.inf
+        exact = np.sort(exact, axis=1)[:, ::-1][:, :20]
+        scores = ann.search_shard(ids, points, ids[:100], points[:100], 20, ann.FACTOR).groupby("query_id").score.apply(np.array)
+        assert np.mean([(scores[i] >= exact[i, -1] - 1e-12).sum() / 20 for i in range(100)]) >= 0.99
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(points.tolist())], "vec_id long, embedding array<double>")
+    found = ann.nearest(df, df.where("vec_id < 100"), shard=3000).toPandas().sort_values(["query_id", "rank"])
+    assert np.allclose(found.score.to_numpy().reshape(100, 20), exact)
+
+
+def test_registered_query_against_brute_force(spark):
+    rows = table(spark, DATA, "embeddings").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    ids, points = rows.vec_id.to_numpy(), np.stack([np.asarray(x, np.float64) for x in rows.embedding])
+    asked = np.flatnonzero(ids % 20 == 0)
+    exact = points[asked] @ points.T
+    exact[np.arange(len(asked)), asked] = -np.inf
+    exact = np.sort(exact, axis=1)[:, ::-1][:, :20]
+    found = QUERIES["op1_vantage_point_ann"](spark, DATA).toPandas().sort_values(["query_id", "rank"])
+    assert found.query_id.to_numpy()[::20].tolist() == ids[asked].tolist()
+    assert np.allclose(found.score.to_numpy().reshape(-1, 20), exact)
