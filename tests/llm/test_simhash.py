@@ -135,3 +135,18 @@ def test_dense_groups_lose_no_similar_pair(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(docs))}
     one, two = simhash.shingle_bins(docs[0][1], 5), simhash.shingle_bins("", 5)
     assert one[0] == len(sets[0]) == sum(one[1]) and two[0] == 1
+
+
+def test_equal_fingerprints_of_different_texts_do_not_link(spark):
+    rng = random.Random(12)
+    say = lambda tag, n: " ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(n))
+    docs = []
+    for g in range(12):
+        line = say(f"line{g}x", rng.choice((7, 9, 11, 13)))
+        own = [say(f"own{g}x{k}x", 60) for k in range(2)]
+        docs += [f"{' '.join([line] * 30)} {x}" for x in own]
+        docs.append(f"{' '.join([line] * 2)} {own[0]}")  # the same shingles nearly, repeated less often
+    fps = [slow_fingerprint(t, 5) for t in docs]
+    assert sum(a == b for a, b in zip(fps[::3], fps[1::3], strict=True)) >= 10
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), 5, 14, 0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - 2 if i % 3 == 2 else i for i in range(len(docs))}

@@ -9,8 +9,9 @@ exclusive-or and bit counts. A task returns a spanning forest of the links it fo
 between different components is lost and no group is expanded into all its pairs. Rounds of joins
 then find the components.
 
-Where links count only if the texts' shingles are similar enough, each fingerprint carries the number of
-its text's different shingles and a histogram of them. Two texts' histograms differ by no more than their sets do,
+Where links count only if the texts' shingles are similar enough, texts with the same set of shingles are one
+class, fingerprints are taken of that set, and each carries the set's size and a histogram of it. Classes with
+one fingerprint are tested like all others. Two texts' histograms differ by no more than their sets do,
 so a larger difference than the similarity allows rules a pair out inside the tile, and never a link.
 Rows in dense groups first keep a few separate ways each, whose links are tested; then every pair of
 such rows that these links have left in different components is tested too, so that none is lost.
@@ -47,49 +48,74 @@ DISJOINT = 2
 BINS, PAIRS = 32, 1 << 16
 
 
-def text_fingerprint(text: str | None, width: int) -> int:
-    """The 64-bit SimHash of one text, as a signed integer."""
+def _hashes(text: str | None, width: int) -> np.ndarray:
+    """The hashes of a text's shingles in order, repeats included; a text without words has one, of nothing."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # bytes: only A-Z changes, only ASCII white space separates
-    if not words:
-        return 0
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        line = memoryview(b" ".join(words))
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate(([0], ends[:-1]))[: len(words) - width + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[i:j], SEED) for i, j in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
+    line = memoryview(b" ".join(words))
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate(([0], ends[:-1]))[: len(words) - width + 1].tolist()
+    return np.array([digest(line[i:j], SEED) for i, j in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed integer; 0 for the one hash of nothing."""
     ones = np.zeros(64, dtype=np.int64)
     for start in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[start : start + (1 << 16)], dtype=">u8")
+        part = hashes[start : start + (1 << 16)].astype(">u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     bits = np.packbits((2 * ones > len(hashes)).astype(np.uint8))
     return int.from_bytes(bits.tobytes(), "big", signed=True)
 
 
+def text_fingerprint(text: str | None, width: int) -> int:
+    """The 64-bit SimHash of one text, as a signed integer."""
+    return _majority(_hashes(text, width)) if text and text.encode().split() else 0
+
+
 def shingle_bins(text: str | None, width: int) -> tuple[int, bytes]:
     """Number of different shingles of a text, and their histogram by hash."""
-    hashes = np.array(_shingle_hashes(text, width), np.int64)
-    return len(hashes), np.minimum(np.bincount(hashes & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes()
+    return _histogram(np.unique(_hashes(text, width)))
 
 
-def fingerprints(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text: str = "text", bins: bool = False) -> DataFrame:
-    """(doc_id, fp): a signed 64-bit fingerprint for every row; with ``bins`` also what ``shingle_bins`` returns, as n and bins."""
+def _histogram(hashes: np.ndarray) -> tuple[int, bytes]:
+    counts = np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    return len(hashes), np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _set_key(hashes: np.ndarray) -> int:
+    """A digest of a set of shingles, as a signed integer."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED + 1) - (1 << 63)
+
+
+def set_sketch(text: str | None, width: int) -> tuple[int, int, int, bytes]:
+    """Of a text's different shingles: SimHash, digest, number and histogram."""
+    hashes = np.unique(_hashes(text, width))
+    return (_majority(hashes) if text and text.encode().split() else 0, _set_key(hashes), *_histogram(hashes))
+
+
+def fingerprints(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text: str = "text", sets: bool = False) -> DataFrame:
+    """(doc_id, fp): a signed 64-bit fingerprint for every row; with ``sets`` what ``set_sketch`` returns, as fp, key, n and bins."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            made = {"doc_id": batch.column(0), "fp": pa.array([text_fingerprint(x, width) for x in texts], pa.int64())}
-            if bins:
-                sketches = [shingle_bins(x, width) for x in texts]
-                made |= {"n": pa.array([n for n, _ in sketches], pa.int64()), "bins": pa.array([b for _, b in sketches], pa.binary())}
-            yield pa.RecordBatch.from_pydict(made)
+            if sets:
+                made = [set_sketch(x, width) for x in texts]
+                kinds = {"fp": pa.int64(), "key": pa.int64(), "n": pa.int64(), "bins": pa.binary()}
+                columns = {c: pa.array([m[k] for m in made], kind) for k, (c, kind) in enumerate(kinds.items())}
+            else:
+                columns = {"fp": pa.array([text_fingerprint(x, width) for x in texts], pa.int64())}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **columns})
 
-    return rows.mapInArrow(run, "doc_id long, fp long" + ", n long, bins binary" * bins)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", key long, n long, bins binary" * sets)
 
 
 class _Forest:
@@ -140,13 +166,14 @@ def _blocks(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return order, starts, np.minimum.reduceat(quarters, starts), np.maximum.reduceat(quarters, starts)
 
 
-def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, disjoint: int = 0, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, every: bool = False) -> np.ndarray:
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, disjoint: int = 0, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, every: bool = False, names: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Links within ``left``, or between it and ``right``, that tie what all links tie: an array of value pairs.
 
     With ``disjoint`` 0 a spanning forest. Else, for a later test of the links that drops some, so many
     spanning forests without common links for each half of the radius: all links of a row that has no
     more than ``disjoint`` in a half, and for rows in dense groups as many separate ways, nearest first.
-    ``keep`` tells which pairs of positions count; with ``every`` all of them are returned.
+    ``keep`` tells which pairs of positions count; with ``every`` all of them are returned. ``names`` stand for the
+    values of both sides in the result.
     """
     own = right is None
     order, starts, least, most = _blocks(left)
@@ -184,7 +211,8 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, disjoint
                 for forest in half:
                     rest = ~forest.add(p, q)
                     p, q = p[rest], q[rest]
-    both = x if own else np.concatenate((x, y))
+    called, called2 = (x, y) if names is None else (names[0][order], names[1][order2])
+    both = called if own else np.concatenate((called, called2))
     if every:
         return both[np.concatenate(pairs)]
     return both[np.array([link for half in forests for f in half for link in f.links], dtype=np.int64).reshape(-1, 2)]
@@ -197,9 +225,12 @@ def _may_be_similar(one: pd.DataFrame, two: pd.DataFrame, similarity: float) ->
     (n, h), (m, g) = sides
 
     def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        apart = [np.abs(h[i[k : k + PAIRS]] - g[j[k : k + PAIRS]]).sum(axis=1) for k in range(0, len(i), PAIRS)]
         limit = (n[i] + m[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
-        return (np.concatenate(apart) if apart else np.zeros(0)) <= limit
+        found = np.abs(n[i] - m[j]) <= limit
+        i, j, limit = i[found], j[found], limit[found]
+        apart = [np.abs(h[i[k : k + PAIRS]] - g[j[k : k + PAIRS]]).sum(axis=1) for k in range(0, len(i), PAIRS)]
+        found[found] = (np.concatenate(apart) if apart else np.zeros(0)) <= limit
+        return found
 
     return keep
 
@@ -221,7 +252,8 @@ def _task(radius: int, disjoint: int, similarity: float | None, every: bool):
                 found[found] = close(i[found], j[found])
                 return found
 
-        found = tile_links(first, None if own else second, radius, disjoint, keep, every).view(np.int64)
+        names = (one["key"].to_numpy(np.int64), other["key"].to_numpy(np.int64)) if "key" in pdf else None
+        found = tile_links(first, None if own else second, radius, disjoint, keep, every, names).view(np.int64)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     return run
@@ -230,12 +262,12 @@ def _task(radius: int, disjoint: int, similarity: float | None, every: bool):
 def links(distinct_fps: DataFrame, radius: int = 4, tile: int = TILE, disjoint: int = 0, similarity: float | None = None, every: bool = False) -> DataFrame:
     """(a, b): a spanning set of the links between distinct fingerprints ``fp`` at ``radius`` or fewer differing bits.
 
-    ``similarity``: pairs whose ``n`` and ``bins`` rule it out don't count. ``every``: all pairs of different ``root`` that count.
+    With a column ``key``, rows are told apart and named by it, and may share a fingerprint. ``similarity``: pairs whose ``n`` and ``bins`` rule it out don't count. ``every``: all pairs of different ``root`` that count.
     """
     levels = distinct_fps.select("*", F.bit_count("fp").cast("long").alias("level"))
     sizes = levels.groupBy("level").count().select("level", F.ceil(F.col("count") / tile).cast("long").alias("parts"))
     sizes = written(sizes, "levels")  # at most 65 rows
-    tiles = levels.join(F.broadcast(sizes), "level").select(*distinct_fps.columns, "level", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))
+    tiles = levels.join(F.broadcast(sizes), "level").select(*distinct_fps.columns, "level", F.pmod(F.xxhash64("key" if "key" in distinct_fps.columns else "fp"), F.col("parts")).alias("part"))
     one, two = sizes.toDF("l1", "n1"), sizes.toDF("l2", "n2")
     grid = one.join(F.broadcast(two), F.col("l2").between(F.col("l1"), F.col("l1") + radius))
     for n, p in (("n1", "p1"), ("n2", "p2")):
@@ -250,30 +282,22 @@ def links(distinct_fps: DataFrame, radius: int = 4, tile: int = TILE, disjoint:
     return met.groupBy("task").applyInPandas(_task(radius, disjoint, similarity, every), "a long, b long")
 
 
-def _shingle_hashes(text: str | None, width: int) -> list[int]:
-    import xxhash
-
-    words = (text or "").encode().lower().split()
-    return [xxhash.xxh64_intdigest(x, SEED) - (1 << 63) for x in {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}]
-
-
 def similar(found: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those links of ``found`` whose texts share ``similarity`` or more of their different shingles (Jaccard).
 
-    A fingerprint's text is that of its smallest id. Only texts at the ends of links are read again.
+    A key's text is that of its smallest id; all its texts have the same shingles. Only texts at the ends of links are read again.
     """
-    ends = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    asked = ends.join(classes, "fp").select(F.col("fp").alias("_fp"), "least_id")
-    rows = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("_fp", "text")
+    ends = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    asked = ends.join(classes, "key").select(F.col("key").alias("_key"), "least_id")
+    rows = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("_key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = [k for k in range(len(fp)) if text_fingerprint(text[k], width) == fp[k]]  # ids may repeat: only the fingerprint's own text
-            sets = [_shingle_hashes(text[k], width) for k in keep]
-            yield pa.RecordBatch.from_arrays([pa.array([fp[k] for k in keep], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "s"])
+            pairs = [(k, np.unique(_hashes(x, width))) for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            pairs = [(k, x.view(np.int64)) for k, x in pairs if _set_key(x) == k]  # ids may repeat: only the key's own text
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.list_(pa.int64()))], names=["key", "s"])
 
-    sets = written(rows.mapInArrow(run, "fp long, s array<long>").dropDuplicates(["fp"]), "shingles")
+    sets = written(rows.mapInArrow(run, "key long, s array<long>").dropDuplicates(["key"]), "shingles")
     both = found.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -285,14 +309,14 @@ def _similar_components(classes: DataFrame, docs: DataFrame, width: int, radius:
     A pair that the forests leave out has ``DISJOINT`` or more candidates at both its ends; such pairs
     between different components are found and tested in a second pass.
     """
-    sketches = classes.select("fp", "n", "bins")
+    sketches = classes.select("key", "fp", "n", "bins")
     candidates = written(links(sketches, radius, disjoint=DISJOINT, similarity=similarity).distinct(), "candidates")
     found = written(similar(candidates, classes, docs, width, similarity), "similar")
     roots = components(found)
     ends = candidates.select(F.explode(F.array("a", "b")).alias("_end"))
     dense = ends.groupBy("_end").count().where(F.col("count") >= DISJOINT).select("_end")
-    rows = sketches.join(dense, F.col("fp") == F.col("_end"), "left_semi")
-    labelled = rows.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "bins", F.coalesce("root", "fp").alias("root"))
+    rows = sketches.join(dense, F.col("key") == F.col("_end"), "left_semi")
+    labelled = rows.join(roots, F.col("key") == F.col("node"), "left").select("key", "fp", "n", "bins", F.coalesce("root", "key").alias("root"))
     rest = links(labelled, radius, similarity=similarity, every=True)
     ordered = [x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for x in (rest, candidates)]
     untested = written(ordered[0].join(ordered[1], ["a", "b"], "left_anti"), "untested")
@@ -304,22 +328,23 @@ def _similar_components(classes: DataFrame, docs: DataFrame, width: int, radius:
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, similarity: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``; component_id is the smallest doc_id reachable over links.
 
-    ``similarity``: links within ``radius`` count only if their texts are that similar; equal fingerprints always link.
+    ``similarity``: fingerprints are of the different shingles, and links within ``radius`` count only if the texts are
+    that similar, also where fingerprints are equal. Texts with the same set of shingles are one class, by its 64-bit digest.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     tested = similarity is not None
-    marked = written(fingerprints(docs, width, bins=tested), "fingerprints")
-    sketch = [F.min_by(F.struct("n", "bins"), F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("s")] if tested else []
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *sketch)
-    classes = written(classes.select("fp", "least_id", *(["s.n", "s.bins"] if tested else [])), "classes")
+    marked = written(fingerprints(docs, width, sets=tested), "fingerprints")
+    node = "key" if tested else "fp"
+    own = [F.first(c).alias(c) for c in ("fp", "n", "bins")] if tested else []  # the same in all of a class
+    classes = written(marked.groupBy(node).agg(F.min("doc_id").alias("least_id"), *own), "classes")
     if tested:
         roots = _similar_components(classes, docs, width, radius, similarity)
     else:
         roots = components(links(classes.select("fp"), radius))
-    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    placed = classes.join(roots, classes[node] == roots["node"], "left").select(node, "least_id", F.coalesce("root", node).alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = placed.join(least, "root").select(node, "component_id")
+    return marked.join(named, node).select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp) -> F.Column:
