@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+import corpus_pipeline
 from veilframe.llm import simhash
 from veilframe.llm.components import components
 
@@ -150,3 +151,25 @@ def test_equal_fingerprints_of_different_texts_do_not_link(spark):
     assert sum(a == b for a, b in zip(fps[::3], fps[1::3], strict=True)) >= 10
     got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), 5, 14, 0.8).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i - 2 if i % 3 == 2 else i for i in range(len(docs))}
+
+
+def test_stage_against_plain_jaccard(spark):
+    rng = random.Random(21)
+    words, docs, far = [f"w{i}" for i in range(2000)], [], 0
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    shingles = lambda w: {" ".join(w[k : k + 5]) for k in range(len(w) - 4)}
+    while far < 12:  # edited copies near the threshold, most of them with fingerprints further apart than 14 bits
+        one = [rng.choice(words) for _ in range(rng.randrange(15, 120))]
+        two = list(one)
+        while jaccard(shingles(one), shingles(two)) >= 0.88:
+            two.insert(rng.randrange(len(two)), rng.choice(words))
+        apart = bin(slow_fingerprint(" ".join(one), 5) ^ slow_fingerprint(" ".join(two), 5)).count("1") > 14
+        if apart and jaccard(shingles(one), shingles(two)) >= 0.8 or rng.random() < 0.02:
+            far += apart
+            docs += [" ".join(one), " ".join(two)]
+    sets = [shingles(t.split()) for t in docs]
+    gone = {j for j in range(len(docs)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8}
+    assert len(gone) >= 12
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, df, "").collect()}
+    assert kept == set(range(len(docs))) - gone
