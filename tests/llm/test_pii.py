@@ -113,3 +113,20 @@ def test_pairs_of_everyday_words_induce_nothing(spark):
     assert {r.pattern for r in pii.induced_patterns(marked, 5).collect()} == {"reach me", "and the"}
     assert {r.pattern for r in pii.induced_patterns(marked, 5, 0.5).collect()} == {"reach me"}
     assert {r.pattern for r in pii.induced_patterns(marked, 5, 0.2).collect()} == {"reach me", "and the"}
+
+
+def test_a_pattern_with_a_low_share_is_lifted_by_a_confident_one(spark):
+    filler = lambda i: f"text{i} a@b.example"  # noqa: E731 - every text holds a base span
+    docs = [f"{filler(i)} account id: user{i}@mail.example" for i in range(6)]
+    docs += [f"{filler(i)} account id: member{1000 + i}" for i in range(60)]
+    docs += [f"{filler(i)} my email: user{i}@mail.example" for i in range(100)]
+    docs += [f"{filler(i)} my email: member{1000 + i}" for i in range(60)]
+    docs += ["plain words here account id: other77415"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    marked = pii.base_spans(df.select(df.doc_id.cast("string").alias("key"), "text"))
+    induced = pii.induced_patterns(marked)
+    score = {r.pattern: r.score for r in pii.scored_patterns(marked, induced).collect()}
+    assert score["my email:"] > 0.9 and score["account id:"] > 0.9
+    got = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    a, b = map(int, re.search(r"context:(\d+):(\d+)", got[len(docs) - 1]).groups())
+    assert docs[-1][a:b] == "other77415"

@@ -6,8 +6,7 @@ run of characters more than once: quantifiers are possessive where nothing can b
 match may begin only at the start of a run or where the last match ended.
 
 The contextual extraction starts from the base spans as seed entities. The two words before a seed
-induce a lexical pattern; patterns with enough different seeds are kept if, in the texts that hold seeds,
-these are a large enough share of the different values that the pattern precedes. All places in all texts
+induce a lexical pattern, which is kept if it has enough different seeds. All places in all texts
 that such a pattern precedes make a graph between patterns and the values found there. Rounds of
 joins score it: a pattern's score is the mean score of its different values, a value's is 1 for
 seeds and otherwise the noisy-or of its patterns'. Values with an identifier's form (four or more
@@ -40,9 +39,8 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 TOKEN = {**{k: f"[{k.upper()}]" for k in KINDS}, "context": "[ID]"}
 
-#: Different seeds that a pattern needs, their least share of its different values, its least score, rounds of
-#: scoring, and patterns up to which a table is broadcast.
-SUPPORT, SHARE, CONFIDENT, ROUNDS, BROADCAST_ROWS = 5, 0.2, 0.8, 3, 50_000
+#: Different seeds that a pattern needs, its least score, rounds of scoring, and patterns up to which a table is broadcast.
+SUPPORT, CONFIDENT, ROUNDS, BROADCAST_ROWS = 5, 0.8, 3, 50_000
 
 
 def _digits(x: Column) -> Column:
@@ -122,8 +120,8 @@ def induced_patterns(marked: DataFrame, support: int = SUPPORT, share: float = 0
     """(pattern): those that precede at least ``support`` different seed values, if these are at least ``share``
     of the different values that follow the pattern in texts with seeds. ``marked``: key, text, base.
 
-    Pairs of everyday words precede some seeds by chance, the more the larger the corpus; the share keeps them
-    out of the graph. Values are counted once each, so copies of a text change nothing.
+    A share tells nothing of a pattern's score, to which values that other patterns precede add; ``detected`` asks for
+    none. Values are counted once each, so copies of a text change nothing.
     """
     seed = F.coalesce(_seed(F.col("value"), F.col("base")).isNotNull(), F.lit(False))
     places = _places(marked.where(F.size("base") > 0)).select(_pattern().alias("pattern"), "value", seed.cast("int").alias("seed"))
@@ -133,19 +131,31 @@ def induced_patterns(marked: DataFrame, support: int = SUPPORT, share: float = 0
 
 
 def scored_patterns(marked: DataFrame, patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score) over all places of ``patterns`` in ``marked``."""
+    """(pattern, score) over all places of ``patterns`` in ``marked``.
+
+    Seeds, and values that one pattern alone precedes, whose score is that pattern's, are counts of the pattern. Only
+    the other values pass through the rounds of joins.
+    """
     places = _places(marked).withColumn("pattern", _pattern()).join(_small(patterns), "pattern")
     seed = F.coalesce(_seed(F.col("value"), F.col("base")).isNotNull(), F.lit(False))
     edges = written(places.select("pattern", "value", seed.cast("int").alias("seed")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
-    values = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
-    scores = None
-    for _ in range(rounds):
-        new = written(edges.join(values, "value").groupBy("pattern").agg(F.avg("score").alias("score")), "patterns")
-        if scores is not None:
-            discard(scores)
+    values = edges.groupBy("value").agg(F.max("seed").alias("known"), F.count(F.lit(1)).alias("degree"))
+    labelled = written(edges.select("pattern", "value").join(values, "value"), "labelled")
+    own = ((F.col("known") == 0) & (F.col("degree") == 1)).cast("long")
+    counts = written(labelled.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("known").alias("seeds"), F.sum(own).alias("own")), "counts")
+    shared = written(labelled.where("known = 0 and degree > 1").select("pattern", "value"), "shared")
+    capped = F.least(F.col("score"), F.lit(0.999999))
+    scores = written(counts.select("pattern", (F.col("seeds") / F.col("values")).alias("score")), "patterns")
+    for _ in range(rounds - 1):
+        doubt = F.exp(F.sum(F.log(F.lit(1.0) - capped)))
+        belief = shared.join(_small(scores), "pattern").groupBy("value").agg((F.lit(1.0) - doubt).alias("belief"))
+        sums = shared.join(belief, "value").groupBy("pattern").agg(F.sum("belief").alias("sum"))
+        total = F.col("seeds") + F.col("own") * capped + F.coalesce("sum", F.lit(0.0))
+        new = written(counts.join(scores, "pattern").join(sums, "pattern", "left").select("pattern", (total / F.col("values")).alias("score")), "patterns")
+        discard(scores)
         scores = new
-        doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("score"), F.lit(0.999999)))))
-        values = edges.join(scores, "pattern").groupBy("value").agg(F.when(F.max("seed") == 1, F.lit(1.0)).otherwise(F.lit(1.0) - doubt).alias("score"))
+    for done in (edges, labelled, counts, shared):
+        discard(done)
     return scores
 
 
@@ -170,7 +180,7 @@ def context_spans(marked: DataFrame, confident: DataFrame) -> DataFrame:
     return found.where(clear).groupBy("key").agg(F.array_sort(F.collect_set(span)).alias("extra"))
 
 
-def detected(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, confident: float = CONFIDENT, text: str = "text") -> DataFrame:
+def detected(docs: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``extra``, the spans by pattern and by context.
 
     Texts are told apart by their SHA-256 digest. The corpus is read for its seeds, again for the places of
@@ -179,7 +189,7 @@ def detected(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, conf
     body = F.coalesce(F.col(text), F.lit(""))
     marked = base_spans(docs.select(body.alias("text")), "text").select(F.sha2("text", 256).alias("key"), "text", "base")
     extra = None
-    patterns = written(induced_patterns(marked, support, share), "induced")
+    patterns = written(induced_patterns(marked, support), "induced")
     if patterns.limit(1).count():
         scores = scored_patterns(marked, patterns)
         sure = written(scores.where(F.col("score") >= confident).select("pattern"), "confident")
