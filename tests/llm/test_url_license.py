@@ -62,3 +62,11 @@ def test_licenses_equal_sql(spark):
     want = in_duckdb(licenses.oracle().replace("SELECT doc_id, digest", "SELECT digest"), documents=df.select(df.doc_id.cast("string").alias("doc_id"), "text"))
     assert sorted(str((r.digest, r.license, r.notices)) for r in got) == want
     assert licenses.scan(df.limit(0), licenses.known_digests(spark)).count() == 0
+
+
+def test_notices_without_the_word_license_are_found(spark):
+    known = licenses.known_digests(spark, [("CC0-1.0", "SPDX: CC0-1.0"), ("PD", "This text is in the public domain."), ("ARR", "All rights reserved.")])
+    docs = [(1, "prose\n  ALL rights reserved\nmore"), (2, "spdx cc0 1.0\nx\nThis text is in the public domain"), (3, "all rights reserved to us"), (4, "public domain"), (5, "This text is in the public domain.")]
+    df = spark.createDataFrame([*docs, docs[1]], "doc_id long, text string")
+    got = sorted((r.doc_id, r.license, r.notices) for r in licenses.scan(df, known).collect())
+    assert got == [(1, None, "ARR"), (2, None, "CC0-1.0,PD"), (2, None, "CC0-1.0,PD"), (3, None, ""), (4, None, ""), (5, "PD", "PD")]

@@ -3,7 +3,7 @@
 A text is brought to a canonical form: lower case, without copyright lines, with one spelling for
 equivalent words, every run of other characters than letters and digits a single space. The SHA-256
 of that form is joined to the digests of known licences, for whole texts and, so that notices inside
-other prose are seen too, for whole lines that mention a licence. No text is compared with another.
+other prose are seen too, for every whole line. No text is compared with another.
 
 Null texts count as empty; the digest of a text that is empty, or empty in canonical form, is that of
 the empty string and never a licence. Repeated rows get equal results. Extra columns are not read.
@@ -22,6 +22,7 @@ from veilframe.llm.license_texts import KNOWN
 #: Equivalent spellings, applied in this order to lower-case text.
 SPELLINGS = (("licence", "license"), ("licensee", "license holder"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("non-infringement", "noninfringement"), ("https://", "http://"), ("acknowledgement", "acknowledgment"), ("whilst", "while"), ("organisation", "organization"), ("version 2.0", "version 2"), ("version 3.0", "version 3"))
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*$"
+#: What the lines that the SQL looks up mention; ``scan`` looks up all.
 CUE = r"(?i)licen[sc]e"
 
 
@@ -47,17 +48,16 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, digest, license, notices): per document its digest, the licence that its whole text is (else null),
     and the licences that single lines of it are, sorted and joined by commas (else an empty string).
 
-    ``known`` is a parameter list and small; Spark may broadcast it by its size. Lines are looked up once per
-    different text; few texts have any, and one text's lines are the only rows that meet.
+    ``known`` is a parameter list and small, and broadcast. Every different line of a text is digested where the text
+    is read; only those that are known leave the task.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = texts.select("doc_id", "text", digest(F.col("text")).alias("digest"), F.when(F.col("text").rlike(CUE), F.sha2("text", 256)).alias("_text"))
-    lines = marked.where("_text is not null").select("_text", F.explode(F.array_distinct(F.filter(F.split("text", r"\n", -1), lambda x: x.rlike(CUE)))).alias("line"))
-    found = lines.distinct().select("_text", digest(F.col("line")).alias("d")).join(known.toDF("d", "notice"), "d")
+    marked = texts.select("doc_id", "text", digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("_text"))
+    lines = marked.select("_text", F.explode(F.array_distinct(F.split("text", r"\n", -1))).alias("line")).where("line <> ''")
+    found = lines.select("_text", digest(F.col("line")).alias("d")).join(F.broadcast(known.toDF("d", "notice")), "d")
     notices = found.groupBy("_text").agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices")).withColumnRenamed("_text", "_key")
-    whole = marked.join(known, marked["digest"] == known["known_digest"], "left")
-    apart = F.coalesce("_text", F.xxhash64("doc_id", "digest").cast("string"))  # no digest, and not one key for all texts without a cue
-    out = whole.join(notices, apart == F.col("_key"), "left")
+    whole = marked.drop("text").join(F.broadcast(known), marked["digest"] == known["known_digest"], "left")
+    out = whole.join(notices, F.col("_text") == F.col("_key"), "left")
     return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
