@@ -1,11 +1,13 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 import corpus_pipeline
 from veilframe.llm import simhash
 from veilframe.llm.components import components
+from veilframe.llm.shared import written
 
 
 def slow_fingerprint(text, width):
@@ -73,7 +75,7 @@ def test_tiles_lose_no_link(spark):
     want = slow_components([(f, f & (2**64 - 1)) for f in fps], 4)
     for tile in (40, simhash.TILE):
         found = simhash.links(df, 4, tile).cache()
-        assert found.count() < (tile == simhash.TILE and 6 or 40) * len(fps)
+        assert found.count() < (tile == simhash.TILE and 1 or 40) * len(fps)
         root = {r.node: r.root for r in components(found).collect()}
         assert [root.get(f, f) for f in fps] == want
 
@@ -107,8 +109,10 @@ def test_similarity_is_checked(spark):
     assert got == {i: find(i) for i in sets}
 
 
-def test_dense_groups_lose_no_similar_pair(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "DISJOINT", 1)
+@pytest.mark.parametrize(("tile", "chunk"), [(simhash.TILE, simhash.CHUNK), (30, 6000)])
+def test_dense_groups_lose_no_similar_pair(spark, monkeypatch, tile, chunk):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)  # the group is dealt to pairs of blocks
     rng = random.Random(3)
     words = [f"w{i}" for i in range(900)]
     shared, docs = [rng.choice(words) for _ in range(150)], []
@@ -134,6 +138,8 @@ def test_dense_groups_lose_no_similar_pair(spark, monkeypatch):
                 root[b] = a
     got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 5, 14, 0.8).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(docs))}
+    made = written(simhash.fingerprints(spark.createDataFrame(docs, "doc_id long, text string"), 5, sets=True), "f")
+    assert simhash.links(made.drop("doc_id"), simhash.RADIUS, similarity=0.8).count() < (tile == 30 and 12 or 3) * len(docs)  # no pairs of a group, only ways through it
     one, two = simhash.shingle_bins(docs[0][1], 5), simhash.shingle_bins("", 5)
     assert one[0] == len(sets[0]) == sum(one[1]) and two[0] == 1
 
@@ -173,3 +179,35 @@ def test_stage_against_plain_jaccard(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, df, "").collect()}
     assert kept == set(range(len(docs))) - gone
+
+
+def test_similar_pairs_are_counted_exactly():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 90, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[rng.permutation(90)[: int(rng.integers(60, 91))]], rng.integers(0, 2**63, int(rng.integers(0, 9)), dtype=np.uint64)))) for _ in range(60)]
+    i, j = np.triu_indices(60, 1)
+    want = [len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    assert 0 < sum(want) < len(want) and simhash._are_similar(sets, 0.8)(i, j).tolist() == want
+    for shift in (0, 60):  # what the histograms rule out is never similar
+        hist = [simhash._histogram(x) for x in sets] * 2
+        may = simhash._may_be_similar(np.array([n for n, _ in hist]), [b for _, b in hist], 0.8, shift)
+        assert all(m or not w for m, w in zip(may(i, j).tolist(), want, strict=True))
+
+
+def test_histograms_of_long_texts_fold():
+    rng = np.random.default_rng(7)
+    long = np.unique(rng.integers(0, 2**63, 1100, dtype=np.uint64))
+    part = long[:1000]
+    assert [len(simhash._histogram(x)[1]) for x in (long, part, long[:100])] == [256, 128, 64]
+    sketch = [simhash._histogram(x) for x in (long, part, np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64)))]
+    may = simhash._may_be_similar(np.array([n for n, _ in sketch]), [b for _, b in sketch], 0.8)
+    assert may(np.array([0, 0]), np.array([1, 2])).tolist() == [True, False]
+
+
+def test_odd_rows_in_the_pipeline_stage(spark):
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(1, None, "x", 3), (2, "", "y", None), (3, long, None, 1), (4, long + " end", "z", 2), (5, "few words", "z", 2), (5, "few words", "z", 2), (None, "few words", "q", 1), (None, "none like it", "q", 1), (None, "none like it", "q", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, rows int")
+    kept = corpus_pipeline.without_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in kept.collect()) == [(0, "none like"), (1, ""), (3, "word0 wor"), (5, "few words")]

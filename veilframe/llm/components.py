@@ -39,6 +39,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         discard(now)
         now = after
         if sign == before:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            found = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            found._veilframe_path = now._veilframe_path  # so that ``discard`` can end it
+            return found
         before = sign
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

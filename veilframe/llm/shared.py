@@ -15,11 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    Taken from ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a temporary
-    folder stands in for it.
+    Taken from ``spark.checkpoint.dir``. Only where that is unset and driver and tasks are one process, as in
+    local tests, a temporary folder stands in for it; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark, "_veilframe_dir", None) or tempfile.mkdtemp(prefix="spark-veilframe-")
         spark._veilframe_dir = found
     return found.rstrip("/")

@@ -1,20 +1,23 @@
 """SimHash fingerprints and their near-duplicates, by an exact tiled comparison.
 
-Distinct fingerprints are dealt into tiles by their population count, a count with many rows into
-several tiles by hash. Two fingerprints within ``radius`` differing bits have counts that differ by
-``radius`` at most, so only such pairs of tiles meet, each in a task of its own. Inside a task the
-rows are ordered by the counts of their quarters, cut into blocks, and blocks whose ranges of counts
-lie further apart than the radius are skipped again; the rest are compared completely with numpy's
-exclusive-or and bit counts. A task returns a spanning forest of the links it found: no link
-between different components is lost and no group is expanded into all its pairs. Rounds of joins
-then find the components.
-
-Where links count only if the texts' shingles are similar enough, texts with the same set of shingles are one
-class, fingerprints are taken of that set, and each carries the set's size and a histogram of it. Classes with
-one fingerprint are tested like all others. Two texts' histograms differ by no more than their sets do,
-so a larger difference than the similarity allows rules a pair out inside the tile, and never a link.
-Rows in dense groups first keep a few separate ways each, whose links are tested; then every pair of
-such rows that these links have left in different components is tested too, so that none is lost.
+Distinct fingerprints are dealt into tiles by their population count: small neighbouring counts share a
+tile, and a count with many rows is cut into several by hash. Two fingerprints within ``radius``
+differing bits have counts that differ by ``radius`` at most, so only such pairs of tiles meet, each
+in a task of its own. Inside a task the rows are ordered by the counts of their quarters, cut into
+blocks, and blocks whose ranges of counts lie further apart than the radius are skipped again; the
+rest are compared completely with numpy's exclusive-or and bit counts. A task returns a spanning
+forest of the links it found: no link between different components is lost and no group is expanded
+into all its pairs. Rounds of joins then find the components.
+
+Where links count only if the texts' shingles are similar enough (Jaccard), texts with the same set of
+shingles are one class, fingerprints are taken of that set, and each carries the set's size and a histogram
+of it. Similar sets have similar sizes, so tiles are also cut by bands of the size, and only a band and the
+next one meet. Two texts' histograms differ by no more than their sets do, so a larger difference than
+the similarity allows rules a pair out inside the tile, and never a link. What the forests of this first
+comparison leave in different components can't be similar. A second comparison takes one component at a
+time, the small ones several to a task and a large one in pairs of blocks, with the whole texts: pairs that
+are not in one class yet are tested by counting their common shingles, and again a spanning forest is
+returned. So a group makes as many links as it has rows, whether its texts are similar or only nearly so.
 
 Words are the runs of `[^\\x20\\x09-\\x0D]` after A-Z is lower-cased; shingles are ``width`` words
 joined by spaces, repeats counted; with fewer words the whole sequence is the one shingle; without
@@ -30,25 +33,24 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.components import components
-from veilframe.llm.shared import written
+from veilframe.llm.shared import discard, written
 
 SEED = 42
-#: Rows of one tile: 8 bytes each, so a task holds a few MB whatever the input.
-TILE = 65_536
-#: Rows of one block inside a tile.
-BLOCK = 256
-#: Spanning forests without common links, for each half of the radius, where links are tested afterwards. More of
-#: them leave less to the second pass, and carry more links of dense groups through the rounds of joins.
-DISJOINT = 2
+#: Rows of one tile, and bytes of its histograms: some MB for a task whatever the input.
+TILE, TILE_BYTES = 32_768, 16 << 20
+#: Rows of one block inside a tile, and pairs looked at in one step.
+BLOCK, PAIRS = 256, 1 << 16
 #: Differing bits up to which texts are candidates for a Jaccard similarity of 0.8: some 10 bits are usual there, and of
 #: 10,502 random pairs of similarity 0.80 to 0.85 none differed in more (307 in more than 14).
 RADIUS = 22
-#: Bins of the histogram of a text's shingles, one saturating byte each, and pairs of histograms compared at a time.
-BINS, PAIRS = 64, 1 << 16
+#: Least and largest number of bins of the histogram of a text's shingles, one saturating byte each; one bin for 8 shingles.
+BINS, MOST_BINS, PER_BIN = 64, 1 << 16, 8
+#: Shingles of one block of texts in the second comparison (each text counts 64 more), and elements counted in one step.
+CHUNK, STEP = 1 << 18, 1 << 20
 
 
 def _hashes(text: str | None, width: int) -> np.ndarray:
@@ -81,12 +83,13 @@ def text_fingerprint(text: str | None, width: int) -> int:
 
 
 def shingle_bins(text: str | None, width: int) -> tuple[int, bytes]:
-    """Number of different shingles of a text, and their histogram by hash."""
+    """Number of different shingles of a text, and their histogram by hash, of more bins for more shingles."""
     return _histogram(np.unique(_hashes(text, width)))
 
 
 def _histogram(hashes: np.ndarray) -> tuple[int, bytes]:
-    counts = np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    bins = min(MOST_BINS, max(BINS, 1 << (len(hashes) // PER_BIN - 1).bit_length()))
+    counts = np.bincount((hashes & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
     return len(hashes), np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
@@ -104,8 +107,8 @@ def set_sketch(text: str | None, width: int) -> tuple[int, int, int, bytes]:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text: str = "text", sets: bool = False) -> DataFrame:
-    """(doc_id, fp): a signed 64-bit fingerprint for every row; with ``sets`` what ``set_sketch`` returns, as fp, key, n and bins."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """(doc_id, digest, fp): a digest of the text and its signed 64-bit fingerprint for every row; with ``sets`` what ``set_sketch`` returns, as fp, key, n and bins."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,9 +119,9 @@ def fingerprints(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text:
                 columns = {c: pa.array([m[k] for m in made], kind) for k, (c, kind) in enumerate(kinds.items())}
             else:
                 columns = {"fp": pa.array([text_fingerprint(x, width) for x in texts], pa.int64())}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **columns})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "digest": batch.column(2), **columns})
 
-    return rows.mapInArrow(run, "doc_id long, fp long" + ", key long, n long, bins binary" * sets)
+    return rows.mapInArrow(run, "doc_id long, digest long, fp long" + ", key long, n long, bins binary" * sets)
 
 
 class _Forest:
@@ -128,13 +131,12 @@ class _Forest:
         self.label = np.arange(n)
         self.links: list[tuple[int, int]] = []
 
-    def add(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Takes those of the links (i, j) that tie components, earlier ones first; returns which were taken."""
-        taken = np.zeros(len(i), bool)
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Takes those of the links (i, j) that tie components, earlier ones first."""
         a, b = self.label[i], self.label[j]
         differ = np.flatnonzero(a != b)
         if not len(differ):
-            return taken
+            return
         a, b = a[differ], b[differ]
         key, first = np.unique(np.minimum(a, b).astype(np.int64) * len(self.label) + np.maximum(a, b), return_index=True)
         order = np.argsort(first)
@@ -151,13 +153,11 @@ class _Forest:
             if x != y:
                 parent[max(x, y)] = min(x, y)
                 self.links.append((int(i[at]), int(j[at])))
-                taken[at] = True
         if parent:
             to = np.arange(len(self.label))
             for x in parent:
                 to[x] = find(x)
             self.label = to[self.label]
-        return taken
 
 
 def _blocks(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -169,21 +169,21 @@ def _blocks(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return order, starts, np.minimum.reduceat(quarters, starts), np.maximum.reduceat(quarters, starts)
 
 
-def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, disjoint: int = 0, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, every: bool = False, names: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Links within ``left``, or between it and ``right``, that tie what all links tie: an array of value pairs.
+Pairs = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-    With ``disjoint`` 0 a spanning forest. Else, for a later test of the links that drops some, so many
-    spanning forests without common links for each half of the radius: all links of a row that has no
-    more than ``disjoint`` in a half, and for rows in dense groups as many separate ways, nearest first.
-    ``keep`` tells which pairs of positions count; with ``every`` all of them are returned. ``names`` stand for the
-    values of both sides in the result.
+
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, may: Pairs | None = None, does: Pairs | None = None) -> np.ndarray:
+    """A spanning forest of the links within ``left``, or between it and ``right``: an array of pairs of positions.
+
+    Of the pairs within ``radius`` those count for which ``may`` (a quick test of arrays of positions) and ``does`` (a
+    dear one) hold. Only pairs that earlier links have not put into one component are tested.
     """
     own = right is None
     order, starts, least, most = _blocks(left)
     order2, starts2, least2, most2 = (order, starts, least, most) if own else _blocks(right)
     x, y = left[order], (left if own else right)[order2]
-    shift, pairs = 0 if own else len(x), [np.zeros((0, 2), np.int64)]
-    forests = [[_Forest(len(x) + (0 if own else len(y))) for _ in range(disjoint or 1)] for _ in range(2 if disjoint else 1)]
+    shift = 0 if own else len(x)
+    forest = _Forest(len(x) + (0 if own else len(y)))
     for k, start in enumerate(starts.tolist()):
         gap = np.maximum(least2 - most[k], least[k] - most2)
         near = np.flatnonzero(np.maximum(gap, 0).sum(axis=1) <= radius)
@@ -194,145 +194,176 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, disjoint
             if not len(other):
                 continue
             places = np.concatenate([np.arange(s, min(s + BLOCK, len(y))) for s in starts2[other].tolist()])
-            differ = np.bitwise_count(a[:, None] ^ y[places][None, :])
-            i, j = np.nonzero(differ <= radius)
+            i, j = np.nonzero(np.bitwise_count(a[:, None] ^ y[places][None, :]) <= radius)
+            i, j = i + start, places[j]
+            apart = forest.label[i] != forest.label[j + shift]
             if own:
-                i, j = i[(up := i + start < places[j])], j[up]
-            if keep is not None:
-                i, j = i[(good := keep(order[i + start], order2[places[j]]))], j[good]
-            if every:
-                pairs.append(np.stack((i + start, places[j] + shift), axis=1))
-                continue
-            if not disjoint:
-                forests[0][0].add(i + start, places[j] + shift)
-                continue
-            bits = differ[i, j]
-            rank = np.argsort(bits, kind="stable")
-            i, j, far = i[rank] + start, places[j[rank]] + shift, bits[rank] > radius * 2 // 3
-            for half, some in zip(forests, (~far, far), strict=True):
-                p, q = i[some], j[some]
-                for forest in half:
-                    rest = ~forest.add(p, q)
-                    p, q = p[rest], q[rest]
-    called, called2 = (x, y) if names is None else (names[0][order], names[1][order2])
-    both = called if own else np.concatenate((called, called2))
-    if every:
-        return both[np.concatenate(pairs)]
-    return both[np.array([link for half in forests for f in half for link in f.links], dtype=np.int64).reshape(-1, 2)]
-
-
-def _may_be_similar(one: pd.DataFrame, two: pd.DataFrame, similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Whether pairs of positions can reach ``similarity``: sets of sizes n and m that do differ in no more than
-    (n + m)(1 - similarity) / (1 + similarity) elements, and their histograms in no more than that."""
-    sides = [(x["n"].to_numpy(np.int64), np.frombuffer(b"".join(x["bins"]), np.uint8).reshape(-1, BINS)) for x in (one, two)]
-    (n, h), (m, g) = sides
-
-    def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        limit = (n[i] + m[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
-        found = np.abs(n[i] - m[j]) <= limit
+                apart &= i < j
+            i, j = i[apart], j[apart]
+            if may is not None:
+                i, j = i[(good := may(order[i], order2[j]))], j[good]
+            if does is not None:
+                # one way between each two components first, as most others needn't be tested after it
+                first = np.unique(forest.label[i].astype(np.int64) * len(forest.label) + forest.label[j + shift], return_index=True)[1]
+                for some in (first, np.setdiff1d(np.arange(len(i)), first, assume_unique=True)):
+                    p, q = i[some], j[some]
+                    p, q = p[(apart := forest.label[p] != forest.label[q + shift])], q[apart]
+                    good = does(order[p], order2[q])
+                    forest.add(p[good], q[good] + shift)
+            else:
+                forest.add(i, j + shift)
+    both = order if own else np.concatenate((order, order2 + len(x)))
+    return both[np.array(forest.links, dtype=np.int64).reshape(-1, 2)]
+
+
+def _may_be_similar(n: np.ndarray, bins: list[bytes], similarity: float, shift: int = 0) -> Pairs:
+    """Whether pairs of positions (the second counted from ``shift``) can reach ``similarity``: sets of sizes n and m that
+    do differ in no more than (n + m)(1 - similarity) / (1 + similarity) elements, and their histograms in no more than that."""
+    width = min(map(len, bins), default=BINS)
+    folded = [x if x.size == width else np.minimum(x.reshape(-1, width).sum(axis=0, dtype=np.int64), 255).astype(np.uint8) for x in (np.frombuffer(b, np.uint8) for b in bins)]
+    h = np.stack(folded) if folded else np.zeros((0, width), np.uint8)
+    piece = max(1, PAIRS * BINS // width)
+
+    def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        j = j + shift
+        limit = (n[i] + n[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        found = np.abs(n[i] - n[j]) <= limit
         i, j, limit = i[found], j[found], limit[found]
         apart = []
-        for k in range(0, len(i), PAIRS):
-            one, two = h[i[k : k + PAIRS]], g[j[k : k + PAIRS]]
+        for k in range(0, len(i), piece):
+            one, two = h[i[k : k + piece]], h[j[k : k + piece]]
             apart.append((np.maximum(one, two) - np.minimum(one, two)).sum(axis=1, dtype=np.int64))
         found[found] = (np.concatenate(apart) if apart else np.zeros(0)) <= limit
         return found
 
-    return keep
+    return may
+
+
+def _are_similar(sets: list[np.ndarray], similarity: float, shift: int = 0) -> Pairs:
+    """Whether pairs of positions share ``similarity`` or more of their different shingles, by counting the common ones."""
+    n = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(n)
+    names, flat = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
+    seen = np.zeros(len(names), bool)
+
+    def does(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out, j = np.zeros(len(i), bool), j + shift
+        order = np.argsort(i, kind="stable")
+        cuts = np.flatnonzero(np.diff(i[order])) + 1
+        for run in np.split(order, cuts) if len(order) else ():
+            one = i[run[0]]
+            seen[flat[ends[one] - n[one] : ends[one]]] = True
+            pieces = np.flatnonzero(np.diff(np.cumsum(n[j[run]]) // STEP)) + 1
+            for piece in np.split(run, pieces):
+                two = j[piece]
+                upto = np.cumsum(n[two])
+                places = np.arange(upto[-1]) + np.repeat(ends[two] - upto, n[two])
+                common = np.add.reduceat(seen[flat[places]], upto - n[two], dtype=np.int64)
+                out[piece] = common >= similarity * (n[one] + n[two] - common)
+            seen[flat[ends[one] - n[one] : ends[one]]] = False
+        return out
+
+    return does
+
+
+def _named(found: np.ndarray, names: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": names[found[:, 0]], "b": names[found[:, 1]]})
 
 
-def _task(radius: int, disjoint: int, similarity: float | None, every: bool):
+def _task(radius: int, similarity: float | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         own = bool(pdf["own"].iloc[0])
-        if not own and not (len(one) and len(two)):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        first, second = (x["fp"].to_numpy(np.int64).view(np.uint64) for x in (one, two))
-        other = one if own else two
-        keep = close = None if similarity is None else _may_be_similar(one, other, similarity)
-        if every:
-            root, roots = one["root"].to_numpy(np.int64), other["root"].to_numpy(np.int64)
-
-            def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                found = root[i] != roots[j]
-                found[found] = close(i[found], j[found])
-                return found
-
-        names = (one["key"].to_numpy(np.int64), other["key"].to_numpy(np.int64)) if "key" in pdf else None
-        found = tile_links(first, None if own else second, radius, disjoint, keep, every, names).view(np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+        both = pdf if own else pd.concat([pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]])
+        shift = 0 if own else int((pdf["side"] == 0).sum())
+        fps = both["fp"].to_numpy(np.int64).view(np.uint64)
+        may = None if similarity is None else _may_be_similar(both["n"].to_numpy(np.int64), both["bins"].tolist(), similarity, shift)
+        found = tile_links(fps, None, radius, may) if own else tile_links(fps[:shift], fps[shift:], radius, may)
+        return _named(found, both["key"].to_numpy(np.int64))
 
     return run
 
 
-def links(distinct_fps: DataFrame, radius: int = 4, tile: int = TILE, disjoint: int = 0, similarity: float | None = None, every: bool = False) -> DataFrame:
-    """(a, b): a spanning set of the links between distinct fingerprints ``fp`` at ``radius`` or fewer differing bits.
+def _tiled(rows: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with their tile, and (band, tile, low, high): the counts in each tile. ``rows`` have band, fp and width."""
+    levels = rows.withColumn("level", F.bit_count("fp").cast("long"))
+    sizes = levels.groupBy("band", "level").agg(F.count(F.lit(1)).alias("c"), F.max("width").alias("w"))  # 65 rows a band at most
+    band = Window.partitionBy("band")
+    room = F.greatest(F.lit(1), F.least(F.lit(tile), F.floor(F.lit(TILE_BYTES) / F.max("w").over(band))))
+    ahead = F.coalesce(F.sum("c").over(band.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    laid = sizes.select("band", "level", "c", room.alias("room"), ahead.alias("ahead")).select("band", "level", F.ceil(F.col("c") / F.col("room")).cast("long").alias("parts"), F.floor(F.col("ahead") / F.col("room")).alias("run"))
+    laid = written(laid, "levels")
+    number = lambda part: F.when(F.col("parts") > 1, F.concat_ws("-", "level", part.cast("string"))).otherwise(F.concat(F.lit("r"), F.col("run").cast("string")))
+    dealt = levels.join(F.broadcast(laid), ["band", "level"]).withColumn("tile", number(F.pmod(F.xxhash64("key"), F.col("parts"))))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    tiles = laid.select("*", every.alias("part")).select("band", "level", number(F.col("part")).alias("tile")).groupBy("band", "tile").agg(F.min("level").alias("low"), F.max("level").alias("high"))
+    return dealt, written(tiles, "tiles")
 
-    With a column ``key``, rows are told apart and named by it, and may share a fingerprint. ``similarity``: pairs whose ``n`` and ``bins`` rule it out don't count. ``every``: all pairs of different ``root`` that count.
-    """
-    levels = distinct_fps.select("*", F.bit_count("fp").cast("long").alias("level"))
-    sizes = levels.groupBy("level").count().select("level", F.ceil(F.col("count") / tile).cast("long").alias("parts"))
-    sizes = written(sizes, "levels")  # at most 65 rows
-    tiles = levels.join(F.broadcast(sizes), "level").select(*distinct_fps.columns, "level", F.pmod(F.xxhash64("key" if "key" in distinct_fps.columns else "fp"), F.col("parts")).alias("part"))
-    one, two = sizes.toDF("l1", "n1"), sizes.toDF("l2", "n2")
-    grid = one.join(F.broadcast(two), F.col("l2").between(F.col("l1"), F.col("l1") + radius))
-    for n, p in (("n1", "p1"), ("n2", "p2")):
-        grid = grid.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(p))
-    same = F.col("l1") == F.col("l2")
-    grid = grid.where(~same | (F.col("p1") <= F.col("p2")))
-    own = same & (F.col("p1") == F.col("p2"))
-    task = F.shiftleft(F.col("l1") * 65 + F.col("l2"), 48) + F.shiftleft("p1", 24) + F.col("p2")
-    first = grid.select(task.alias("task"), own.alias("own"), F.lit(0).alias("side"), F.col("l1").alias("level"), F.col("p1").alias("part"))
-    second = grid.where(~own).select(task.alias("task"), F.lit(False).alias("own"), F.lit(1).alias("side"), F.col("l2").alias("level"), F.col("p2").alias("part"))
-    met = tiles.join(first.union(second), ["level", "part"]).select("task", "own", "side", *distinct_fps.columns)
-    return met.groupBy("task").applyInPandas(_task(radius, disjoint, similarity, every), "a long, b long")
-
-
-def similar(found: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those links of ``found`` whose texts share ``similarity`` or more of their different shingles (Jaccard).
-
-    A key's text is that of its smallest id; all its texts have the same shingles. Only texts at the ends of links are read again.
-    """
-    ends = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    asked = ends.join(classes, "key").select(F.col("key").alias("_key"), "least_id")
-    rows = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("_key", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [(k, np.unique(_hashes(x, width))) for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            pairs = [(k, x.view(np.int64)) for k, x in pairs if _set_key(x) == k]  # ids may repeat: only the key's own text
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.list_(pa.int64()))], names=["key", "s"])
+def links(distinct: DataFrame, radius: int = 4, tile: int | None = None, similarity: float | None = None) -> DataFrame:
+    """(a, b): links between the keys of ``distinct`` (key, fp; fp is the key where there is none) at ``radius`` or fewer differing bits, as many as tie what all such links tie.
+
+    ``similarity``: ``distinct`` has n and bins too, and pairs that these rule out don't count.
+    """
+    if "key" not in distinct.columns:
+        distinct = distinct.withColumn("key", F.col("fp"))
+    if similarity is None:
+        rows, columns, step = distinct.select("key", "fp", F.lit(0).alias("band"), F.lit(8).alias("width")), ["key", "fp"], 0
+    else:
+        band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1.0001 / similarity))).cast("int")  # similar sets are in one band or in neighbours
+        rows, columns, step = distinct.select("key", "fp", "n", "bins", band.alias("band"), F.length("bins").alias("width")), ["key", "fp", "n", "bins"], 1
+    dealt, tiles = _tiled(rows, tile or TILE)
+    one = tiles.select(F.col("band").alias("band1"), F.col("tile").alias("tile1"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.explode(F.sequence(F.col("band"), F.col("band") + step)).alias("band2"))
+    two = tiles.select(F.col("band").alias("band2"), F.col("tile").alias("tile2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    met = one.join(two, "band2").where((F.col("low2") - F.col("high1") <= radius) & (F.col("low1") - F.col("high2") <= radius))
+    same = F.col("band1") == F.col("band2")
+    met = met.where(~same | (F.col("tile1") <= F.col("tile2")))
+    own = same & (F.col("tile1") == F.col("tile2"))
+    task = ["band1", "tile1", "band2", "tile2"]
+    first = met.select(*task, own.alias("own"), F.lit(0).alias("side"), F.col("band1").alias("band"), F.col("tile1").alias("tile"))
+    second = met.where(~own).select(*task, F.lit(False).alias("own"), F.lit(1).alias("side"), F.col("band2").alias("band"), F.col("tile2").alias("tile"))
+    sent = dealt.select("band", "tile", *columns).join(first.union(second), ["band", "tile"])
+    return sent.select(*task, "own", "side", *columns).groupBy(*task).applyInPandas(_task(radius, similarity), "a long, b long")
+
+
+def _exact(width: int, radius: int, similarity: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("side", kind="stable")
+        sets = [np.unique(_hashes(x, width)) for x in pdf["text"]]
+        good = [k for k, (x, key) in enumerate(zip(sets, pdf["key"].tolist(), strict=True)) if _set_key(x) == key]  # ids may repeat: only the key's own text
+        good = np.array(good, np.int64)[np.sort(np.unique(pdf["key"].to_numpy(np.int64)[good], return_index=True)[1])] if good else np.zeros(0, np.int64)
+        rows, sets = pdf.iloc[good], [sets[k] for k in good]
+        own, shift = bool(pdf["own"].iloc[0]), int((rows["side"] == 0).sum())
+        shift = 0 if own else shift
+        sketch = [_histogram(x) for x in sets]
+        may = _may_be_similar(np.array([n for n, _ in sketch], np.int64), [b for _, b in sketch], similarity, shift)
+        fps, does = rows["fp"].to_numpy(np.int64).view(np.uint64), _are_similar(sets, similarity, shift)
+        found = tile_links(fps, None, radius, may, does) if own else tile_links(fps[:shift], fps[shift:], radius, may, does)
+        return _named(found, rows["key"].to_numpy(np.int64))
 
-    sets = written(rows.mapInArrow(run, "key long, s array<long>").dropDuplicates(["key"]), "shingles")
-    both = found.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return run
 
 
-def _similar_components(classes: DataFrame, docs: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
-    """(node, root) over the links whose texts are similar.
+def similar_links(near: DataFrame, classes: DataFrame, docs: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
+    """(a, b): links between classes whose texts are similar, as many as tie what all such links tie.
 
-    A pair that the forests leave out has ``DISJOINT`` or more candidates at both its ends; such pairs
-    between different components are found and tested in a second pass.
+    ``near`` (node, root) are components outside which no pair is similar. A key's text is that of its smallest id; all
+    its texts have the same shingles. Only the texts of classes in ``near`` are read again.
     """
-    sketches = classes.select("key", "fp", "n", "bins")
-    candidates = written(links(sketches, radius, disjoint=DISJOINT, similarity=similarity).distinct(), "candidates")
-    found = written(similar(candidates, classes, docs, width, similarity), "similar")
-    roots = components(found)
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("_end"))
-    dense = ends.groupBy("_end").count().where(F.col("count") >= DISJOINT).select("_end")
-    rows = sketches.join(dense, F.col("key") == F.col("_end"), "left_semi")
-    labelled = rows.join(roots, F.col("key") == F.col("node"), "left").select("key", "fp", "n", "bins", F.coalesce("root", "key").alias("root"))
-    rest = links(labelled, radius, similarity=similarity, every=True)
-    ordered = [x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for x in (rest, candidates)]
-    untested = written(ordered[0].join(ordered[1], ["a", "b"], "left_anti"), "untested")
-    if not untested.limit(1).count():
-        return roots
-    return components(found.union(similar(untested, classes, docs, width, similarity)))
+    members = near.union(near.select(F.col("root").alias("node"), "root").distinct())
+    members = written(members.join(classes, F.col("node") == F.col("key")).select("root", "key", "fp", "least_id", (F.col("n") + 64).alias("weight")), "members")
+    totals = written(members.groupBy("root").agg(F.sum("weight").alias("total")), "groups")
+    small = totals.where(F.col("total") <= CHUNK).agg(F.sum("total")).first()[0] or 0
+    parts = F.ceil(F.col("total") / CHUNK).cast("long")
+    home = F.when(F.col("parts") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, -(-small // CHUNK)))))
+    part = F.pmod(F.xxhash64("key"), F.col("parts"))
+    dealt = members.join(totals, "root").withColumn("parts", parts).select("key", "fp", "least_id", (F.col("parts") > 1).alias("large"), home.alias("home"), part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    asked = written(dealt.select("key", "fp", "least_id", "large", "home", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), (F.col("part") > F.col("other")).cast("int").alias("side"), (F.col("part") == F.col("other")).alias("own")), "asked")
+    rows = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("least_id")))
+    return rows.select("large", "home", "one", "two", "side", "own", "key", "fp", "text").groupBy("large", "home", "one", "two").applyInPandas(_exact(width, radius, similarity), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, similarity: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): one row per row of ``docs``; component_id is the smallest doc_id reachable over links.
+    """(doc_id, fp, component_id, digest): one row per row of ``docs``; component_id is the smallest doc_id reachable over links.
 
     ``similarity``: fingerprints are of the different shingles, and links within ``radius`` count only if the texts are
     that similar, also where fingerprints are equal. Texts with the same set of shingles are one class, by its 64-bit digest.
@@ -340,17 +371,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, similarity
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     tested = similarity is not None
     marked = written(fingerprints(docs, width, sets=tested), "fingerprints")
-    node = "key" if tested else "fp"
-    own = [F.first(c).alias(c) for c in ("fp", "n", "bins")] if tested else []  # the same in all of a class
-    classes = written(marked.groupBy(node).agg(F.min("doc_id").alias("least_id"), *own), "classes")
+    if not tested:
+        marked = marked.withColumn("key", F.col("fp"))
+    own = [F.first(c).alias(c) for c in (("fp", "n", "bins") if tested else ("fp",))]  # the same in all of a class
+    classes = written(marked.groupBy("key").agg(F.min("doc_id").alias("least_id"), *own), "classes")
+    roots = components(links(classes, radius, similarity=similarity))
     if tested:
-        roots = _similar_components(classes, docs, width, radius, similarity)
-    else:
-        roots = components(links(classes.select("fp"), radius))
-    placed = classes.join(roots, classes[node] == roots["node"], "left").select(node, "least_id", F.coalesce("root", node).alias("root"))
+        near = roots
+        roots = components(similar_links(near, classes.select("key", "fp", "n", "least_id"), docs, width, radius, similarity))
+        discard(near)
+    placed = classes.select("key", "least_id").join(roots, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = placed.join(least, "root").select(node, "component_id")
-    return marked.join(named, node).select("doc_id", "fp", "component_id")
+    named = placed.join(least, "root").select("key", "component_id")
+    return marked.select("doc_id", "fp", "key", "digest").join(named, "key").select("doc_id", "fp", "component_id", "digest")
 
 
 def hexadecimal(fp) -> F.Column:
@@ -364,6 +397,13 @@ def representatives(docs: DataFrame, width: int = 5, radius: int = RADIUS, simil
     Of rows that share this id one stays. Rows without an id stay only if no row of their component
     has one, and then one of them does.
     """
-    stay = near_duplicates(docs, width, radius, similarity).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    found = near_duplicates(docs, width, radius, similarity)
+    stays = F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("digest"))
+    per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(stays).alias("_digest"))
+    stay = written(per_id.where("_digest is not null").select(F.col("doc_id").alias("_kept"), "rows", "_digest"), "stay")
+    known = F.col("doc_id").eqNullSafe(F.col("_kept"))
+    once = docs.join(stay.where("rows = 1").select("_kept"), known, "left_semi")
+    often = stay.where("rows > 1").select("_kept", "_digest")
+    if not often.limit(1).count():
+        return once
+    return once.union(docs.join(often, known & (F.xxhash64("text") == F.col("_digest")), "left_semi").dropDuplicates(["doc_id"]))
