@@ -25,7 +25,7 @@ def test_factor_one_is_exact_with_ties_and_odd_rows(spark):
     df = spark.createDataFrame(rows + [(i, v, 1.0, 3) for i, v in odd] + rows[:3], "vec_id long, embedding array<double>, score double, rank int")
     want = brute([*good], good, [i for i in good if i % 20 == 0], 20)
     got = {}
-    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), factor=1.0, shard=100, block=7).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), factor=1.0, shard=100, block=7, leaf=9).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
         assert r.rank == len(got[r.query_id])
     assert {q: list(dict.fromkeys(v)) for q, v in got.items()}.keys() == want.keys()
@@ -80,3 +80,43 @@ def test_registered_query_against_brute_force(spark):
     found = QUERIES["op1_vantage_point_ann"](spark, DATA).toPandas().sort_values(["query_id", "rank"])
     assert found.query_id.to_numpy()[::20].tolist() == ids[asked].tolist()
     assert np.allclose(found.score.to_numpy().reshape(-1, 20), exact)
+
+
+def plain_best(ids, points, asked, k):
+    scores = np.einsum("ik,jk->ij", points[asked], points, optimize=False)
+    out = {}
+    for row, q in zip(scores, asked, strict=True):
+        order = [i for i in np.lexsort((ids, -row)) if i != q][:k]
+        out[int(ids[q])] = [int(ids[i]) for i in order]
+    return out
+
+
+def test_trees_keep_every_tie():
+    rng = np.random.default_rng(11)
+    kinds = {"bits": rng.integers(0, 2, (1500, 12)), "signs": rng.integers(-1, 2, (1500, 16)), "plus-minus": rng.choice([-1, 1], (1500, 24))}
+    for points in kinds.values():
+        points = points[np.abs(points).sum(axis=1) > 0].astype(float)
+        ids = rng.permutation(len(points)) * 3
+        asked = np.arange(0, len(points), 9)
+        got = ann.search_shard(ids, points, ids[asked], points[asked], 20, 1.0, leaf=16)
+        assert {q: g.vec_id.tolist() for q, g in got.groupby("query_id", sort=False)} == plain_best(ids, points, asked, 20)
+
+
+def test_exact_on_clustered_vectors_of_unequal_lengths():
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(30, 16))
+    points = (centres[rng.integers(0, 30, 5000)] + 0.1 * rng.normal(size=(5000, 16))) * rng.lognormal(0, 0.5, 5000)[:, None]
+    points[3] *= 1e3
+    ids, asked = np.arange(5000), np.arange(0, 5000, 40)
+    got = ann.search_shard(ids, points, ids[asked], points[asked], 20, 1.0, leaf=64)
+    want = plain_best(ids, points, asked, 20)
+    assert {q: g.vec_id.tolist() for q, g in got.groupby("query_id", sort=False)} == want
+    seen = ann.search_shard(ids, points / np.linalg.norm(points, axis=1)[:, None], ids[asked], points[asked], 20, 0.5, leaf=64)
+    assert len(seen) == len(got)  # a smaller factor finds as many, if perhaps not the nearest
+
+
+def test_rows_of_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (1, [3.0, 0.0]), (2, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id = 0"), k=20).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 2.0), (2, 1.0), (1, 0.0)]
