@@ -77,42 +77,66 @@ def test_contexts_find_unseen_identifiers_and_leave_the_rest(spark):
     assert "client number ([CARD])," in clean[30] and clean[0].count("[EMAIL]") == 1
 
 
-def test_scores_against_brute_force(spark):
-    docs = corpus(random.Random(5))
-    marked = pii.base_spans(spark.createDataFrame([(str(i), t) for i, t in enumerate(docs)], "key string, text string"))
-    patterns = pii.induced_patterns(marked, 3)
-    got = {r.pattern: r.score for r in pii.scored_patterns(marked, patterns, 3).collect()}
-    edges = {}
+def shaped(word):
+    return "@" in word or sum(c in "0123456789" for c in word) >= 4
+
+
+def brute_scores(docs, support, confident, rounds):
+    places, edges = [], {}
     for t in docs:
-        w = re.split(r"[\x20\x09-\x0D]+", t)
+        w = ["", "", *re.split(r"[\x20\x09-\x0D]+", t)]
         found = [t[s:e] for _, s, e in base(t)]
         for a, b, c in zip(w, w[1:], w[2:], strict=False):
-            key = (f"{a} {b}".lower(), c)
-            edges[key] = edges.get(key, False) or any(c.startswith(v.split(" ")[0]) or v in c for v in found)
-    kept = {p for p, _ in edges if sum(s for (q, _), s in edges.items() if q == p) >= 3}
-    assert kept == set(got)
-    edges = {k: s for k, s in edges.items() if k[0] in kept}
-    value = {c: float(any(s for (_, d), s in edges.items() if d == c)) for _, c in edges}
-    for _ in range(3):
-        score = {p: (lambda v: sum(v) / len(v))([value[c] for q, c in edges if q == p]) for p in kept}
+            if c:
+                seed = any(c.startswith(v.split(" ")[0]) or v in c for v in found)
+                places.append((f"{a} {b}".lower(), c, seed, bool(found)))
+    seeds = {c for _, c, s, _ in places if s}
+    kept = {p for p, *_ in places if len({c for q, c, s, _ in places if s and q == p}) >= support}
+    edges = {(p, c) for p, c, s, _ in places if p in kept and (s or shaped(c))}
+    others = {}
+    for p in kept:
+        own = {c for q, c in edges if q == p}
+        pairs = {(q, c) for q, c, s, _ in places if s}
+        near = {c for q, c, _, f in places if q == p and f and not shaped(c) and (q, c) not in pairs}
+        others[p] = len(near)
+        if len(own) >= confident * (len(own) + len(near)):
+            others[p] = max(len(near), len({c for q, c, _, _ in places if q == p and not shaped(c) and c not in seeds}))
+    value = {c: float(c in seeds) for _, c in edges}
+    for _ in range(rounds):
+        score = {p: sum(value[c] for q, c in edges if q == p) / (sum(q == p for q, _ in edges) + others[p]) for p in kept}
         for c in value:
-            if not any(s for (_, d), s in edges.items() if d == c):
+            if c not in seeds:
                 doubt = 1.0
                 for q, d in edges:
                     if d == c:
                         doubt *= 1 - min(score[q], 0.999999)
                 value[c] = 1 - doubt
-    assert all(abs(got[p] - score[p]) < 1e-9 for p in kept)
+    return score
+
+
+def scores_of(spark, docs, support=pii.SUPPORT, confident=pii.CONFIDENT, rounds=pii.ROUNDS):
+    texts = spark.createDataFrame([(t,) for t in docs], "text string")
+    places = pii.seed_places(pii.base_spans(texts)).cache()
+    found = pii.scored_patterns(texts, places, pii.induced_patterns(places, support), confident, rounds)
+    return {r.pattern: r.score for r in found.collect()}
+
+
+def test_scores_against_brute_force(spark):
+    docs = corpus(random.Random(5))
+    for confident in (0.8, 0.05):
+        got, want = scores_of(spark, docs, 2, confident), brute_scores(docs, 2, confident, pii.ROUNDS)
+        assert got.keys() == want.keys() and len(got) > 3
+        assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
-def test_pairs_of_everyday_words_induce_nothing(spark):
+def test_pairs_of_everyday_words_score_low(spark):
     docs = [f"some text reach me user{i}@mail.example" for i in range(10)]
     docs += [f"and the thing{i} more text and the other{i} and the user{i}@mail.example" for i in range(20)]
     docs += [docs[-1]] * 30
-    marked = pii.base_spans(spark.createDataFrame([(str(i), t) for i, t in enumerate(docs)], "key string, text string"))
-    assert {r.pattern for r in pii.induced_patterns(marked, 5).collect()} == {"reach me", "and the"}
-    assert {r.pattern for r in pii.induced_patterns(marked, 5, 0.5).collect()} == {"reach me"}
-    assert {r.pattern for r in pii.induced_patterns(marked, 5, 0.2).collect()} == {"reach me", "and the"}
+    docs += [f"send it to user{i}@mail.example" for i in range(12)] + [f"send it to place{c} at once" for c in "abcdefgh"]
+    score = scores_of(spark, docs)
+    assert score["reach me"] == 1 and score["and the"] == 20 / 60  # copies change nothing
+    assert score["it to"] == 12 / 20  # the other words of texts without seeds count too, as the pattern might be confident
 
 
 def test_a_pattern_with_a_low_share_is_lifted_by_a_confident_one(spark):
@@ -123,10 +147,30 @@ def test_a_pattern_with_a_low_share_is_lifted_by_a_confident_one(spark):
     docs += [f"{filler(i)} my email: member{1000 + i}" for i in range(60)]
     docs += ["plain words here account id: other77415"]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    marked = pii.base_spans(df.select(df.doc_id.cast("string").alias("key"), "text"))
-    induced = pii.induced_patterns(marked)
-    score = {r.pattern: r.score for r in pii.scored_patterns(marked, induced).collect()}
+    score = scores_of(spark, docs)
     assert score["my email:"] > 0.9 and score["account id:"] > 0.9
     got = {r.doc_id: r.spans for r in pii.report(df).collect()}
     a, b = map(int, re.search(r"context:(\d+):(\d+)", got[len(docs) - 1]).groups())
     assert docs[-1][a:b] == "other77415"
+
+
+def test_contexts_planted_in_the_supplied_table(spark):
+    from pyspark.sql import functions as F
+
+    from veilframe.llm.shared import table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    n = docs.count()
+    planted = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\nmember handle: person"), F.col("doc_id"), F.when(F.col("doc_id") % 20 == 0, F.concat(F.lit("x"), F.col("doc_id") + 10_000)).otherwise(F.lit("@mail.example")))).otherwise(F.col("text")))
+    got = {r.doc_id: r.spans for r in pii.report(planted).collect()}
+    found = {i for i, s in got.items() if "context:" in s}
+    unseen = {r.doc_id for r in planted.where("doc_id % 20 = 0").select("doc_id").collect()}
+    assert len(got) == n and found == unseen and len(unseen) > 5
+
+
+def test_a_long_text_with_many_hits(spark):
+    docs = [f"some words my email: user{i}@mail.example" for i in range(20)]
+    docs.append("start " + " ".join(f"my email: member{10_000 + i % 3}" for i in range(20_000)))
+    got = pii.report(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).where("doc_id = 20").first().spans.split(",")
+    assert len(got) == 20_000
+    assert {docs[20][int(x.split(":")[1]) : int(x.split(":")[2])] for x in got} == {f"member{10_000 + i}" for i in range(3)}

@@ -6,13 +6,17 @@ run of characters more than once: quantifiers are possessive where nothing can b
 match may begin only at the start of a run or where the last match ended.
 
 The contextual extraction starts from the base spans as seed entities. The two words before a seed
-induce a lexical pattern, which is kept if it has enough different seeds. All places in all texts
-that such a pattern precedes make a graph between patterns and the values found there. Rounds of
-joins score it: a pattern's score is the mean score of its different values, a value's is 1 for
-seeds and otherwise the noisy-or of its patterns'. Values with an identifier's form (four or more
-digits, or an at sign) after a pattern that scores ``confident`` or more, and that no base span
-overlaps, are new spans of the kind ``context``. As every place of a pattern counts, also those
-that an ordinary word follows, patterns of everyday words score low and find nothing.
+(at the start of a text, empty ones) induce a lexical pattern, which is kept if it has enough different
+seeds. Instances are the words with an identifier's form (four or more digits, or an at sign) after such a
+pattern, in all texts, and its seeds. Patterns and instances make a graph, and rounds of joins score it: a
+pattern's score is the mean over the different values after it, a value's is 1 for seeds, 0 for words
+without an identifier's form, and otherwise the noisy-or of its patterns'. Instances of a pattern that scores
+``confident`` or more, and that no base span overlaps, are new spans of the kind ``context``.
+
+Words without an identifier's form only count. They are counted in the texts with seeds first, for every
+induced pattern. Where these alone keep a pattern from a score of ``confident``, its count stays; for all
+others the words of all texts are counted. So patterns of everyday words score low and find nothing, and
+the many places where they occur are never joined.
 
 Offsets are code points, ends exclusive. Null texts count as empty and give no spans. Spans depend
 on the text and the corpus alone: repeated rows get equal results, and no step needs unique ids.
@@ -21,7 +25,7 @@ Extra columns are not read, or passed through by ``redacted``. An empty table gi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.shared import discard, written
@@ -88,27 +92,30 @@ def base_spans(df: DataFrame, text: str = "text", into: str = "base") -> DataFra
     return df.withColumn(into, F.concat(*[_spans_of(kind, body) for kind in KINDS]))
 
 
-def _places(df: DataFrame) -> DataFrame:
-    """(key, base, pattern, value, start): each word with the two words before it, as text and as a pattern.
+BLANK = r"[\x20\x09-\x0D]+"
+#: A word with an identifier's form, as found inside a text.
+SHAPE = r"@|[0-9](?:[^0-9\x20\x09-\x0D]*[0-9]){3}"
+
+
+def _shaped(value: str | Column = "value") -> Column:
+    return F.contains(value, F.lit("@")) | (F.length(_digits(F.col(value) if isinstance(value, str) else value)) >= 4)
 
-    ``df`` has key, text and base. A word's start is the sum of what precedes it, made of the words and
-    the white space between them.
-    """
-    words = F.split("text", r"[\x20\x09-\x0D]+", -1)
-    rows = df.select("key", "base", words.alias("w")).where(F.size("w") >= 3)
-    n = F.size("w") - 2
-    zipped = F.arrays_zip(F.slice("w", 1, n).alias("a"), F.slice("w", 2, n).alias("b"), F.slice("w", 3, n).alias("value"))
-    return rows.select("key", "base", F.inline(zipped)).where("value <> ''")
 
+def _places(df: DataFrame, *keep: str) -> DataFrame:
+    """(keep, pattern, value): each word of ``text`` with the two words before it as a pattern."""
+    rows = df.select(*keep, F.split("text", BLANK, -1).alias("w"))
+    n, padded = F.size("w"), F.concat(F.array(F.lit(""), F.lit("")), F.col("w"))
+    zipped = F.arrays_zip(F.slice(padded, 1, n).alias("a"), F.slice(padded, 2, n).alias("b"), F.col("w").alias("value"))
+    return rows.select(*keep, F.inline(zipped)).where("value <> ''").select(*keep, _pattern().alias("pattern"), "value")
 
-def _pattern(a: str = "a", b: str = "b") -> Column:
+
+def _pattern(a: str | Column = "a", b: str | Column = "b") -> Column:
     return F.concat(F.lower(a), F.lit(" "), F.lower(b))
 
 
 def _seed(value: Column, base: Column) -> Column:
-    """The kind of a base span whose first word this is, else null."""
-    hits = F.filter(base, lambda s: F.startswith(value, F.substring_index(s["value"], " ", 1)) | F.contains(value, s["value"]))
-    return F.get(F.transform(hits, lambda s: s["kind"]), F.lit(0))
+    """Whether a base span begins in this word."""
+    return F.exists(base, lambda s: F.startswith(value, F.substring_index(s["value"], " ", 1)) | F.contains(value, s["value"]))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -116,33 +123,46 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def induced_patterns(marked: DataFrame, support: int = SUPPORT, share: float = 0.0) -> DataFrame:
-    """(pattern): those that precede at least ``support`` different seed values, if these are at least ``share``
-    of the different values that follow the pattern in texts with seeds. ``marked``: key, text, base.
+def seed_places(marked: DataFrame) -> DataFrame:
+    """(pattern, value, seed): the different words in texts with base spans, and whether they are seeds. ``marked``: text, base.
 
-    A share tells nothing of a pattern's score, to which values that other patterns precede add; ``detected`` asks for
-    none. Values are counted once each, so copies of a text change nothing.
+    Values are counted once each, so copies of a text change nothing.
     """
-    seed = F.coalesce(_seed(F.col("value"), F.col("base")).isNotNull(), F.lit(False))
-    places = _places(marked.where(F.size("base") > 0)).select(_pattern().alias("pattern"), "value", seed.cast("int").alias("seed"))
-    distinct = places.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    counted = distinct.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count(F.lit(1)).alias("values"))
-    return counted.where((F.col("seeds") >= support) & (F.col("seeds") >= share * F.col("values"))).select("pattern")
+    places = _places(marked.where(F.size("base") > 0), "base")
+    seed = _seed(F.col("value"), F.col("base")).cast("int")
+    return places.select("pattern", "value", seed.alias("seed")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+
 
+def induced_patterns(places: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(pattern, others): patterns with at least ``support`` different seeds, and the number of different words after
+    them in ``places`` that are neither seeds nor have an identifier's form."""
+    counted = places.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count_if((F.col("seed") == 0) & ~_shaped()).alias("others"))
+    return counted.where(F.col("seeds") >= support).select("pattern", "others")
 
-def scored_patterns(marked: DataFrame, patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score) over all places of ``patterns`` in ``marked``.
 
-    Seeds, and values that one pattern alone precedes, whose score is that pattern's, are counts of the pattern. Only
-    the other values pass through the rounds of joins.
+def scored_patterns(marked: DataFrame, places: DataFrame, patterns: DataFrame, confident: float = CONFIDENT, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, score, values, edges) of ``patterns``, with all texts of ``marked`` (text) and the seeds of ``places``.
+
+    Seeds, and instances that one pattern alone precedes, whose score is that pattern's, are counts of the pattern. Only
+    the other instances pass through the rounds of joins.
     """
-    places = _places(marked).withColumn("pattern", _pattern()).join(_small(patterns), "pattern")
-    seed = F.coalesce(_seed(F.col("value"), F.col("base")).isNotNull(), F.lit(False))
-    edges = written(places.select("pattern", "value", seed.cast("int").alias("seed")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
+    known = places.where("seed = 1").select("pattern", "value")
+    induced = _small(patterns)
+    formed = _places(marked.where(F.col("text").rlike(SHAPE))).where(_shaped())
+    pairs = formed.union(known).join(induced, "pattern").select("pattern", "value").distinct()
+    seeds = written(known.select("value").distinct(), "seeds")
+    edges = written(pairs.join(seeds.select("value", F.lit(1).alias("seed")), "value", "left").select("pattern", "value", F.coalesce("seed", F.lit(0)).alias("seed")), "edges")
     values = edges.groupBy("value").agg(F.max("seed").alias("known"), F.count(F.lit(1)).alias("degree"))
     labelled = written(edges.select("pattern", "value").join(values, "value"), "labelled")
     own = ((F.col("known") == 0) & (F.col("degree") == 1)).cast("long")
-    counts = written(labelled.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("known").alias("seeds"), F.sum(own).alias("own")), "counts")
+    per_pattern = labelled.groupBy("pattern").agg(F.count(F.lit(1)).alias("edges"), F.sum("known").alias("seeds"), F.sum(own).alias("own"))
+    counts = written(per_pattern.join(patterns, "pattern").select("*", (F.col("edges") + F.col("others")).alias("values")), "counts")
+    hopeful = written(counts.where(F.col("edges") >= F.lit(confident) * F.col("values")).select("pattern"), "hopeful")
+    if hopeful.limit(1).count():
+        plain = _places(marked).join(_small(hopeful), "pattern").where(~_shaped()).select("pattern", "value").distinct()
+        more = plain.join(seeds, "value", "left_anti").groupBy("pattern").agg(F.count(F.lit(1)).alias("all_others"))
+        whole = counts.join(more, "pattern", "left").withColumn("values", F.greatest(F.col("values"), F.col("edges") + F.coalesce("all_others", F.lit(0))))
+        counts = written(whole.drop("all_others"), "counts")
     shared = written(labelled.where("known = 0 and degree > 1").select("pattern", "value"), "shared")
     capped = F.least(F.col("score"), F.lit(0.999999))
     scores = written(counts.select("pattern", (F.col("seeds") / F.col("values")).alias("score")), "patterns")
@@ -154,54 +174,61 @@ def scored_patterns(marked: DataFrame, patterns: DataFrame, rounds: int = ROUNDS
         new = written(counts.join(scores, "pattern").join(sums, "pattern", "left").select("pattern", (total / F.col("values")).alias("score")), "patterns")
         discard(scores)
         scores = new
-    for done in (edges, labelled, counts, shared):
+    found = written(scores.join(counts.select("pattern", "values", "edges"), "pattern"), "scored")
+    for done in (seeds, edges, labelled, counts, hopeful, shared, scores):
         discard(done)
-    return scores
+    return found
 
 
 def context_spans(marked: DataFrame, confident: DataFrame) -> DataFrame:
-    """(key, extra): per text with any, its new spans after one of the ``confident`` patterns."""
-    shaped = (F.length(_digits(F.col("value"))) >= 4) | F.contains("value", F.lit("@"))
-    hits = _places(marked).where(shaped).withColumn("pattern", _pattern()).join(_small(confident), "pattern").select("key", "a", "b", "value").distinct()
-    grouped = hits.groupBy("key").agg(F.collect_set(F.struct("a", "b", "value")).alias("hits"))  # one text's own words
-    rows = marked.join(grouped, "key")
-    quote = lambda c: F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    blank = r"[\x20\x09-\x0D]+"
-    each = rows.select("key", "text", "base", F.explode("hits").alias("h"))
-    edge = F.concat(F.lit(r"(?:^|(?<=[\x20\x09-\x0D]))"), quote(F.col("h.a")), F.lit(blank), quote(F.col("h.b")), F.lit(blank))
-    tail = F.concat(quote(F.col("h.value")), F.lit(r"(?=[\x20\x09-\x0D]|$)"))
-    ahead = F.regexp_extract_all("text", F.concat(F.lit("(?s)(.*?"), edge, F.lit(")"), tail), F.lit(1))
-    at = F.aggregate(ahead, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, g: F.struct((acc["at"] + F.length(g) + F.length("h.value")).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(g))).alias("out")), lambda acc: acc["out"])
-    core = F.regexp_extract("h.value", r"^[^0-9A-Za-z@+]*(.*?)[^0-9A-Za-z]*$", 1)
-    lead = F.length(F.regexp_extract("h.value", r"^([^0-9A-Za-z@+]*)", 1))
-    found = each.select("key", "base", F.explode(at).alias("at"), lead.alias("lead"), F.length(core).alias("long")).where("long > 0")
-    span = F.struct(F.lit("context").alias("kind"), (F.col("at") + F.col("lead")).alias("start"), (F.col("at") + F.col("lead") + F.col("long")).alias("end"))
-    clear = ~F.exists("base", lambda s: (s["start"] < F.col("at") + F.col("lead") + F.col("long")) & (s["end"] > F.col("at") + F.col("lead")))
-    return found.where(clear).groupBy("key").agg(F.array_sort(F.collect_set(span)).alias("extra"))
+    """(key, extra): per text with any, the instances after one of the ``confident`` patterns. ``marked``: key, text.
+
+    A word's start is the sum of the words and the white space before it, a running sum over the words of each text that
+    has such an instance.
+    """
+    texts = marked.where(F.col("text").rlike(SHAPE))
+    hit = _places(texts, "key").where(_shaped()).join(_small(confident), "pattern").select("key").distinct()
+    rows = texts.dropDuplicates(["key"]).join(_small(written(hit, "texts")), "key", "left_semi")
+    words, gaps = F.split("text", BLANK, -1), F.concat(F.regexp_extract_all("text", F.lit(BLANK), F.lit(0)), F.array(F.lit("")))
+    each = rows.select("key", F.posexplode(F.arrays_zip(words.alias("word"), gaps.alias("gap"))).alias("pos", "x")).select("key", "pos", "x.*")
+    order = Window.partitionBy("key").orderBy("pos")
+    ahead = F.sum(F.length("word") + F.length("gap")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    before = lambda n: F.coalesce(F.lag("word", n).over(order), F.lit(""))
+    placed = each.select("key", "word", F.coalesce(ahead, F.lit(0)).cast("int").alias("at"), _pattern(before(2), before(1)).alias("pattern")).where(_shaped("word"))
+    lead = F.length(F.regexp_extract("word", r"^([^0-9A-Za-z@+]*)", 1))
+    long = F.length(F.regexp_extract("word", r"^[^0-9A-Za-z@+]*(.*?)[^0-9A-Za-z]*$", 1))
+    found = placed.join(_small(confident), "pattern").select("key", (F.col("at") + lead).alias("start"), long.alias("long")).where("long > 0")
+    span = F.struct(F.lit("context").alias("kind"), "start", (F.col("start") + F.col("long")).alias("end"))
+    return found.groupBy("key").agg(F.array_sort(F.collect_set(span)).alias("extra"))  # one text's own words
 
 
 def detected(docs: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``extra``, the spans by pattern and by context.
 
-    Texts are told apart by their SHA-256 digest. The corpus is read for its seeds, again for the places of
-    induced patterns if there are any, and once more for new spans if any pattern is confident.
+    Texts are told apart by their SHA-256 digest. The corpus is read for its seeds, again for the instances of induced
+    patterns if there are any, for the other words of those that may be confident, and for new spans if any is.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    marked = base_spans(docs.select(body.alias("text")), "text").select(F.sha2("text", 256).alias("key"), "text", "base")
+    texts = docs.select(body.alias("text"))
+    places = written(seed_places(base_spans(texts, "text")), "places")
+    patterns = written(induced_patterns(places, support), "induced")
     extra = None
-    patterns = written(induced_patterns(marked, support), "induced")
     if patterns.limit(1).count():
-        scores = scored_patterns(marked, patterns)
+        scores = scored_patterns(texts, places, patterns, confident)
         sure = written(scores.where(F.col("score") >= confident).select("pattern"), "confident")
+        discard(scores)
         if sure.limit(1).count():
-            extra = written(context_spans(marked.dropDuplicates(["key"]), sure), "context")
+            extra = written(context_spans(texts.select(F.sha2("text", 256).alias("key"), "text"), sure), "context")
+    for done in (places, patterns):
+        discard(done)
     out = base_spans(docs, text, "base")
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     if extra is None:
         return out.withColumn("extra", none)
     keyed = out.withColumn("_key", F.sha2(body, 256))
     joined = keyed.join(_small(extra).withColumnRenamed("key", "_found"), F.col("_key") == F.col("_found"), "left")
-    return joined.withColumn("extra", F.coalesce("extra", none)).drop("_key", "_found")
+    clear = F.filter("extra", lambda x: ~F.exists("base", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])))
+    return joined.withColumn("extra", F.coalesce(clear, none)).drop("_key", "_found")
 
 
 def listed(spans: Column) -> Column:
