@@ -48,9 +48,9 @@ def test_mix_meets_targets_and_sql(spark):
         assert abs(sum(r.taken for r in own) - want[s]) <= 1
     con = duckdb.connect()
     con.register("documents", df.toPandas()[["doc_id", "text", "source"]])
-    sql = sorted(map(str, con.sql(mixing.ORACLE.replace("coalesce(doc_id::VARCHAR", "coalesce(doc_id::BIGINT::VARCHAR")).fetchall()))
-    con_rows = sorted(str((r.doc_id, r.size, r.source_size, r.target, r.taken)) for r in got)
-    assert [x.replace(".0", "") for x in sql] == [x.replace(".0", "") for x in con_rows] or len(sql) == len(con_rows)
+    sql = con.sql(mixing.ORACLE.replace("coalesce(doc_id::VARCHAR", "coalesce(doc_id::BIGINT::VARCHAR")).fetchall()
+    named = lambda i, *x: (-1 if i is None or i != i else int(i), *x[:2], round(x[2], 6), x[3])  # noqa: E731 - pandas has no null among numbers
+    assert sorted(named(*x) for x in sql) == sorted(named(r.doc_id, r.size, r.source_size, r.target, r.taken) for r in got)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7), keep=["source"]).collect()))
 
 
@@ -72,3 +72,22 @@ def test_rows_and_empty(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     nothing = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.taken) for r in mixing.mix(nothing).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_ranges_are_even_at_any_weights(spark):
+    from pyspark.sql import functions as F
+
+    for low in (1.0, 0.1, 0.002):
+        rows = spark.range(200_000).select((-F.log(mixing.uniform(3, F.col("id"))) / F.lit(low)).alias("key"), F.lit(low).alias("w"))
+        rows = rows.union(spark.range(50_000).select(-F.log(mixing.uniform(4, F.col("id"))), F.lit(1.0)))
+        levels = rows.groupBy("w").agg(F.count(F.lit(1)).alias("docs")).agg(F.collect_list(F.struct("w", "docs")).alias("levels"))
+        at = F.floor(mixing.expected_below(F.col("key"), F.col("levels")) / 250_000 * 500)
+        counts = [r["count"] for r in rows.crossJoin(F.broadcast(levels)).groupBy(at).count().collect()]
+        assert sum(counts) == 250_000 and max(counts) < 2 * 500
+
+
+def test_a_very_long_text(spark):
+    rows = [(1, "word " * 300_000, "a"), (2, "two words", "a"), (3, "x", "b")]
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1].size == 300_000 and got[1].source_size == 300_002
+    assert all(abs(sum(r.taken for r in got.values() if r.doc_id in own) - got[own[0]].target) <= 1 for own in ((1, 2), (3,)))

@@ -3,14 +3,16 @@
 A budget is shared among the sources by weight; no source gets more than ``most`` times its size, and
 what it can't take is shared again among the rest by weight. A source's target is met by complete
 epochs first, in which every document counts once, then by a fraction: its documents are ordered by
-exponential keys, -ln(u) / quality with u a hash of the document's id and text, and taken in that
+exponential keys, -ln(u) / quality with u a hash of the document's id and size, and taken in that
 order up to the budget that is left. The last one is taken in part, so the words taken meet the
 target to less than a word. A key that is k times likelier to be small belongs to a document with k
 times the quality.
 
 The order within a source is found in two levels: its keys are cut into about sqrt(documents) ranges,
-sums of ranges are added up first and the documents inside a range after that. No task sorts a whole
-source, however large its share of the rows.
+sums of ranges are added up first and the documents inside a range after that. A key's range is the share
+of the source's documents that are expected below it, which the source's histogram of weights tells:
+a document of weight w has a key below x with probability 1 - exp(-w x). So the ranges are about even
+whatever the weights, and no task sorts a whole source, however large its share of the rows.
 
 Sizes are counts of `[^\\x20\\x09-\\x0D]+` (null or empty: 0). Sources come by code point, null last as a
 source of its own, the empty string first. The weights repeat over them in that order. Documents of
@@ -32,6 +34,8 @@ from veilframe.llm.shared import written
 #: Shares of the sources in turn, the budget over all sizes, and the most of a source's size.
 WEIGHTS, BUDGET, MOST = (3, 1, 2), 1.5, 2.0
 LEAST_QUALITY = 0.05
+#: Classes of the histogram of weights: so many to each doubling, and the least and largest class.
+CLASSES, LEAST_CLASS, MOST_CLASS = 2, -60, 60
 #: Sources up to which their targets are broadcast: some MB.
 BROADCAST_ROWS = 100_000
 
@@ -73,6 +77,11 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float
     return rows.select("source", "docs", "source_size", share.alias("target"))
 
 
+def expected_below(key: Column, levels: Column) -> Column:
+    """How many documents of a source are expected to have a smaller key, by its histogram of weights (w, docs)."""
+    return F.aggregate(levels, F.lit(0.0), lambda acc, x: acc + x["docs"] * (F.lit(1.0) - F.exp(-x["w"] * key)))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = 7, quality: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken) and the columns ``keep``: the words that the mix takes of each row.
 
@@ -81,15 +90,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
     size = words("text")
     rows = docs.select("doc_id", "source", size.alias("size"), (F.col(quality).cast("double") if quality else prose_quality(size, F.coalesce(F.length("text"), F.lit(0)))).alias("_q"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     weight = F.when(F.col("_q") > 0, F.col("_q")).otherwise(F.lit(LEAST_QUALITY))
-    rows = rows.withColumn("_key", -F.log(uniform(seed, F.col("doc_id"), F.col("size"))) / weight)
+    rows = rows.withColumn("_weight", weight).withColumn("_key", -F.log(uniform(seed, F.col("doc_id"), F.col("size"))) / F.col("_weight"))
     rows = written(rows, "sizes")  # the texts are read once
-    shares = targets(rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size")), weights, budget, most)
-    shares = written(shares.withColumnRenamed("source", "_source"), "targets")
+    level = F.greatest(F.lit(LEAST_CLASS), F.least(F.lit(MOST_CLASS), F.floor(F.log2("_weight") * CLASSES)))
+    levels = rows.groupBy("source", level.alias("_level")).agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("size"), F.avg("_weight").alias("w"))
+    sources = levels.groupBy("source").agg(F.sum("docs").alias("docs"), F.sum("size").alias("source_size"), F.collect_list(F.struct("w", "docs")).alias("_levels"))
+    sources = written(sources, "sources")  # a source has 121 classes at most
+    shares = targets(sources.drop("_levels"), weights, budget, most).withColumnRenamed("source", "_source")
+    shares = written(shares.join(sources.select("source", "_levels"), F.col("_source").eqNullSafe(F.col("source"))).drop("source"), "targets")
     if shares.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         shares = F.broadcast(shares)  # a checked size; more sources are joined by a shuffle, which AQE splits at hot ones
     parts = F.ceil(F.sqrt("docs")).cast("long")
-    spread = F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * parts).cast("long")  # rises with the key; about even over its distribution
-    placed = rows.join(shares, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_range", spread)
+    spread = F.floor(expected_below(F.col("_key"), F.col("_levels")) / F.col("docs") * parts).cast("long")  # rises with the key
+    placed = rows.join(shares, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_range", spread).drop("_levels")
     ranges = placed.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
