@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.llm import ann, bpe, lengths, licenses, media, mixing, pii, quality, simhash, urlfilter
-from veilframe.llm.shared import table
+from veilframe.llm.shared import table, written
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -49,7 +49,7 @@ def op4_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("text")
     counted = bpe.count(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN).select("n_tokens")
-    return lengths.suffix_sums(lengths.histogram(counted))
+    return lengths.suffix_sums(written(lengths.histogram(counted), "lengths"))  # the texts are encoded once
 
 
 @query

@@ -51,6 +51,8 @@ RADIUS = 22
 BINS, MOST_BINS, PER_BIN = 64, 1 << 16, 8
 #: Shingles of one block of texts in the second comparison (each text counts 64 more), and elements counted in one step.
 CHUNK, STEP = 1 << 18, 1 << 20
+#: Rows up to which a table of ids (some 50 bytes a row) is broadcast to the texts; beyond it the texts are shuffled to the ids.
+BROADCAST_ROWS = 500_000
 
 
 def _hashes(text: str | None, width: int) -> np.ndarray:
@@ -266,6 +268,11 @@ def _are_similar(sets: list[np.ndarray], similarity: float, shift: int = 0) -> P
     return does
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, of a written table, broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _named(found: np.ndarray, names: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": names[found[:, 0]], "b": names[found[:, 1]]})
 
@@ -358,7 +365,7 @@ def similar_links(near: DataFrame, classes: DataFrame, docs: DataFrame, width: i
     part = F.pmod(F.xxhash64("key"), F.col("parts"))
     dealt = members.join(totals, "root").withColumn("parts", parts).select("key", "fp", "least_id", (F.col("parts") > 1).alias("large"), home.alias("home"), part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     asked = written(dealt.select("key", "fp", "least_id", "large", "home", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), (F.col("part") > F.col("other")).cast("int").alias("side"), (F.col("part") == F.col("other")).alias("own")), "asked")
-    rows = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("least_id")))
+    rows = docs.join(_small(asked), F.col("doc_id").eqNullSafe(F.col("least_id")))
     return rows.select("large", "home", "one", "two", "side", "own", "key", "fp", "text").groupBy("large", "home", "one", "two").applyInPandas(_exact(width, radius, similarity), "a long, b long")
 
 
@@ -402,7 +409,7 @@ def representatives(docs: DataFrame, width: int = 5, radius: int = RADIUS, simil
     per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(stays).alias("_digest"))
     stay = written(per_id.where("_digest is not null").select(F.col("doc_id").alias("_kept"), "rows", "_digest"), "stay")
     known = F.col("doc_id").eqNullSafe(F.col("_kept"))
-    once = docs.join(stay.where("rows = 1").select("_kept"), known, "left_semi")
+    once = docs.join(_small(stay.where("rows = 1").select("_kept")), known, "left_semi")
     often = stay.where("rows > 1").select("_kept", "_digest")
     if not often.limit(1).count():
         return once
