@@ -53,7 +53,24 @@ def clipped(findings: DataFrame, views: DataFrame, key: str = "page_id") -> Data
     return rows.withColumn("position", geom.moved(F.col("position"), -F.col("view.x"), -F.col("view.y")))
 
 
+def looked_at(images: DataFrame, share: float = 0.6, key: str = "page_id") -> DataFrame:
+    """Images (page_id, ord, seen_whole, position) of several looks merged: a later one that covers ``share`` of the smaller is
+    the same image, and was seen whole if any look saw it whole. The first look's place stays."""
+    body = F.array_sort(F.collect_list(F.struct("ord", "seen_whole", "position")))
+    kept = F.array().cast("array<struct<ord:bigint,seen_whole:boolean,position:struct<x:double,y:double,width:double,height:double>>>")
+
+    def step(acc, x):
+        near = F.transform(acc, lambda k: geom.overlap_share(k["position"], x["position"]) >= share)
+        at = F.array_position(near, F.lit(True))
+        seen = F.transform(acc, lambda k, i: F.struct(k["ord"].alias("ord"), (k["seen_whole"] | ((i + 1 == at) & x["seen_whole"])).alias("seen_whole"), k["position"].alias("position")))
+        new = F.struct(x["ord"].cast("bigint").alias("ord"), x["seen_whole"].alias("seen_whole"), x["position"].alias("position"))
+        return F.when(at > 0, seen).otherwise(F.concat(acc, F.array(new)))
+
+    return images.groupBy(key).agg(body.alias("_i")).select(key, F.inline(F.aggregate("_i", kept, step)))
+
+
 def unexamined(images: DataFrame, findings: DataFrame, share: float = 0.6, key: str = "page_id") -> DataFrame:
-    """Images never seen whole that no ``ocr`` finding covers."""
+    """Images that no look saw whole and that no ``ocr`` finding covers."""
     read = findings.where(F.col("source") == "ocr").select(F.col(key).alias("_k"), F.col("position").alias("_p"))
-    return images.where(~F.col("seen_whole")).join(read, (F.col(key) == F.col("_k")) & (geom.overlap_share(F.col("position"), F.col("_p")) >= share), "left_anti")
+    merged = looked_at(images, share, key).where(~F.col("seen_whole"))
+    return merged.join(read, (F.col(key) == F.col("_k")) & (geom.overlap_share(F.col("position"), F.col("_p")) >= share), "left_anti")

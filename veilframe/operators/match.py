@@ -35,6 +35,14 @@ def _fold(rows: DataFrame, order: list[Column], clash, *keys: str, most: int | N
     return grouped.select(*keys, F.explode(F.slice(kept, 1, most) if most else kept).alias("x")).select(*keys, "x.*").drop("_o")
 
 
+def kept_first(rows: DataFrame, order: list[Column], clash, *keys: str) -> DataFrame:
+    """The rows, in order, that clash with none kept before, inside each group of ``keys``.
+
+    A group is one page's (and category's or text's) rows, folded in one task: its size is bounded by what a page holds.
+    """
+    return _fold(rows, order, clash, *keys)
+
+
 def suppressed(boxes: DataFrame, iou: float = NMS_IOU, least: float = KEEP_SCORE, most: int = MOST_FACES, key: str = "page_id") -> DataFrame:
     """Greedy suppression: by score, ties by ``ord``, boxes that overlap none kept by more than ``iou``."""
     return _fold(boxes.where(F.col("score") >= least), [-F.col("score"), F.col("ord")], lambda k, x: geom.iou(k["position"], x["position"]) > iou, key, most=most)

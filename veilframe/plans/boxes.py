@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import geom
 from veilframe.operators import coverage, match
+from veilframe.plans.folds import kept_sql, matched_sql
 from veilframe.plans.registry import query
 from veilframe.tables import table
 
@@ -44,24 +45,32 @@ def overlap_pairs(spark, sf_dir):
     return pairs.select("page_id", F.col("l.ord").alias("a"), F.col("r.ord").alias("b"), geom.intersection(l, r).alias("shared"), geom.iou(l, r).alias("iou"), geom.overlap_share(l, r).alias("share"))
 
 
-@query(None)
+_SHARED = f"({_INTER})::DOUBLE / least(a.w * a.h, b.w * b.h) >= 0.6"
+_SOURCED = f"(SELECT *, CASE WHEN k % 3 = 0 THEN 'name' ELSE 'email' END AS category, CASE WHEN k % 4 = 0 THEN 'ocr' WHEN k % 7 = 0 THEN 'manual' ELSE 'dom' END AS source, ((k * 17) % 100) / 100.0 AS score FROM {_BOXES_SQL})"
+
+
+@query(f"SELECT page_id, k AS ord, score::DOUBLE AS score FROM ({kept_sql(f'SELECT *, page_id AS g FROM {_SOURCED} WHERE score >= 0.3', '-score, k', f'({_INTER})::DOUBLE / (a.w * a.h + b.w * b.h - {_INTER}) > 0.3', 50)})")
 def nms_keep(spark, sf_dir):
     kept = match.suppressed(_boxes(spark, sf_dir).select("page_id", "ord", "score", "position"))
     return kept.select("page_id", "ord", "score")
 
 
-@query(None)
+@query(f"SELECT page_id, category, k AS ord FROM ({kept_sql(f"SELECT *, page_id || category AS g FROM {_SOURCED}", 'k', _SHARED)})")
 def dedupe_findings(spark, sf_dir):
     return match.deduplicated(_boxes(spark, sf_dir).select("page_id", "ord", "category", "position")).select("page_id", "category", "ord")
 
 
-@query(None)
+@query(f"""SELECT page_id, category, k AS ord, source FROM ({kept_sql(f"SELECT *, page_id || category AS g FROM {_SOURCED} WHERE source <> 'manual'", 'k', _SHARED)})
+UNION ALL SELECT page_id, category, k, source FROM {_SOURCED} WHERE source = 'manual'""")
 def dedupe_regions(spark, sf_dir):
     rows = _boxes(spark, sf_dir).select("page_id", "ord", "category", "source", "element_id", "position")
     return match.deduplicated_regions(rows).select("page_id", "category", "ord", "source")
 
 
-@query(None)
+_WEIGHT = f"({_INTER})::DOUBLE / (a.w * a.h + b.w * b.h - {_INTER})"
+
+
+@query(f"""SELECT page_id, a, b, weight FROM ({matched_sql(f"SELECT a.page_id AS page_id, a.k AS a, b.k AS b, {_WEIGHT} AS weight FROM {_BOXES_SQL} a JOIN {_BOXES_SQL} b ON a.page_id = b.page_id AND a.k % 2 = 0 AND b.k % 2 = 1 WHERE {_WEIGHT} >= 0.1")})""")
 def greedy_match(spark, sf_dir):
     boxes = _boxes(spark, sf_dir).select("page_id", "ord", "position")
     near = match.overlapping(boxes.where("ord % 2 = 0"), boxes.where("ord % 2 = 1"))
@@ -105,17 +114,21 @@ def scan_plan(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(stops.cast("array<string>"), ",").alias("stops"), cut.alias("truncated"))
 
 
+_LOOKS = f"(SELECT *, page_id AS g, k % 5 = 0 AS seen FROM {_BOXES_SQL} WHERE k % 2 = 0)"
+
+
 @query(f"""
-SELECT a.page_id, a.k AS ord FROM {_BOXES_SQL} a WHERE a.k % 2 = 0 AND a.k % 5 <> 0
-AND NOT EXISTS (SELECT 1 FROM {_BOXES_SQL} b WHERE a.page_id = b.page_id AND b.k % 4 = 0 AND b.k <> a.k AND ({_INTER})::DOUBLE / least(a.w * a.h, b.w * b.h) >= 0.6)
+WITH kept AS MATERIALIZED ({kept_sql(f"SELECT * FROM {_LOOKS}", "k", _SHARED)}),
+first AS (SELECT b.k AS k, min(a.k) AS home FROM {_LOOKS} b JOIN kept a ON a.page_id = b.page_id AND a.k <= b.k AND (a.k = b.k OR {_SHARED}) GROUP BY b.k),
+seen AS (SELECT home, bool_or(k % 5 = 0) AS seen FROM first GROUP BY home)
+SELECT a.page_id, a.k AS ord FROM kept a JOIN seen ON home = a.k WHERE NOT seen.seen
+AND NOT EXISTS (SELECT 1 FROM {_BOXES_SQL} b WHERE a.page_id = b.page_id AND b.k % 12 = 0 AND {_SHARED})
 """)
 def unexamined(spark, sf_dir):
     boxes = _boxes(spark, sf_dir)
     images = boxes.where("element_type = 'image'").select("page_id", "ord", "seen_whole", "position")
-    findings = boxes.select("page_id", F.col("ord").alias("_ord"), "source", "position")
-    read = findings.where("source = 'ocr'").select(F.col("page_id").alias("_k"), F.col("_ord"), F.col("position").alias("_p"))
-    near = (F.col("page_id") == F.col("_k")) & (F.col("ord") != F.col("_ord")) & (geom.overlap_share(F.col("position"), F.col("_p")) >= 0.6)
-    return images.where(~F.col("seen_whole")).join(read, near, "left_anti").select("page_id", "ord")
+    read = boxes.where("ord % 12 = 0").select("page_id", "source", "position")
+    return coverage.unexamined(images, read).select("page_id", "ord")
 
 
 @query(f"""

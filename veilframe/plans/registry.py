@@ -23,4 +23,4 @@ def query(sql: str | None):
     return add
 
 
-from veilframe.plans import boxes, rollups, texts  # noqa: E402, F401
+from veilframe.plans import agents, boxes, fleets, rollups, screens, texts, web  # noqa: E402, F401

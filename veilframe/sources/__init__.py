@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Readers and writers: raw pages, captured maps, exports."""
