@@ -133,3 +133,25 @@ def test_detect_redact_seal(spark, tmp_path):
     assert redact.seal(leaky, found, NAMES).refused.count() == 1
     assert redact.manifest(found).count() == 6
     assert redact.budgeted(elements(spark), 7).count() == 7
+
+
+def test_category_alone_equals_the_whole_class(spark):
+    from veilframe.functions.text import category_of, classify_text
+    from veilframe.tables import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select(F.coalesce("text", F.lit("")).alias("text"))
+    more = spark.createDataFrame([("pay me@okbank now",), ("2345 6789 0124 55",), ("ABCDE1234F",), ("KA01 2011 0001234",), ("",), ("call 12 345",), ("+49 12345 67890",)], "text string")
+    both = docs.union(more).repartition(8).select(classify_text(F.col("text"))["category"].alias("a"), category_of(F.col("text")).alias("b"))
+    assert both.where("not (a <=> b)").count() == 0 and both.where("b is not null").count() > 40
+
+
+def test_exact_median_without_one_task(spark, monkeypatch):
+    from veilframe.operators import audit
+
+    monkeypatch.setattr(audit, "SORTED", 10)
+    monkeypatch.setattr(audit, "RANGES", 7)
+    for values in ([1.0], [1.0, 2.0], [5.0] * 50, [float(x * x % 97) for x in range(301)], [1e9, *map(float, range(100))], []):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        want = sorted(values)
+        want = (want[(len(want) - 1) // 2] + want[len(want) // 2]) / 2 if want else None
+        assert audit.exact_median(df, "v") == want

@@ -41,7 +41,7 @@ def id_spans(text: Column) -> Column:
     """ARRAY of spans by kind in precedence; a match that overlaps a span taken earlier is left out."""
     taken = F.array().cast(f"array<{SPAN}>")
     for kind, pattern in ID_PATTERNS.items():
-        cue = text.contains("@") if kind == "upi" else text.rlike(r"\d{4}")
+        cue = (text.contains("@") if kind == "upi" else text.rlike(r"\d{4}")) & text.rlike(java(pattern))
         own = F.transform(matches(text, java(pattern)), _as_kind(kind))
         add = lambda acc, m: F.when(F.exists(acc, lambda s: (m["start"] < s["end"]) & (m["end"] > s["start"])), acc).otherwise(F.concat(acc, F.array(m)))
         taken = F.aggregate(F.when(cue, own).otherwise(F.array().cast(f"array<{SPAN}>")), taken, add)
@@ -125,6 +125,22 @@ def classify_text(text: Column, given_names: Sequence[str] = ()) -> Column:
     return F.coalesce(by_id, out)
 
 
+def category_of(text: Column) -> Column:
+    """The category that ``classify_text`` gives a text, or null, without spans: the first kind of identifier with any match
+    is always one of the text's, so whether there is one needs no offsets. Compiled with the scan."""
+    numbers = F.lit(False)
+    for kind, pattern in ID_PATTERNS.items():
+        if kind != "upi":
+            numbers = numbers | text.rlike(java(pattern))
+    out = F.when((text.rlike(r"\d{4}") & numbers) | (text.contains("@") & text.rlike(java(ID_PATTERNS["upi"]))), "id_number")
+    for category, pattern in CONTENT_PATTERNS.items():
+        fits = text.rlike(java(CUES[category])) & text.rlike(java(pattern))
+        if category == "phone":
+            fits = fits & phone_credible(F.regexp_extract(text, java(pattern), 0))
+        out = out.when(fits, category)
+    return out
+
+
 def classify_header(header: Column) -> Column:
     """STRUCT<category, confidence, reason> for a column's header, or null."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(header), r"\([^)]*\)", " "), rf"[^\p{{L}}\p{{N}}'·{SPACE}]", " ")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.patterns import AUTHOR_SUPPLIED, AUTOCOMPLETE, CONFIDENCE, FIELD_TEXT, INPUT_TYPES, SEVERITY, VALUELESS, java
-from veilframe.functions.text import HIT, classify_header, classify_text, hit
+from veilframe.functions.text import HIT, category_of, classify_header, classify_text, hit
 
 
 def holds_free_text() -> Column:
@@ -70,3 +70,8 @@ def detect_texts(rows: DataFrame, text: str = "text", given_names: Sequence[str]
     return rows.withColumn("_hit", classify_text(body, given_names)).where("_hit is not null").select(*rows.columns, "_hit.category", "_hit.confidence", "_hit.reason")
 
 
+
+
+def categorised(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` whose text has personal data, with its category alone: the quick way to tallies, classes and manifests."""
+    return rows.withColumn("category", category_of(F.coalesce(F.col(text), F.lit("")))).where("category is not null").select(*rows.columns, "category")

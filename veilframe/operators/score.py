@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.functions import geom
+from veilframe.operators import match
 from veilframe.operators.audit import rate
 
 
@@ -67,7 +69,7 @@ BASELINES = {
 def baselines(elements: DataFrame, truth: DataFrame, found: DataFrame) -> DataFrame:
     """Rates of each strategy and of the detector, with the share of harmless elements it leaves readable."""
     labelled = elements.join(_last_truth(truth), ["page_id", "element_id"], "left").join(_first_flag(found), ["page_id", "element_id"], "left")
-    hides = F.array(*[F.struct(F.lit(n).alias("strategy"), f().alias("hidden")) for n, f in BASELINES.items()], F.struct(F.lit("detector"), F.col("claimed").isNotNull()))
+    hides = F.array(*[F.struct(F.lit(n).alias("strategy"), f().alias("hidden")) for n, f in BASELINES.items()], F.struct(F.lit("detector").alias("strategy"), F.col("claimed").isNotNull().alias("hidden")))
     rows = labelled.select("expected", F.explode(hides).alias("s")).select("expected", "s.*")
     sensitive = F.col("expected").isNotNull()
     out = rows.groupBy("strategy").agg(F.count_if(sensitive & F.col("hidden")).alias("tp"), F.count_if(sensitive).alias("labels"), F.count_if(F.col("hidden")).alias("hidden"), F.count_if(~sensitive & ~F.col("hidden")).alias("left"), F.count_if(~sensitive).alias("harmless"))
@@ -79,3 +81,40 @@ def layer_curve(layers: DataFrame) -> DataFrame:
     upto = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     unknown = F.max(F.col("cost_ms").isNull().cast("int")).over(upto)
     return layers.select("layer", "ord", F.sum("found").over(upto).alias("found"), F.when(unknown == 0, F.sum("cost_ms").over(upto)).alias("cost_ms"))
+
+
+def area_scores(elements: DataFrame, truth: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """Per page (or ``keys``): needed, painted and rightly painted area, and their rates. An element counts with its own box,
+    whatever box was detected; one that is not among ``elements`` (page_id, element_id, position) has none."""
+    keys = keys or ("page_id",)
+    size = elements.groupBy("page_id", "element_id").agg(F.max(geom.area(F.col("position"))).alias("_area"))
+    rows = compared(truth, found).join(size, ["page_id", "element_id"], "left").withColumn("_area", F.coalesce("_area", F.lit(0.0)))
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("_area"))), F.lit(0.0))
+    wanted, painted = F.col("expected").isNotNull(), F.col("claimed").isNotNull()
+    out = rows.groupBy(*keys).agg(total(wanted).alias("needed"), total(painted).alias("painted"), total(wanted & painted).alias("correct"))
+    return out.select("*", rate(F.col("correct"), F.col("needed")).alias("coverage"), rate(F.col("correct"), F.col("painted")).alias("redaction_precision"), rate(F.col("painted"), F.col("needed"), 0.0).alias("area_ratio"))
+
+
+def misses(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """(page_id, missed, over_flagged): the labelled elements without a detection, and the detected ones without a label, sorted."""
+    pairs = compared(truth, found)
+    listed = lambda which: F.array_join(F.array_sort(F.collect_list(F.when(which, F.col("element_id")))), ",")
+    return pairs.groupBy("page_id").agg(listed(F.col("claimed").isNull()).alias("missed"), listed(F.col("expected").isNull()).alias("over_flagged"))
+
+
+def pixel_scores(truth: DataFrame, found: DataFrame, least: float = match.PIXEL_IOU) -> DataFrame:
+    """Per page: labelled boxes (page_id, ord, category, position) matched one to one with detected ones by IoU; counts, areas and rates.
+
+    Painted is the area of all detections, rightly painted the shared area of the matches.
+    """
+    near = match.overlapping(truth, found)
+    iou = geom.iou(F.col("l.position"), F.col("r.position"))
+    pairs = near.where(iou >= least).select("page_id", F.col("l.ord").alias("a"), F.col("r.ord").alias("b"), iou.alias("weight"), geom.intersection(F.col("l.position"), F.col("r.position")).alias("shared"), (F.col("l.category") == F.col("r.category")).alias("same"))
+    matched = match.greedy_pairs(pairs).groupBy("page_id").agg(F.count(F.lit(1)).alias("true_positives"), F.sum("shared").alias("correct"), F.count_if("same").alias("right_category"))
+    side = lambda df, n, a: df.groupBy("page_id").agg(F.count(F.lit(1)).alias(n), F.sum(geom.area(F.col("position"))).alias(a))
+    rows = side(truth, "expected", "needed").join(side(found, "detected", "painted"), "page_id", "full").join(matched, "page_id", "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("expected", "detected", "true_positives", "right_category")]
+    none = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("needed", "painted", "correct")]
+    out = rows.select("page_id", *zero, *none)
+    tp = F.col("true_positives")
+    return out.select("*", rate(tp, F.col("expected")).alias("recall"), rate(tp, F.col("detected")).alias("precision"), rate(F.col("correct"), F.col("needed")).alias("coverage"), rate(F.col("correct"), F.col("painted")).alias("redaction_precision"))

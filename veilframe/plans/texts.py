@@ -9,9 +9,9 @@ from veilframe.functions.checks import digits, luhn_valid, verhoeff_valid
 from veilframe.functions.patterns import CONTENT_PATTERNS, CUES, ID_PATTERNS, PLACEHOLDER, java, re2
 from veilframe.functions.text import classify_text, found_ids, phone_credible, scrub_content, scrub_text, strongest_id
 from veilframe.operators import redact, score
-from veilframe.operators.detect import detect_texts
+from veilframe.operators.detect import categorised, detect_texts
 from veilframe.plans.registry import query
-from veilframe.tables import table
+from veilframe.tables import spread, table
 
 
 def _q(pattern: str) -> str:
@@ -97,7 +97,18 @@ def card_runs_luhn(spark, sf_dir):
     return runs.select("doc_id", "run", luhn_valid(digits(F.col("run"))).alias("valid"))
 
 
-@query(None)
+def _verhoeff_sql(number: str) -> str:
+    """The check by its tables: the group of five's turns and mirrors, and the powers of one permutation of the digits."""
+    turn = lambda a, b: (a + b) % 5 if a < 5 and b < 5 else 5 + (a + b) % 5 if a < 5 else 5 + (a - b) % 5 if b < 5 else (a - b) % 5
+    group = [[turn(a, b) for b in range(10)] for a in range(10)]
+    step, powers = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4], [list(range(10))]
+    while len(powers) < 8:
+        powers.append([step[x] for x in powers[-1]])
+    digits = f"list_transform(range(12), lambda i: {powers}[i % 8 + 1][substr({number}, (12 - i)::INT, 1)::INT + 1])"
+    return f"list_reduce(list_prepend(0, {digits}), lambda c, d: {group}[c + 1][d + 1]) = 0"
+
+
+@query(f"""SELECT o_orderkey, {_verhoeff_sql("n")} AS valid FROM (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 12, '2') AS n FROM orders)""")
 def verhoeff_check(spark, sf_dir):
     number = F.lpad(F.col("o_orderkey").cast("string"), 12, "2")
     return table(spark, sf_dir, "orders").select("o_orderkey", verhoeff_valid(number).alias("valid"))
@@ -119,12 +130,12 @@ def strongest_ids(spark, sf_dir):
 
 @query(f"SELECT doc_id, category FROM (SELECT doc_id, {_category_sql('text')} AS category FROM documents) WHERE category IS NOT NULL")
 def classify_documents(spark, sf_dir):
-    return detect_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "category")
+    return categorised(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "category")
 
 
 @query(f"SELECT conv_id, turn, category FROM (SELECT conv_id, turn, {_category_sql('text')} AS category FROM conversations) WHERE category IS NOT NULL")
 def classify_turns(spark, sf_dir):
-    return detect_texts(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", "category")
+    return categorised(spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))).select("conv_id", "turn", "category")
 
 
 def _tally_sql(key: str) -> str:
@@ -132,7 +143,7 @@ def _tally_sql(key: str) -> str:
 
 
 def _tally(spark, sf_dir, key: str) -> DataFrame:
-    found = detect_texts(table(spark, sf_dir, "documents").select(key, "text"))
+    found = categorised(spread(table(spark, sf_dir, "documents").select(key, "text")))
     return found.groupBy(key, "category").agg(F.count(F.lit(1)).alias("docs"))
 
 
@@ -148,7 +159,7 @@ def category_by_source(spark, sf_dir):
 
 @query(f"SELECT doc_id, sha256({_scrub_sql('text')}) AS scrubbed_sha256 FROM documents")
 def scrub_documents_content(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(scrub_content(F.col("text")), 256).alias("scrubbed_sha256"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.sha2(scrub_content(F.col("text")), 256).alias("scrubbed_sha256"))
 
 
 @query(f"SELECT conv_id, turn, sha256({_scrub_sql('text')}) AS scrubbed_sha256 FROM conversations")
@@ -158,13 +169,13 @@ def scrub_turns_content(spark, sf_dir):
 
 @query(None)
 def scrub_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(scrub_text(F.col("text")), 256).alias("scrubbed_sha256"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.sha2(scrub_text(F.col("text")), 256).alias("scrubbed_sha256"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of a document as a text element of a page."""
     split = F.posexplode(F.split("text", "\n", -1)).alias("ord", "value")
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), split)
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("page_id"), split)
     place = F.struct(F.lit(0.0).alias("x"), (F.col("ord") * 22.0).alias("y"), F.lit(520.0).alias("width"), F.lit(22.0).alias("height"))
     text = lambda name: F.lit(None).cast("string").alias(name)
     return rows.select("page_id", "ord", F.concat(F.lit("e"), F.col("ord").cast("string")).alias("element_id"), F.lit("text").alias("element_type"), text("label"), "value", *map(text, ("input_type", "autocomplete", "name", "placeholder", "column_header")), place.alias("position"))
@@ -182,7 +193,8 @@ SELECT page_id, ord, 'dom-e' || ord AS region_id, category, 'dom' AS method FROM
 WHERE category IS NOT NULL
 """)
 def manifest(spark, sf_dir):
-    return redact.manifest(_regions(spark, sf_dir))
+    found = categorised(_lines(spark, sf_dir), "value")
+    return redact.manifest(found.withColumns({"region_id": F.concat(F.lit("dom-"), "element_id"), "source": F.lit("dom")}))
 
 
 @query(None)
@@ -215,5 +227,48 @@ def detector_score(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     truth = labels.where("toxic = 1").select(F.col("doc_id").alias("page_id"), F.lit("e0").alias("element_id"), F.lit(0).alias("ord"), F.lit("toxic").alias("category"))
     covered = docs.select("doc_id", "text").join(labels, "doc_id", "left_semi")
-    found = detect_texts(covered).select(F.col("doc_id").alias("page_id"), F.lit("e0").alias("element_id"), F.lit(0).alias("ord"), F.lit("toxic").alias("category"))
+    found = categorised(spread(covered)).select(F.col("doc_id").alias("page_id"), F.lit("e0").alias("element_id"), F.lit(0).alias("ord"), F.lit("toxic").alias("category"))
     return score.scored(score.compared(truth, found))
+
+
+def _statements(spark, sf_dir) -> DataFrame:
+    """Lines of an account's statement, from ``customer``: what they hold follows from the key."""
+    k, c = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    line = (
+        F.when(k % 7 == 0, F.concat(F.lit("Balance: Rs. "), k * 13, F.lit(".50 due")))
+        .when(k % 7 == 1, F.concat(F.lit("password: s3cret"), c))
+        .when(k % 7 == 2, F.concat(F.lit("call +49 "), F.lpad((k * 7919) % 100000, 5, "1"), F.lit(" "), F.lpad((k * 31) % 10000, 4, "2")))
+        .when(k % 7 == 3, F.concat(F.lit("mail to user"), c, F.lit("@bank.example")))
+        .when(k % 7 == 4, F.concat(F.lit("account "), F.lpad(c, 11, "7")))
+        .when(k % 7 == 5, F.concat(F.lit("lives at "), k % 300, F.lit(" Long Hill Road, flat")))
+        .otherwise(F.concat(F.lit("nothing to see in "), k % 100))
+    )
+    return table(spark, sf_dir, "customer").select(k.alias("line_id"), line.alias("text"))
+
+
+_STATEMENTS_SQL = """(SELECT k AS line_id, CASE k % 7 WHEN 0 THEN 'Balance: Rs. ' || k * 13 || '.50 due' WHEN 1 THEN 'password: s3cret' || k WHEN 2 THEN 'call +49 ' || lpad(((k * 7919) % 100000)::VARCHAR, 5, '1') || ' ' || lpad(((k * 31) % 10000)::VARCHAR, 4, '2')
+  WHEN 3 THEN 'mail to user' || k || '@bank.example' WHEN 4 THEN 'account ' || lpad(k::VARCHAR, 11, '7') WHEN 5 THEN 'lives at ' || k % 300 || ' Long Hill Road, flat' ELSE 'nothing to see in ' || k % 100 END AS text FROM (SELECT c_custkey AS k FROM customer))"""
+
+
+@query(f"SELECT line_id, category FROM (SELECT line_id, {_category_sql('text')} AS category FROM {_STATEMENTS_SQL}) WHERE category IS NOT NULL")
+def classify_statements(spark, sf_dir):
+    return detect_texts(_statements(spark, sf_dir)).select("line_id", "category")
+
+
+@query(f"SELECT line_id, {_scrub_sql('text')} AS scrubbed FROM {_STATEMENTS_SQL}")
+def scrub_statements(spark, sf_dir):
+    return _statements(spark, sf_dir).select("line_id", scrub_content(F.col("text")).alias("scrubbed"))
+
+
+def _statement_hits(category: str) -> str:
+    return f"SELECT line_id, unnest(regexp_extract_all(text, {_q(CONTENT_PATTERNS[category])})) AS value FROM {_STATEMENTS_SQL}"
+
+
+@query(_statement_hits("other"))
+def money_values(spark, sf_dir):
+    return _statements(spark, sf_dir).select("line_id", F.explode(_matches("other")).alias("value"))
+
+
+@query(_statement_hits("password"))
+def password_values(spark, sf_dir):
+    return _statements(spark, sf_dir).select("line_id", F.explode(_matches("password")).alias("value"))

@@ -8,3 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir`` (any path that Spark can read)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: Bytes up to which a table is dealt anew, so that a file of one row group keeps all cores busy. Larger ones have groups enough.
+SMALL_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: dealt anew if it is small, by the size that the scan states, else as it is."""
+    spark = df.sparkSession
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(spark.sparkContext.defaultParallelism) if int(size) <= SMALL_BYTES else df
