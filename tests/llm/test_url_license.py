@@ -70,3 +70,14 @@ def test_notices_without_the_word_license_are_found(spark):
     df = spark.createDataFrame([*docs, docs[1]], "doc_id long, text string")
     got = sorted((r.doc_id, r.license, r.notices) for r in licenses.scan(df, known).collect())
     assert got == [(1, None, "ARR"), (2, None, "CC0-1.0,PD"), (2, None, "CC0-1.0,PD"), (3, None, ""), (4, None, ""), (5, "PD", "PD")]
+
+
+def test_known_files_and_digests(spark, tmp_path):
+    text = "A Licence\n\nCopyright (c) 2001 Someone\nDo as you like, whilst it lasts."
+    (tmp_path / "Own-1.0.txt").write_text(text)
+    own = [(r.license, r.known_digest) for r in licenses.digests_of(spark.read.text(str(tmp_path), wholetext=True)).collect()]
+    known = licenses.known_digests(spark, [], own)
+    docs = spark.createDataFrame([(1, text.upper()), (2, "a license do as you like while it lasts"), (3, "x")], "doc_id long, text string")
+    assert [(r.doc_id, r.license) for r in licenses.scan(docs, known).orderBy("doc_id").collect()] == [(1, "Own-1.0"), (2, "Own-1.0"), (3, None)]
+    assert len({d for _, d in licenses.DIGESTS}) == len(licenses.DIGESTS)
+    assert all(len(d) == 64 for _, d in licenses.DIGESTS)

@@ -44,4 +44,22 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("All-Rights-Reserved", "All rights reserved."),
+)
+
+#: Known digests: (SPDX name, SHA-256 of the canonical form) of longer licences as their stewards publish them. Fixed values.
+DIGESTS = (
+    ("Apache-2.0", "d35894668a0cfa5c2613ef8629bd82652ebe3c5e844d895f0a70de6d92526893"),
+    ("Artistic-1.0-Perl", "ddb49d591ecc4f65a223b9f53f330918100c323532a653c090d21b38e35a3a42"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "50a13c2305694ee084e652459bc3f91ed55cc7f9b5bfe8d65ca7f5aa629c0e44"),
+    ("GFDL-1.3", "1d39ee90a72788c5efecfeca1814ac303c9757d112f2da4643cf5b6898fccfea"),
+    ("GPL-1.0", "b1e674bbd9fbcdb738cb28350bd27deff78ec9a50a6982b1c3e81fdd05d20542"),
+    ("GPL-2.0", "23721393ba622c5c5a1d5c7a2de2a23e1330ac8763fcc3ccaa5412909af10d88"),
+    ("GPL-3.0", "fcd3a5b62b54fded38ac51fca7ddf0c089e51cbb783d9efe359dcdb00b56bbfd"),
+    ("LGPL-2.0", "a4c1f8b006f27719e33462a991771c323127ed6402e2ab4f89c65dbf4b1aeb30"),
+    ("LGPL-2.1", "beedbf7bfee67941d83665e165feca677b2d921c9dabdf6a9a27a25ec581ef4e"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", "4e8846f73619955307f302e00350d36240da6319b9a40e68e67486570e5a137e"),
 )

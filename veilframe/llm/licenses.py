@@ -14,16 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.license_texts import KNOWN
+from veilframe.llm.license_texts import DIGESTS, KNOWN
 
 #: Equivalent spellings, applied in this order to lower-case text.
 SPELLINGS = (("licence", "license"), ("licensee", "license holder"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("non-infringement", "noninfringement"), ("https://", "http://"), ("acknowledgement", "acknowledgment"), ("whilst", "while"), ("organisation", "organization"), ("version 2.0", "version 2"), ("version 3.0", "version 3"))
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*$"
-#: What the lines that the SQL looks up mention; ``scan`` looks up all.
-CUE = r"(?i)licen[sc]e"
 
 
 def canonical(text: Column) -> Column:
@@ -38,10 +36,17 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(known_digest, license) of (name, text) pairs, a parameter list."""
-    rows = spark.createDataFrame([*known], "license string, text string").select("license", canonical(F.col("text")).alias("form"))
-    return rows.where("form <> ''").groupBy(F.sha2("form", 256).alias("known_digest")).agg(F.min("license").alias("license"))
+def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN, digests: Sequence[tuple[str, str]] = DIGESTS) -> DataFrame:
+    """(known_digest, license) of (name, text) pairs and of (name, digest) pairs, both parameter lists."""
+    rows = spark.createDataFrame([*known], "license string, text string").select("license", canonical(F.col("text")).alias("form")).where("form <> ''").select(F.sha2("form", 256).alias("known_digest"), "license")
+    more = spark.createDataFrame([*digests], "license string, known_digest string").select("known_digest", "license")
+    return rows.union(more).groupBy("known_digest").agg(F.min("license").alias("license"))
+
+
+def digests_of(files: DataFrame) -> DataFrame:
+    """(license, known_digest) of licence files, read with ``wholetext`` (value): named by their files, without the suffix."""
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.txt)?$", 1)
+    return files.select(name.alias("license"), digest(F.col("value")).alias("known_digest"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -65,7 +70,7 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def oracle(known: Sequence[tuple[str, str]] = KNOWN) -> str:
+def oracle(known: Sequence[tuple[str, str]] = KNOWN, digests: Sequence[tuple[str, str]] = DIGESTS) -> str:
     """DuckDB SQL for ``scan`` over documents."""
 
     def form(x: str) -> str:
@@ -75,11 +80,12 @@ def oracle(known: Sequence[tuple[str, str]] = KNOWN) -> str:
         return f"trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
     values = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in known)
+    more = "".join(f" UNION ALL SELECT {_quoted(d)}, {_quoted(n)}" for n, d in digests)
     return f"""
-WITH known AS (SELECT sha256(f) AS d, min(n) AS license FROM (SELECT n, {form("t")} AS f FROM (VALUES {values}) v(n, t)) WHERE f <> '' GROUP BY 1),
+WITH known AS (SELECT d, min(n) AS license FROM (SELECT sha256(f) AS d, n FROM (SELECT n, {form("t")} AS f FROM (VALUES {values}) v(n, t)) WHERE f <> ''{more}) GROUP BY d),
 docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
-lines AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM docs WHERE regexp_matches(text, {_quoted(CUE)})),
-notices AS (SELECT k, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT k, sha256({form("line")}) AS d FROM lines WHERE regexp_matches(line, {_quoted(CUE)})) JOIN known USING (d) GROUP BY k)
+lines AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM docs),
+notices AS (SELECT k, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT k, sha256({form("line")}) AS d FROM lines WHERE line <> '') JOIN known USING (d) GROUP BY k)
 SELECT doc_id, digest, license, coalesce(notices, '') AS notices
 FROM (SELECT k, doc_id, sha256({form("text")}) AS digest FROM docs) t LEFT JOIN known ON digest = known.d LEFT JOIN notices USING (k)
 """
