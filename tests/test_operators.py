@@ -143,7 +143,7 @@ def test_consents_and_order(spark):
 def test_captured_maps(spark, tmp_path):
     good = {"about": "a", "elements": [{"elementId": "e0", "elementType": "text", "value": " x ", "url": "no", "position": {"x": 1, "y": 2, "width": 3, "height": 4}}], "sensitive": [{"elementId": "e0", "category": "name"}]}
     for name, body in {"good": good, "bare": {"elements": []}, "unlabelled": {"elements": good["elements"]}, "elsewhere": good | {"sensitive": [{"elementId": "e9", "category": "name"}]}}.items():
-        (tmp_path / f"{name}.json").write_text(json.dumps(body))
+        (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=2))
     (tmp_path / "broken.json").write_text("{")
     maps = captured.read(spark, str(tmp_path))
     assert {r.id: r.refused for r in maps.collect()} == {"good": None, "bare": "has no elements", "unlabelled": "has no labels", "elsewhere": "labels e9, not on the page", "broken": "could not be parsed"}

@@ -21,7 +21,7 @@ SCHEMA = f"about string, elements array<{ELEMENT}>, sensitive array<struct<eleme
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(id, about, elements, sensitive, refused) of every ``*.json`` below ``path``: one row a file, with the reason if it is refused."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     rows = files.select(name.alias("id"), "value", F.from_json("value", SCHEMA).alias("m"))
     known = F.transform("m.elements", lambda e: e["elementId"])
