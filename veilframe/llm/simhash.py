@@ -40,8 +40,9 @@ from veilframe.llm.components import components
 from veilframe.llm.shared import discard, written
 
 SEED = 42
-#: Rows of one tile, and bytes of its histograms: some MB for a task whatever the input.
-TILE, TILE_BYTES = 32_768, 16 << 20
+#: Rows of one tile (half as many with histograms), and bytes of its histograms: some MB for a task whatever the input.
+#: Larger tiles send each row to fewer tasks, which take longer.
+TILE, TILE_BYTES = 65_536, 16 << 20
 #: Rows of one block inside a tile, and pairs looked at in one step.
 BLOCK, PAIRS = 256, 1 << 16
 #: Differing bits up to which texts are candidates for a Jaccard similarity of 0.8: some 10 bits are usual there, and of
@@ -318,7 +319,7 @@ def links(distinct: DataFrame, radius: int = 4, tile: int | None = None, similar
     else:
         band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1.0001 / similarity))).cast("int")  # similar sets are in one band or in neighbours
         rows, columns, step = distinct.select("key", "fp", "n", "bins", band.alias("band"), F.length("bins").alias("width")), ["key", "fp", "n", "bins"], 1
-    dealt, tiles = _tiled(rows, tile or TILE)
+    dealt, tiles = _tiled(rows, tile or (TILE if similarity is None else TILE // 2))
     one = tiles.select(F.col("band").alias("band1"), F.col("tile").alias("tile1"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.explode(F.sequence(F.col("band"), F.col("band") + step)).alias("band2"))
     two = tiles.select(F.col("band").alias("band2"), F.col("tile").alias("tile2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     met = one.join(two, "band2").where((F.col("low2") - F.col("high1") <= radius) & (F.col("low1") - F.col("high2") <= radius))
