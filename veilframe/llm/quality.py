@@ -7,9 +7,11 @@ unlabelled share above the threshold to the positives' share there. A small netw
 the non-negative unbiased risk with that prior (sigmoid loss). Labels of 0 are never used.
 
 Only shape counts: byte classes, word and line statistics of the whole text, no id, source or
-language. Both training samples are bounded by ``sample`` rows each, chosen by a hash of the id, so
-the fit costs the same at any scale and does not depend on partitioning; every document is scored
-in the tasks that read it, without a shuffle.
+language. The shapes of all rows outside the held-out fold are written once, 80 bytes a row. Means,
+scales and the class prior are counted over all of them; only the rows that the gradient steps draw
+come from two samples bounded by ``sample`` rows each, chosen by a hash of id and shape, so that the
+driver's part costs the same at any scale. Counts are whole numbers, so partitioning changes
+nothing. Every document is scored in the tasks that read it, without a shuffle.
 
 Null and empty texts are scored like any text without characters. Repeated rows get equal scores.
 Without trusted positives, or without documents, every score is 0. A null doc_id is never held
@@ -26,9 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.shared import discard, written
+
 #: Rows of either training sample, at most on average; hidden units, steps and rows of a step.
 SAMPLE, HIDDEN, STEPS, BATCH = 20_000, 12, 1_500, 1_024
 ACCEPT = 0.7
+#: No feature is above this; steps of a unit in which features are summed up.
+HIGHEST, UNIT = 16.0, 1 << 16
 
 _CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n\r\t", b".", b",", b"!?", b";:'\"()-", b"|<>=_/\\{}[]", b"%$&*#@^~+`", bytes(range(0x80, 0xC0)), bytes(range(0xC0, 0x100))]
 _MEMBER = np.zeros((256, len(_CLASSES)))
@@ -54,7 +60,7 @@ def shape(text: str | None) -> np.ndarray:
         counts.max() / n,
         share[1] / (share[0] + share[1] + 1e-9),
     )
-    return np.concatenate((np.sqrt(share), extra))
+    return np.minimum(np.concatenate((np.sqrt(share), extra)), HIGHEST)
 
 
 WIDTH = len(_CLASSES) + 7
@@ -107,44 +113,93 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: float = 0.05) -> float:
-    """The share of positives in unlabelled rows, from scores that rank positives higher."""
-    cuts = np.quantile(positive, np.linspace(least_share, 1 - least_share, 60))
-    above = lambda x, c: (x >= c).mean()
-    slack = (np.log(200) / 2 / max(1, len(unlabelled))) ** 0.5 + (np.log(200) / 2 / max(1, len(positive))) ** 0.5
-    ratios = [((above(unlabelled, c) + slack) / above(positive, c), above(unlabelled, c) / above(positive, c)) for c in cuts]
-    return float(np.clip(min(ratios)[1], 0.01, 0.99))
+@dataclass
+class Rows:
+    """Different shapes and how often each occurs."""
+
+    x: np.ndarray
+    n: np.ndarray
+
+    def draw(self, rng: np.random.Generator, size: int) -> np.ndarray:
+        ends = np.cumsum(self.n)
+        return self.x[np.searchsorted(ends, rng.integers(ends[-1], size=size), side="right")]
+
+
+def _rows(x: np.ndarray | Rows) -> Rows:
+    return x if isinstance(x, Rows) else Rows(x, np.ones(len(x), np.int64))
+
+
+def above(scores: np.ndarray, n: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many rows have a score of each cut or more; ``n`` counts the rows of a score."""
+    order = np.argsort(scores, kind="stable")
+    ends = np.concatenate(([0], np.cumsum(n[order])))
+    return ends[-1] - ends[np.searchsorted(scores[order], cuts, side="left")]
+
+
+def cuts_between(scores: np.ndarray, n: np.ndarray, least_share: float = 0.05, how_many: int = 60) -> np.ndarray:
+    """Scores that stand at even shares of the rows, without the outermost ``least_share``."""
+    order = np.argsort(scores, kind="stable")
+    ends = np.cumsum(n[order])
+    return scores[order][np.searchsorted(ends, np.linspace(least_share, 1 - least_share, how_many) * ends[-1])]
+
+
+def class_prior(positive: np.ndarray, positives: int, unlabelled: np.ndarray, rows: int) -> float:
+    """The share of positives in unlabelled rows, from the numbers of either at or above each cut."""
+    slack = (np.log(200) / 2 / max(1, rows)) ** 0.5 + (np.log(200) / 2 / max(1, positives)) ** 0.5
+    p, u = positive / positives, unlabelled / rows
+    return float(np.clip((u / p)[np.argmin((u + slack) / p)], 0.01, 0.99))
+
+
+def risk(layers: list[np.ndarray], a: np.ndarray, b: np.ndarray, prior: float) -> float:
+    """The non-negative unbiased risk of positives ``a`` and unlabelled rows ``b`` under the sigmoid loss."""
+    sa, sb = _sigmoid(_forward(layers, a)[1]), _sigmoid(_forward(layers, b)[1])
+    return float(prior * (1 - sa).mean() + max(0.0, sb.mean() - prior * sa.mean()))
+
+
+def descent(layers: list[np.ndarray], a: np.ndarray, b: np.ndarray, prior: float) -> list[np.ndarray]:
+    """The gradient of the risk; where its negative part would fall below zero, the one that undoes that part."""
+    sa, sb = _sigmoid(_forward(layers, a)[1]), _sigmoid(_forward(layers, b)[1])
+    # losses: sigmoid(-f) for +, sigmoid(f) for -; both have the slope s(1-s) in f, with opposite signs
+    slope_a, slope_b = sa * (1 - sa) / len(a), sb * (1 - sb) / len(b)
+    if sb.mean() - prior * sa.mean() >= 0:
+        ga, gb = _gradient(layers, a, -2 * prior * slope_a), _gradient(layers, b, slope_b)
+    else:
+        ga, gb = _gradient(layers, a, prior * slope_a), _gradient(layers, b, -slope_b)
+    return [x + y for x, y in zip(ga, gb, strict=True)]
+
 
+def fit(positive, unlabelled, moments=None, counted=None, seed: int = 11) -> Model:
+    """Estimate the prior, then minimise the risk, with rows drawn from two samples (arrays or ``Rows``).
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 11) -> Model:
-    """Estimate the prior, then minimise the non-negative unbiased risk."""
-    both = np.concatenate((positive, unlabelled))
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
+    ``moments`` (mean, scale) and ``counted`` (a ranker and cuts give the number of rows above each cut, and of all)
+    come from all unlabelled rows; without them the samples stand for all.
+    """
+    p, u = _rows(positive), _rows(unlabelled)
+    if moments is None:
+        both = np.concatenate((p.x, u.x))
+        moments = both.mean(axis=0), both.std(axis=0) + 1e-3
+    mean, scale = moments
     rng = np.random.default_rng(seed)
+    standard = lambda x: np.clip((x - mean) / scale, -8, 8)
 
-    ranker = _start(rng, p.shape[1])
+    ranker = _start(rng, p.x.shape[1])
     adam = _Adam(ranker)
     for _ in range(STEPS // 2):
-        a, b = p[rng.integers(len(p), size=BATCH)], u[rng.integers(len(u), size=BATCH)]
+        a, b = standard(p.draw(rng, BATCH)), standard(u.draw(rng, BATCH))
         ga = (_sigmoid(_forward(ranker, a)[1]) - 1) / BATCH
         gb = _sigmoid(_forward(ranker, b)[1]) / BATCH
         adam.step([x + y for x, y in zip(_gradient(ranker, a, ga), _gradient(ranker, b, gb), strict=True)])
-    prior = class_prior(_forward(ranker, p)[1], _forward(ranker, u)[1])
+    first = Model(mean, scale, ranker, 0.5)
+    ranks = np.round(first.score(p.x), 6)
+    cuts = cuts_between(ranks, p.n)
+    higher, rows = counted(first, cuts) if counted else (above(np.round(first.score(u.x), 6), u.n, cuts), int(u.n.sum()))
+    prior = class_prior(above(ranks, p.n, cuts), int(p.n.sum()), higher, rows)
 
-    layers = _start(rng, p.shape[1])
+    layers = _start(rng, p.x.shape[1])
     adam = _Adam(layers)
     for _ in range(STEPS):
-        a, b = p[rng.integers(len(p), size=BATCH)], u[rng.integers(len(u), size=BATCH)]
-        sa, sb = _sigmoid(_forward(layers, a)[1]), _sigmoid(_forward(layers, b)[1])
-        # losses: sigmoid(-f) for +, sigmoid(f) for -; both have the slope s(1-s) in f, with opposite signs
-        slope_a, slope_b = sa * (1 - sa) / BATCH, sb * (1 - sb) / BATCH
-        negative = sb.mean() - prior * sa.mean()
-        if negative >= 0:
-            ga, gb = _gradient(layers, a, -2 * prior * slope_a), _gradient(layers, b, slope_b)
-        else:  # the negative part may not fall below zero: undo it
-            ga, gb = _gradient(layers, a, prior * slope_a), _gradient(layers, b, -slope_b)
-        adam.step([x + y + 1e-4 * w for x, y, w in zip(ga, gb, layers, strict=True)])
+        grads = descent(layers, standard(p.draw(rng, BATCH)), standard(u.draw(rng, BATCH)), prior)
+        adam.step([g + 1e-4 * w for g, w in zip(grads, layers, strict=True)])
     return Model(mean, scale, layers, prior)
 
 
@@ -155,30 +210,80 @@ def held_out(doc_id: Column | str = "doc_id", folds: int = 4, fold: int = 2) ->
 
 
 def _sampled(df: DataFrame, sample: int) -> DataFrame:
+    """About ``sample`` of the different rows of ``df``, at most, with their copies."""
     share = min(1.0, sample / max(1, df.count()))
-    return df.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+    return df.where(F.shiftrightunsigned(F.xxhash64(F.lit(5), *df.columns), 11) < F.lit(int(share * (1 << 53))))
+
+
+def shapes(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the features of every whole text, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [shape(t).astype(np.float32).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "x"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x binary")
+
+
+def _matrix(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.float32).reshape(-1, WIDTH).astype(np.float64)
+
+
+def collected(made: DataFrame) -> Rows:
+    """The different shapes of a bounded sample, on the driver, in an order of their own."""
+    rows = sorted((bytes(r["x"]), r["n"]) for r in made.groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect())
+    return Rows(_matrix([x for x, _ in rows]), np.array([n for _, n in rows], np.int64))
+
+
+def moments(made: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Mean and scale of each feature over all rows of ``made``, by sums of whole numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.round(_matrix(batch.column(0).to_pylist()) * UNIT).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"feature": np.arange(WIDTH, dtype=np.int32), "n": np.full(WIDTH, len(x)), "total": x.sum(axis=0), "squares": (x * x).sum(axis=0)})
+
+    parts = made.select("x").mapInArrow(run, "feature int, n long, total long, squares long")
+    sums = parts.groupBy("feature").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("n", "total", "squares")])
+    rows = sorted(sums.collect())
+    if not rows:
+        return None
+    mean = np.array([int(r["total"]) / int(r["n"]) / UNIT for r in rows])
+    spread = [max(0, int(r["squares"]) * int(r["n"]) - int(r["total"]) ** 2) ** 0.5 / int(r["n"]) / UNIT for r in rows]
+    return mean, np.array(spread) + 1e-3
 
 
-def features(docs: DataFrame) -> np.ndarray:
-    """The shapes of all rows of ``docs``, a bounded sample, on the driver."""
+def counted_above(made: DataFrame, model: Model, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many rows of ``made`` score each cut or more, and how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [shape(x).astype(np.float32).tobytes() for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["x"])
+            if batch.num_rows:
+                scores = np.round(model.score(_matrix(batch.column(0).to_pylist())), 6)
+                found = above(scores, np.ones(len(scores), np.int64), cuts)
+                yield pa.RecordBatch.from_pydict({"cut": np.arange(len(cuts) + 1, dtype=np.int32), "n": np.append(found, len(scores))})
 
-    rows = sorted(r.x for r in docs.select("text").mapInArrow(run, "x binary").collect())  # an order of their own
-    return np.stack([np.frombuffer(r, np.float32) for r in rows]).astype(np.float64) if rows else np.zeros((0, WIDTH))
+    parts = made.select("x").mapInArrow(run, "cut int, n long")
+    found = [r["n"] for r in parts.groupBy("cut").agg(F.sum("n").alias("n")).orderBy("cut").collect()]
+    return np.array(found[:-1]), found[-1]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, quality) outside the held-out fold."""
     trusted = labels.where((F.col("quality") == 1) & ~held_out()).select("doc_id").where("doc_id is not null").distinct()
     chosen = F.broadcast(_sampled(trusted, sample))  # about ``sample`` ids
-    web = _sampled(docs.where(~held_out()).select("doc_id", "text"), sample)
-    positive = features(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi"))
-    unlabelled = features(web)
-    return fit(positive, unlabelled) if len(positive) and len(unlabelled) else None
+    web = written(shapes(docs.where(~held_out())), "shapes")
+    try:
+        positive = collected(_sampled(web.join(chosen, "doc_id", "left_semi"), sample))
+        unlabelled = collected(_sampled(web, sample))
+        if not len(positive.x) or not len(unlabelled.x):
+            return None
+        return fit(positive, unlabelled, moments(web), lambda model, cuts: counted_above(web, model, cuts))
+    finally:
+        discard(web)
 
 
 def score(docs: DataFrame, model: Model | None, into: str = "score") -> DataFrame:
