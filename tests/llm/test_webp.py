@@ -197,3 +197,26 @@ def test_round_trip_of_texts(spark):
         media.stored(df, into="payload")
     with pytest.raises(ValueError):
         webp.decode(b"RIFFxxxxWEBPVP8 ")
+
+
+@pytest.mark.parametrize(("width", "height"), [(1, 1), (1, 7), (2, 9), (9, 1), (17, 5), (3, 20)])
+def test_predictor_at_narrow_and_flat_sizes(width, height):
+    px, rng = noise(width, height, 40 + width), np.random.default_rng(width)
+    modes = rng.integers(0, 14, (-(-height >> 2) + 1, -(-width >> 2) + 1)).astype(np.uint8)
+    rest = np.array([[(px[y, x].astype(int) - predicted(px, y, x, modes[y >> 2][x >> 2])) & 255 for x in range(width)] for y in range(height)]).astype(np.uint8)
+    assert (webp._undo_predictor(rest, 2, modes) == px).all()
+
+
+def test_pixel_arrays_have_every_channel(spark):
+    px = noise(13, 8, 21)
+    w = start(13, 8)
+    w.put(0, 1)
+    w.image(flat(px), 13, 0, (2, None))
+    file = webp._file(w.stream())
+    df = spark.createDataFrame([(1, file), (2, file + file), (3, None)], "doc_id long, media binary")
+    one, two, none = (media.pixels(df).orderBy("doc_id")).collect()
+    assert bytes(one["pixels"]) == px[..., [2, 1, 0, 3]].tobytes() and [tuple(s) for s in one["sizes"]] == [(13, 8)]
+    assert bytes(two["pixels"]) == 2 * bytes(one["pixels"]) and len(two["sizes"]) == 2 and none["pixels"] is None
+    assert bytes(media.pixels(df, channels="b").orderBy("doc_id").first()["pixels"]) == px[..., 0].tobytes()
+    with pytest.raises(ValueError):
+        media.pixels(df, channels="x")

@@ -63,22 +63,27 @@ def described(images: list[np.ndarray]) -> str:
     return f"rows={rows};mean={1000 * total // size};step={1000 * steps // size};values={np.count_nonzero(seen)}"
 
 
-def pixels(df: DataFrame, media: str = "media", into: str = "payload", feature: str = "feature") -> DataFrame:
-    """Adds ``into``, the green samples of all pixels of ``media`` in order, and ``feature``, their description."""
-
-    def values(x: bytes | None) -> tuple[bytes | None, str | None]:
+def pixels(df: DataFrame, media: str = "media", into: str = "pixels", feature: str = "feature", sizes: str = "sizes", channels: str = "rgba") -> DataFrame:
+    """Adds ``into``, the samples of ``channels`` of all pixels of ``media``, pixel by pixel in order, ``sizes``, width and
+    height of each of its images, and ``feature``, a description of their green samples."""
+    if not channels or set(channels) - set("bgra"):
+        raise ValueError(f"channels {channels!r} are not of b, g, r, a")
+    places = ["bgra".index(c) for c in channels]
+    size = T.ArrayType(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
+
+    def values(x: bytes | None) -> tuple:
         if x is None:
-            return None, None
+            return None, None, None
         images = webp.decode(x)
-        return b"".join(px[..., 1].tobytes() for px in images), described(images)
+        return b"".join(px[..., places].tobytes() for px in images), [{"width": px.shape[1], "height": px.shape[0]} for px in images], described(images)
 
-    return _map(df, media, [(into, T.BinaryType(), pa.binary()), (feature, T.StringType(), pa.string())], values)
+    return _map(df, media, [(into, T.BinaryType(), pa.binary()), (sizes, size, pa.list_(pa.struct([("width", pa.int32()), ("height", pa.int32())]))), (feature, T.StringType(), pa.string())], values)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: what was stored, and what was read back from it."""
     rows = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
-    back = pixels(stored(rows).drop("text"))
+    back = pixels(stored(rows).drop("text"), into="payload", channels="g")  # palette indices are grey: green has all of them
     return back.select(
         "doc_id",
         "n_bytes",

@@ -265,26 +265,35 @@ def _average(a, b):
 
 def _predict(mode: int, left, top, right, corner):
     if mode == 11:
-        return left if np.abs(top - corner).sum() < np.abs(left - corner).sum() else top
+        nearer = np.abs(top - corner).sum(axis=-1) < np.abs(left - corner).sum(axis=-1)
+        return np.where(nearer[..., None], left, top)
     if mode == 12:
         return np.clip(left + top - corner, 0, 255)
     if mode == 13:
         mean = _average(left, top)
         return np.clip(mean + ((mean - corner) / 2).astype(np.int32), 0, 255)
-    return {1: left, 2: top, 3: right, 4: corner, 5: _average(_average(left, right), top), 6: _average(left, corner), 7: _average(left, top), 8: _average(corner, top), 9: _average(top, right), 10: _average(_average(left, corner), _average(top, right))}.get(mode, np.array([0, 0, 0, 255], np.int32))
+    plain = {1: lambda: left, 2: lambda: top, 3: lambda: right, 4: lambda: corner, 5: lambda: _average(_average(left, right), top), 6: lambda: _average(left, corner), 7: lambda: _average(left, top), 8: lambda: _average(corner, top), 9: lambda: _average(top, right), 10: lambda: _average(_average(left, corner), _average(top, right))}
+    return plain[mode]() if mode in plain else np.array([0, 0, 0, 255], np.int32)
 
 
 def _undo_predictor(px: np.ndarray, bits: int, modes: np.ndarray) -> np.ndarray:
+    """Pixels from their differences. A pixel needs its left neighbour and three of the row above, so all pixels with one
+    column plus twice the row are undone at once: width + 2 x height steps instead of one for each pixel."""
     height, width, _ = px.shape
     out = px.astype(np.int32)
-    out[0, 0] = (out[0, 0] + (0, 0, 0, 255)) & 255
-    out[0, 1:] = np.cumsum(np.concatenate((out[0, :1], out[0, 1:])), axis=0)[1:] & 255
-    for y in range(1, height):
-        out[y, 0] = (out[y, 0] + out[y - 1, 0]) & 255
-        row = modes[y >> bits]
-        for x in range(1, width):
-            right = out[y - 1, x + 1] if x + 1 < width else out[y, 0]
-            out[y, x] = (out[y, x] + _predict(int(row[x >> bits]), out[y, x - 1], out[y - 1, x], right, out[y - 1, x - 1])) & 255
+    out[0, 0, 3] += 255
+    out[0] = np.cumsum(out[0], axis=0) & 255
+    out[:, 0] = np.cumsum(out[:, 0], axis=0) & 255
+    for wave in range(3, width + 2 * height - 2):
+        y = np.arange(max(1, (wave - width + 2) // 2), min(height - 1, (wave - 1) // 2) + 1)
+        x = wave - 2 * y
+        left, top, corner = out[y, x - 1], out[y - 1, x], out[y - 1, x - 1]
+        last = x + 1 == width  # there the first pixel of the same row stands for the upper right one
+        right = out[np.where(last, y, y - 1), np.where(last, 0, x + 1)]
+        mode = modes[y >> bits, x >> bits]
+        for m in np.unique(mode):
+            at = mode == m
+            out[y[at], x[at]] = (out[y[at], x[at]] + _predict(int(m), left[at], top[at], right[at], corner[at])) & 255
     return out.astype(np.uint8)
 
 
