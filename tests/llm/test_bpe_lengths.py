@@ -50,6 +50,8 @@ def test_round_trip_and_digests(spark, plain):
     assert bpe.digests(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
     with pytest.raises(ValueError):
         bpe.encode(df, PATH, public_tokenizers.PATTERN, into="lang")
+    with pytest.raises(ValueError, match="pattern"):
+        bpe.encode(df, PATH, r"[^\s]+[\r\n]*|\s+")
 
 
 def test_histogram_against_brute_force(spark, plain):
