@@ -46,6 +46,22 @@ def floor_sweep(images: DataFrame, widths=SWEEP) -> DataFrame:
     return floors.join(counted, "floor", "left").select("floor", F.coalesce("crops", F.lit(0).cast("long")).alias("crops"))
 
 
+def floor_costs(images: DataFrame, widths=SWEEP, shipped: int = FLOORS["standard"][0]) -> DataFrame:
+    """What each floor width of the sweep catches of images (position, sensitive), and its crops against those of ``shipped``.
+
+    One pass counts all widths; without sensitive images, crops or crops at ``shipped`` a ratio is 1.
+    """
+    yes = F.coalesce(F.col("sensitive"), F.lit(False))
+    sums = [F.count_if(yes).alias("sensitive")]
+    for w in {*widths, shipped}:
+        met = is_candidate(F.col("position"), F.lit(w), F.lit(int(w * 80 / 140 + 0.5)))
+        sums += [F.count_if(met).alias(f"_n{w}"), F.count_if(met & yes).alias(f"_c{w}")]
+    rows = [F.struct(F.lit(w).alias("floor"), F.col(f"_n{w}").alias("crops"), F.col(f"_c{w}").alias("caught"), F.col("sensitive"), F.col(f"_n{shipped}").alias("_base")) for w in widths]
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(1.0)
+    told = images.agg(*sums).select(F.inline(F.array(*rows)))
+    return told.select("floor", "crops", "caught", "sensitive", ratio("caught", "sensitive").alias("recall"), (F.col("crops") - F.col("caught")).alias("over_flagged"), ratio("caught", "crops").alias("precision"), ratio("crops", "_base").alias("relative_cost"))
+
+
 def clipped(findings: DataFrame, views: DataFrame, key: str = "page_id") -> DataFrame:
     """Findings in each view of their page, in its coordinates; those outside go."""
     inside = geom.clip(F.col("position"), F.col("view"))
