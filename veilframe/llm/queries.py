@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import ann, bpe, lengths, licenses, media, mixing, pii, quality, simhash, urlfilter
+from veilframe.llm import ann, bpe, exact, filters, fim, lengths, licenses, media, mixing, pii, quality, simhash, urlfilter
 from veilframe.llm.shared import table, written
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -83,3 +83,28 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_license_digests"] = licenses.oracle()
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_fill_in_middle"] = fim.ORACLE
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = filters.ORACLE
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", found["digest"].alias("text_sha256"))
+
+
+ORACLES["op13_exact_dedup"] = exact.ORACLE
