@@ -106,19 +106,24 @@ def shown_texts(elements: DataFrame) -> DataFrame:
 
 
 def merged_sightings(items: DataFrame, share: float = MERGE_SHARE) -> DataFrame:
-    """The first of sightings (page_id, ord, text, position) with one normalised text that cover ``share`` of the smaller."""
+    """The first of sightings (page_id, ord, text, position) with one normalised text that cover ``share`` of the smaller; texts without letters or digits are none."""
     from veilframe.functions.text import normalised
 
-    named = items.withColumn("_text", normalised(F.col("text")))
+    named = items.withColumn("_text", normalised(F.col("text"))).where("_text <> ''")
     return match.kept_first(named, [F.col("ord")], lambda k, x: geom.overlap_share(k["position"], x["position"]) >= share, "page_id", "_text").drop("_text")
 
 
+def agreed_pairs(shown: DataFrame, read: DataFrame, share: float = READ_SHARE, key: str = "page_id") -> DataFrame:
+    """(page_id, a, b, weight): texts of the markup (ord a) and of the pixels (ord b) that say the same in one place, one to one, the best overlap first."""
+    near = match.overlapping(shown, read, key)
+    weight = geom.overlap_share(F.col("l.position"), F.col("r.position"))
+    pairs = near.where((weight >= share) & same_text(F.col("l.text"), F.col("r.text"))).select(key, F.col("l.ord").alias("a"), F.col("r.ord").alias("b"), weight.alias("weight"))
+    return match.greedy_pairs(pairs, key)
+
+
 def agreement(shown: DataFrame, read: DataFrame, share: float = READ_SHARE) -> DataFrame:
     """(page_id, agreed, shown_only, read_only, agreement): texts of the markup and of the pixels (page_id, ord, text, position), one to one by overlap."""
-    near = match.overlapping(shown, read)
-    weight = geom.overlap_share(F.col("l.position"), F.col("r.position"))
-    pairs = near.where((weight >= share) & same_text(F.col("l.text"), F.col("r.text"))).select("page_id", F.col("l.ord").alias("a"), F.col("r.ord").alias("b"), weight.alias("weight"))
-    agreed = match.greedy_pairs(pairs).groupBy("page_id").agg(F.count(F.lit(1)).alias("agreed"))
+    agreed = agreed_pairs(shown, read, share).groupBy("page_id").agg(F.count(F.lit(1)).alias("agreed"))
     count = lambda df, n: df.where(F.trim("text") != "").groupBy("page_id").agg(F.count(F.lit(1)).alias(n))
     both = count(shown, "shown").join(read.groupBy("page_id").agg(F.count(F.lit(1)).alias("read")), "page_id", "full").join(agreed, "page_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
