@@ -57,3 +57,67 @@ def test_elements_of_a_literal_page(spark):
     long = [r for r in got if r["page_id"] == 4]
     assert len(long) == 1 and len(long[0]["value"]) == 201 and long[0]["value"].endswith("…")
     assert not [r for r in got if r["page_id"] in (1, 2, 3)]
+
+
+GRID = """<div role="grid"><div role="row"><span role="columnheader">First Name<i>Ascending</i></span><span role="columnheader"><i>Mail</i></span></div>
+<div role="row"><span role="gridcell">Ann</span><div><span role="cell"><b>a@b.example</b></span></div></div>
+<div role="row"><span role="gridcell">one cell only</span></div>
+<div role="row"><span role="gridcell">Bob</span><span role="gridcell"><div role="row"><span role="gridcell">x</span><span role="gridcell">y</span></div></span></div></div>
+<div role="gridcell">of no row</div>
+<div role="table"><div role="row"><span role="cell">no header</span></div></div>
+<div role="treegrid"><div role="row"><span role="cell"><div role="grid"><div role="row"><b role="columnheader">Inner</b></div><div role="row"><b role="cell">in</b></div></div></span></div></div>
+<div role="grid"><b role="columnheader">of no row</b><div role="row"><b role="cell">z</b></div></div>
+<table><tr><th>T</th></tr><tr><td><span role="gridcell">in a table</span></td></tr></table>"""
+
+
+def test_headers_of_grids_made_by_roles(spark):
+    got = {r["value"]: r["column_header"] for r in rows_of(spark, [GRID]) if r["tag"] in ("span", "b")}
+    assert got["Ann"] == "First Name" and got["a@b.example"] == "Mail"
+    assert got["one cell only"] is None  # two headers, one cell
+    assert got["Bob"] == "First Name" and got["x"] == "First Name" and got["y"] == "Mail"  # cells of a nested row are that row's
+    assert got["no header"] is None and got["z"] is None and got["in a table"] is None
+    assert got["in"] == "Inner"
+    outer = [r for r in rows_of(spark, [GRID]) if r["value"] == "of no row"]
+    assert len(outer) == 2 and all(r["column_header"] is None for r in outer)
+
+
+def test_what_stands_inside_a_node(spark):
+    found = html.nodes(spark.createDataFrame([(1, "<p><b></b><div><b></b><div><b></b></div></div><b></b>"), (2, "<div></div>")], "page_id long, html string")).cache()
+    got = html.inside(found.where("tag = 'div'"), found.where("tag = 'b'")).collect()
+    assert sorted((r.page_id, r.node, r.before, r.upto) for r in got) == [(1, 2, 1, 3), (1, 4, 2, 3), (2, 0, 0, 0)]
+    boxes = html.inside(found.where("tag = 'div'"), found.where("tag = 'div'")).collect()  # a node is no item of itself
+    assert sorted((r.page_id, r.node, r.upto - r.before) for r in boxes) == [(1, 2, 1), (1, 4, 0), (2, 0, 0)]
+
+
+def test_deep_and_broken_pages():
+    import time
+
+    start = time.process_time()
+    for piece in ("<div id=a>x", "<label>x", "<p><div>", "<ul><div><li>", "<![foo[x]]>a", "<a <a ", "<!--", "<![", "</div>", "<table><tr><td>"):
+        nodes = html.read(piece * 20_000)
+        assert all(n["node"] <= n["last"] < len(nodes) for n in nodes)
+    assert time.process_time() - start < 30
+    assert [n["own"] for n in html.read("<![foo[x]]><p>a<![CDATA[b]]>c")] == ["ac"]
+    assert [n["own"] for n in html.read("<p>a &lt; b < c <i")] == ["a < b < c "]
+    assert html.read("<b>" + "x" * 10_000 + "</b><button>" + " y" * 5_000)[1]["whole"].split() == ["y"] * len(html.read("<button>" + " y" * 5_000)[0]["whole"].split())
+
+
+def test_no_text_breaks_the_parser():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    piece = st.one_of(st.sampled_from(["<", ">", "<!", "<![", "<!--", "-->", "<a", "</", "</p>", "<p>", "<div role=grid>", "<td>", "<table>", "'", '"', "=", "&", "&#", "<script>", "</script>", "<?", "]]>", " ", "x", "<label>", "<option>", "<svg/>"]), st.text(max_size=5))
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(piece, max_size=40))
+    def holds(pieces):
+        found = html.read("".join(pieces))
+        assert [n["node"] for n in found] == list(range(len(found)))
+        assert all(k <= n["last"] < len(found) for k, n in enumerate(found))
+
+    holds()
+
+
+def test_a_bad_page_harms_no_other(spark):
+    got = rows_of(spark, ["<![foo[x]]>a", "<p>good"])
+    assert [(r["page_id"], r["value"]) for r in got] == [(1, "good")]

@@ -20,7 +20,7 @@ def _nodes(spark, sf_dir) -> DataFrame:
 
 @query(None)
 def page_elements(spark, sf_dir):
-    return html.elements(_nodes(spark, sf_dir))
+    return html.elements_of(table(spark, sf_dir, "pages"))
 
 
 @query(f"""
@@ -49,7 +49,7 @@ def page_tags(spark, sf_dir):
 
 @query(None)
 def page_findings(spark, sf_dir):
-    placed = html.elements(_nodes(spark, sf_dir)).withColumn("position", F.lit(None).cast("struct<x:double,y:double,width:double,height:double>"))
+    placed = html.elements_of(table(spark, sf_dir, "pages")).withColumn("position", F.lit(None).cast("struct<x:double,y:double,width:double,height:double>"))
     return detect(placed).drop("position")
 
 
@@ -69,3 +69,23 @@ def exported_maps(spark, sf_dir):
     none = F.lit(None).cast("string")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit(0).alias("ord"), F.lit("e0").alias("element_id"), F.lit("text").alias("element_type"), none.alias("selector"), F.col("lang").alias("label"), F.col("n_chars").cast("string").alias("value"), none.alias("input_type"), none.alias("autocomplete"), F.col("source").alias("name"), none.alias("placeholder"), F.lit(None).cast(captured.POSITION).alias("position"), "text")
     return captured.exported(docs, "documents")
+
+
+def _grid_pages(spark, sf_dir) -> DataFrame:
+    """A page for each order: a grid of its lines by roles, within a row of an outer grid. Every fifth has a header too many."""
+    cell = lambda c: F.concat(F.lit('<i role="gridcell"><b>'), F.col(c).cast("string"), F.lit("</b></i>"))
+    row = F.concat(F.lit('<div role="row"><div>'), cell("l_partkey"), F.lit("</div>"), cell("l_suppkey"), F.lit('</div>'))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    extra = F.when(F.col("l_orderkey") % 5 == 0, '<b role="columnheader">More').otherwise("")
+    head = F.concat(F.lit('<p role="row"><b role="columnheader">Part <u>sort</u></b><b role="columnheader"><u>Supplier</u></b>'), extra, F.lit("</p>"))
+    page = F.concat(F.lit('<section role="grid"><div role="row"><i role="cell">outer</i><table role="grid">'), head, F.col("rows"), F.lit("</table></div></section>"))
+    return lines.select(F.col("l_orderkey").alias("page_id"), page.alias("html"))
+
+
+@query("""
+SELECT l_orderkey AS page_id, x.value, CASE WHEN l_orderkey % 5 > 0 THEN x.header END AS header, count(*) AS cells
+FROM (SELECT l_orderkey, unnest([{'value': l_partkey::VARCHAR, 'header': 'Part'}, {'value': l_suppkey::VARCHAR, 'header': 'Supplier'}]) AS x FROM lineitem) GROUP BY ALL
+""")
+def grid_cells(spark, sf_dir):
+    found = html.elements_of(_grid_pages(spark, sf_dir)).where("tag = 'b' and value rlike '^[0-9]+$'")
+    return found.groupBy("page_id", "value", F.col("column_header").alias("header")).agg(F.count(F.lit(1)).alias("cells"))

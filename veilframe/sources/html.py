@@ -2,8 +2,12 @@
 
 ``nodes`` parses whole pages in Arrow batches, one row per tag, with what a start tag knows of its ancestors.
 Everything else is joins and expressions: what a node is, its label, its value, its column's header, its
-row. Broken markup is read as browsers do in the common cases: unknown end tags are ignored, an open paragraph,
-list item, option or table cell ends where the next begins, what is never closed ends with the page.
+row. Nodes are numbered in document order and know the last node below them, so what stands below a node is a
+range of numbers, and counts of what stands before both ends say which of a kind are inside (``inside``).
+
+Broken markup is read as browsers do in the common cases: unknown end tags are ignored, an open paragraph,
+list item, option or table cell ends where the next begins, what is never closed ends with the page, a declaration
+that is none is a comment. Time is linear in a page's length, however deep its nodes are.
 Null and empty pages have no nodes. Nothing is known of layout, so no element is left out for its place.
 Names of tags and attributes are lower-cased; of a repeated attribute the first counts; of a repeated id the
 first node.
@@ -11,13 +15,17 @@ first node.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.tables import written
+
 # Fixed values.
 SKIPPED = ("script", "style", "noscript", "template", "meta", "link", "title", "head")
 BUTTON_INPUTS = ("submit", "button", "reset", "image")
@@ -35,98 +43,139 @@ HAS_VALUE = "[has value]"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CELLS = frozenset(("td", "th"))
 #: Start tags that end an open element, and the elements beyond which they don't look.
-_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "option": ({"option"}, {"select"}), "td": (_CELLS, {"tr", "table"}), "th": (_CELLS, {"tr", "table"}), "tr": ({"tr"}, {"table"})}
+_ENDS = {"li": (("li",), ("ul", "ol", "menu")), "option": (("option",), ("select",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",))}
 _BLOCKS = frozenset("address article aside blockquote center div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Nodes whose whole text may be asked for.
+#: Nodes whose whole text may be asked for, beside those that a label refers to by their id.
 _WHOLE = frozenset(("label", "button", "a", "option", "textarea", "th", "td"))
+_WHOLE_ROLES = frozenset(("button", "columnheader"))
+#: Roles of grids that are built without tables.
+GRIDS, GRID_CELLS, GRID_ROW, GRID_HEADER = ("table", "grid", "treegrid"), ("cell", "gridcell"), "row", "columnheader"
+_GRID_ROLES = {**dict.fromkeys(GRIDS, "grid"), **dict.fromkeys(GRID_CELLS, "grid_cell"), GRID_ROW: "grid_row"}
+_BEGUN = re.compile("<[A-Za-z/!?]")
 _BATCH = 20_000
 
+#: What a node knows of its nearest ancestors, itself included for those of its own kind: their numbers.
+_NEAREST = ("label", "row", "select", "table", "line", "cell", "holder", "grid", "grid_row", "grid_cell")
 NODE = pa.struct(
-    [("node", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("own", pa.string()), ("whole", pa.string()), ("label", pa.int32()), ("row", pa.int32()), ("select", pa.int32())]
-    + [(n, pa.int32()) for n in ("table", "line", "cell", "holder")]
-    + [("head", pa.bool_())]
+    [("node", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("own", pa.string()), ("whole", pa.string())] + [(n, pa.int32()) for n in _NEAREST] + [("head", pa.bool_())]
 )
-_DDL = "node int, tag string, attrs map<string,string>, own string, whole string, label int, row int, select int, table int, line int, cell int, holder int, head boolean"
+_DDL = "node int, last int, tag string, attrs map<string,string>, own string, whole string, " + ", ".join(f"{n} int" for n in _NEAREST) + ", head boolean"
 
 
 class _Reader(HTMLParser):
-    """One page's nodes. An open node is its row, with what its children inherit."""
+    """One page's nodes. An open node is its row, with what its children inherit; ``places`` has the open ones of each tag.
+
+    Each tag is opened and closed once, and a node's text is a piece of the page's: nothing is looked for along the open nodes.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.made: list[dict] = []
         self.open: list[tuple[str, dict | None, dict]] = []
+        self.places: dict[str, list[int]] = {}
+        self.said: list[str] = []
+        self.size = 0
 
     def _inherited(self) -> dict:
-        return self.open[-1][2] if self.open else {"skip": False, "chrome": False, "collect": (), **dict.fromkeys(("label", "row", "select", "table", "line", "cell", "holder")), "head": False, "lines": None, "cells": None}
+        return self.open[-1][2] if self.open else {"skip": False, "chrome": False, **dict.fromkeys(_NEAREST), "head": False, "lines": None, "cells": None}
+
+    def _close(self, at: int) -> None:
+        """Ends the open nodes from place ``at`` on."""
+        for tag, node, _ in reversed(self.open[at:]):
+            self.places[tag].pop()
+            if node is not None:
+                node["last"], node["upto"] = len(self.made) - 1, self.size
+        del self.open[at:]
+
+    def _nearest(self, tags: tuple[str, ...]) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)  # what browsers make of any "<!["
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        end = super().parse_comment(i, 0)
+        return end if end >= 0 else len(self.rawdata)  # one that never ends takes the rest, and is looked for once
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _BLOCKS and any(o[0] == "p" for o in self.open):
+        if tag in _BLOCKS:
             self.handle_endtag("p")
-        own, limit = _ENDS.get(tag, ((), ()))
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] in limit:
-                break
-            if self.open[at][0] in own:
-                del self.open[at:]
-                break
-        up = self._inherited()
-        down = dict(up)
+        if tag in _ENDS:
+            own, limit = map(self._nearest, _ENDS[tag])
+            if own > limit:
+                self._close(own)
+        up = down = self._inherited()
         named = {k: v or "" for k, v in reversed(attrs)}
-        down["skip"] = up["skip"] or tag in SKIPPED
         node = None
-        if not down["skip"]:
-            number = len(self.made)
-            down["chrome"] = up["chrome"] or tag in CHROME
+        if tag in SKIPPED and not up["skip"]:
+            down = up | {"skip": True}
+        elif not up["skip"]:
+            number, role = len(self.made), named.get("role")
             if tag == "table":
-                down |= {"table": number, "line": None, "cell": None, "holder": None, "head": False, "lines": [0]}
+                down = down | {"table": number, "line": None, "cell": None, "holder": None, "head": False, "lines": [0]}
             elif tag == "thead":
-                down["head"] = True
+                down = down | {"head": True}
             elif tag == "tr" and up["lines"]:
-                down |= {"line": up["lines"][0], "cells": [0]}
+                down = down | {"line": up["lines"][0], "cells": [0]}
                 up["lines"][0] += 1
             elif tag in _CELLS and up["cells"]:
-                down |= {"cell": up["cells"][0], "holder": number}
+                down = down | {"cell": up["cells"][0], "holder": number}
                 up["cells"][0] += 1
-            if tag in ROWS or named.get("role") in ROW_ROLES:
-                down["row"] = None if down["chrome"] else number
-            keep = ("label", "row", "select", "table", "line", "cell", "holder", "head")
-            node = {"node": number, "tag": tag, "attrs": named, "own": [], "whole": [] if tag in _WHOLE or "id" in named or "contenteditable" in named or named.get("role") == "button" else None, **{k: down[k] for k in keep}}
+            elif tag in CHROME:
+                down = down | {"chrome": True}
+            if tag in ROWS or role in ROW_ROLES:
+                down = down | {"row": None if down["chrome"] else number}
+            if role in _GRID_ROLES:
+                down = down | {_GRID_ROLES[role]: number}
+            node = {"node": number, "tag": tag, "attrs": named, "own": [], "from": self.size, "near": down}
             self.made.append(node)
-            if tag == "label":
-                down["label"] = number
-            if tag == "select":
-                down["select"] = number
-            if node["whole"] is not None:
-                down["collect"] = (*up["collect"], node)
+            if tag in ("label", "select"):
+                down = down | {tag: number}
         if tag not in _VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append((tag, node, down))
+        elif node is not None:
+            node["last"], node["upto"] = node["node"], self.size
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                del self.open[at:]
-                return
+        if at := self.places.get(tag):
+            self._close(at[-1])
 
     def handle_data(self, data: str) -> None:
         if self.open and not self.open[-1][2]["skip"]:
+            self.said.append(data)
+            self.size += len(data)
             if self.open[-1][1] is not None:
                 self.open[-1][1]["own"].append(data)
-            for node in self.open[-1][2]["collect"]:
-                node["whole"].append(data)
+
+
+def _enough(text: str, start: int, end: int) -> str:
+    """The text from ``start``, as far as labels and values can show it: squeezed, more than the longest of them, or all."""
+    size = 2 * MOST_VALUE
+    while (some := text[start : min(end, start + size)]) and start + size < end and len(" ".join(some.split())) <= MOST_VALUE + 1:
+        size *= 4
+    return some
 
 
 def read(page: str | None) -> list[dict]:
-    """The nodes of one page in document order."""
-    reader = _Reader()
-    reader.feed(page or "")
+    """The nodes of one page in document order; those below node n are n + 1 to its ``last``, and ``near`` has what it inherits."""
+    reader, page = _Reader(), page or ""
+    whole = page.rfind(">") + 1  # behind the last one no tag is whole: what has begun there is dropped
+    reader.feed(page[:whole])
     reader.close()
+    if not reader.cdata_elem:
+        reader.handle_data(unescape(_BEGUN.split(page[whole:], maxsplit=1)[0]))
+    reader._close(0)
+    asked = {i for n in reader.made for i in n["attrs"].get("aria-labelledby", "").split()}
+    text = "".join(reader.said)
     for n in reader.made:
-        n["own"] = "".join(n["own"])
-        n["whole"] = None if n["whole"] is None else "".join(n["whole"])
+        a = n["attrs"]
+        whole = n["tag"] in _WHOLE or "contenteditable" in a or a.get("role") in _WHOLE_ROLES or (asked and a.get("id") in asked)
+        start, end = n.pop("from"), n.pop("upto")
+        n["own"], n["whole"] = "".join(n["own"]), _enough(text, start, end) if whole else None
     return reader.made
 
 
@@ -140,7 +189,7 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
             for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 made = read(text)
                 ids += [page] * len(made)
-                found += [n | {"attrs": list(n["attrs"].items())} for n in made]
+                found += made
                 if len(found) >= _BATCH:
                     yield _rows(ids, found)
                     ids, found = [], []
@@ -150,8 +199,13 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
 
 
 def _rows(ids: list, found: list[dict]) -> pa.RecordBatch:
-    body = pa.array(found, NODE)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *body.flatten()], names=["page_id", *[f.name for f in NODE]])
+    def column(field: pa.Field) -> pa.Array:
+        if field.name == "attrs":
+            return pa.array([list(n["attrs"].items()) for n in found], field.type)
+        inherited = field.name in _NEAREST or field.name == "head"
+        return pa.array([n["near"][field.name] for n in found] if inherited else [n[field.name] for n in found], field.type)
+
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(column, NODE)], names=["page_id", *[f.name for f in NODE]])
 
 
 def squeezed(text: Column) -> Column:
@@ -206,7 +260,7 @@ def elements(found: DataFrame) -> DataFrame:
     asked = own.where(F.coalesce(_attr("aria-labelledby"), F.lit("")) != "").select("page_id", "node", F.posexplode(F.split(_attr("aria-labelledby"), r"\s+")).alias("n", "id"))
     said = asked.join(ids, ["page_id", "id"], "left").groupBy("page_id", "node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("said", F.lit("")).alias("said")))), lambda x: x["said"]), " ").alias("labelled"))
     rows = own.withColumn("_id", _attr("id")).join(named.withColumnRenamed("id", "_id"), ["page_id", "_id"], "left").join(around, ["page_id", "label"], "left").join(said, ["page_id", "node"], "left").join(chosen, ["page_id", "node"], "left")
-    rows = rows.join(headers(found), ["page_id", "table", "cell"], "left")
+    rows = rows.join(headers(found), ["page_id", "table", "cell"], "left").join(grid_headers(found), ["page_id", "grid_cell"], "left")
     pressed = F.col("tag").isin("button", "a") | (_attr("role") == "button")
     by_label = F.coalesce(F.col("by_id.whole"), F.col("around"))
     label = F.coalesce(
@@ -227,7 +281,7 @@ def elements(found: DataFrame) -> DataFrame:
         .when((F.col("tag") == "textarea") | (_attr("contenteditable") == "true"), clamped(F.col("whole"), MOST_VALUE))
         .otherwise(clamped(F.col("own"), MOST_VALUE))
     )
-    header = F.when(F.col("cell").isNotNull() & (F.col("holder_tag") == "td"), F.col("header"))
+    header = F.when(F.col("grid_cell").isNotNull(), F.col("grid_header")).when(F.col("cell").isNotNull() & (F.col("holder_tag") == "td"), F.col("header"))
     holders = found.where("tag = 'td'").select("page_id", F.col("node").alias("holder"), F.lit("td").alias("holder_tag"))
     rows = rows.join(holders, ["page_id", "holder"], "left").withColumn("_label", clamped(label, MOST_LABEL)).withColumn("_value", value)
     used = rows.where("element_type in ('input', 'button')").where(F.col("_label") == clamped(by_label, MOST_LABEL)).select("page_id", F.coalesce("by_id.node", "label").alias("node")).distinct()
@@ -252,6 +306,49 @@ def elements(found: DataFrame) -> DataFrame:
     )
 
 
+def elements_of(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """``elements`` of raw pages, each parsed once: the nodes are written to the shared folder, as several joins read them."""
+    return elements(written(nodes(pages, key, html), "nodes"))
+
+
+def inside(containers: DataFrame, items: DataFrame) -> DataFrame:
+    """(page_id, node, before, upto) of ``containers`` (page_id, node, last): how many ``items`` (page_id, node) stand before
+    the first node below each, and up to its last: its items are those numbered before + 1 to upto in their page."""
+    ends = containers.select("page_id", F.explode(F.array(F.struct(F.col("node").alias("at"), F.lit(False).alias("end")), F.struct(F.col("last").alias("at"), F.lit(True).alias("end")))).alias("e"), "node")
+    marks = ends.select("page_id", "e.at", F.lit(0).alias("item"), "node", "e.end")
+    marks = marks.unionByName(items.select("page_id", F.col("node").alias("at"), F.lit(1).alias("item"), F.lit(None).cast("int").alias("node"), F.lit(None).cast("boolean").alias("end")))
+    # at one place the item counts first: it stands below a container that ends there, and at its own start it is no item of itself
+    seen = F.sum("item").over(Window.partitionBy("page_id").orderBy("at", F.desc("item")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = marks.withColumn("_n", seen).where("item = 0")
+    return counted.groupBy("page_id", "node").agg(F.max(F.when(~F.col("end"), F.col("_n"))).alias("before"), F.max(F.when(F.col("end"), F.col("_n"))).alias("upto"))
+
+
+def _header_text() -> Column:
+    return F.coalesce(clamped(F.col("own"), MOST_LABEL), clamped(F.col("whole"), MOST_LABEL))
+
+
+def grid_headers(found: DataFrame) -> DataFrame:
+    """(page_id, grid_cell, grid_header): the header of each cell of grids made by roles.
+
+    A grid's header row is the row of the first column header below it. A cell's place among the cells of its row names its
+    header, if the header row has as many headers below it as the row has cells.
+    """
+    role = _attr("role")
+    page = Window.partitionBy("page_id").orderBy("node")
+    heads = found.where(role == GRID_HEADER).select("page_id", "node", "grid_row", _header_text().alias("grid_header"), F.row_number().over(page).alias("number"))
+    grids = found.where(role.isin(*GRIDS)).select("page_id", "node", "last")
+    first = inside(grids, heads).where("upto > before").select("page_id", F.col("node").alias("grid"), (F.col("before") + 1).alias("number"))
+    rows = first.join(heads.select("page_id", "number", F.col("grid_row").alias("head_row")), ["page_id", "number"]).where("head_row is not null").select("page_id", "grid", "head_row")
+    spans = found.where(role == GRID_ROW).select("page_id", "node", "last").join(rows.select("page_id", F.col("head_row").alias("node")).distinct(), ["page_id", "node"], "left_semi")
+    headed = rows.join(inside(spans, heads).select("page_id", F.col("node").alias("head_row"), "before", "upto"), ["page_id", "head_row"])
+    cells = found.where(role.isin(*GRID_CELLS) & F.col("grid_row").isNotNull() & F.col("grid").isNotNull()).select("page_id", "node", "grid_row", "grid")
+    own = Window.partitionBy("page_id", "grid_row")
+    placed = cells.withColumns({"k": F.row_number().over(own.orderBy("node")), "n": F.count(F.lit(1)).over(own)})
+    met = placed.join(headed, ["page_id", "grid"]).where(F.col("n") == F.col("upto") - F.col("before"))
+    named = met.select("page_id", F.col("node").alias("grid_cell"), (F.col("before") + F.col("k")).alias("number"))
+    return named.join(heads.select("page_id", "number", "grid_header"), ["page_id", "number"]).select("page_id", "grid_cell", "grid_header")
+
+
 def headers(found: DataFrame) -> DataFrame:
     """(page_id, table, cell, header): the texts of each table's header row, the last of its head or a first row of header cells only.
 
@@ -263,5 +360,4 @@ def headers(found: DataFrame) -> DataFrame:
     )
     named = lines.groupBy("page_id", "table").agg(F.coalesce(F.max(F.when(F.col("head"), F.struct("line", "span"))), F.min(F.when((F.col("line") == 0) & F.col("all_th"), F.struct("line", "span")))).alias("h"))
     wanted = named.where("h.span <= 1").select("page_id", "table", F.col("h.line").alias("line"))
-    text = F.coalesce(clamped(F.col("own"), MOST_LABEL), clamped(F.col("whole"), MOST_LABEL))
-    return cells.join(wanted, ["page_id", "table", "line"]).groupBy("page_id", "table", "cell").agg(F.min_by(text, "node").alias("header"))
+    return cells.join(wanted, ["page_id", "table", "line"]).groupBy("page_id", "table", "cell").agg(F.min_by(_header_text(), "node").alias("header"))

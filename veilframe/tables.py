@@ -1,7 +1,10 @@
-"""Reading the supplied tables."""
+"""Reading the supplied tables, and tables that a job writes on its way."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,3 +22,20 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(spark.sparkContext.defaultParallelism) if int(size) <= SMALL_BYTES else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or for a local master without it a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_shared_dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = spark._shared_dir = tempfile.mkdtemp(prefix="spark-veilframe-")
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for what several branches of a plan read: it is computed once."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
