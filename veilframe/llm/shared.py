@@ -27,20 +27,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables that ``written`` made, in order, by application.
+made: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made.setdefault(spark.sparkContext.applicationId, []).append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._veilframe_path = path
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``written`` made, once nothing reads it any more."""
     path = getattr(df, "_veilframe_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
+        _delete(df.sparkSession, path)
+
+
+def mark(spark: SparkSession) -> int:
+    """A place in the list of written tables, for ``discard_since``."""
+    return len(made.get(spark.sparkContext.applicationId, ()))
+
+
+def discard_since(spark: SparkSession, place: int, but: DataFrame) -> None:
+    """Delete all tables written after ``place`` but one, when that one holds the result and nothing reads the others."""
+    paths = made.get(spark.sparkContext.applicationId, [])
+    keep = getattr(but, "_veilframe_path", None)
+    for path in paths[place:]:
+        if path != keep:
+            _delete(spark, path)
+    paths[place:] = [keep] if keep in paths[place:] else []

@@ -10,13 +10,15 @@ forest of the links it found: no link between different components is lost and n
 into all its pairs. Rounds of joins then find the components.
 
 Where links count only if the texts' shingles are similar enough (Jaccard), texts with the same set of
-shingles are one class, fingerprints are taken of that set, and each carries the set's size and a histogram
-of it. Similar sets have similar sizes, so tiles are also cut by bands of the size, and only a band and the
+shingles are one class, two independent fingerprints are taken of that set (a pair is a candidate within the radius
+of either), and each carries the set's size and a histogram of it. Sets of up to ``FEW`` shingles, whose fingerprints
+scatter most, are also candidates by an exact rule: of two similar sets each has one of its rarest shingles, as many as
+the similarity lets it miss and one more, in common with the other's. Similar sets have similar sizes, so tiles are also cut by bands of the size, and only a band and the
 next one meet. Two texts' histograms differ by no more than their sets do, so a larger difference than
 the similarity allows rules a pair out inside the tile, and never a link. What the forests of this first
 comparison leave in different components can't be similar. A second comparison takes one component at a
 time, the small ones several to a task and a large one in pairs of blocks, with the whole texts: pairs that
-are not in one class yet are tested by counting their common shingles, and again a spanning forest is
+are not in one class yet are tested by counting their common shingles, whatever their fingerprints, and again a spanning forest is
 returned. So a group makes as many links as it has rows, whether its texts are similar or only nearly so.
 
 Words are the runs of `[^\\x20\\x09-\\x0D]` after A-Z is lower-cased; shingles are ``width`` words
@@ -45,9 +47,11 @@ SEED = 42
 TILE, TILE_BYTES = 65_536, 16 << 20
 #: Rows of one block inside a tile, and pairs looked at in one step.
 BLOCK, PAIRS = 256, 1 << 16
-#: Differing bits up to which texts are candidates for a Jaccard similarity of 0.8: some 10 bits are usual there, and of
-#: 10,502 random pairs of similarity 0.80 to 0.85 none differed in more (307 in more than 14).
+#: Differing bits, of one of two fingerprints, up to which texts are candidates for a Jaccard similarity of 0.8: some 10
+#: bits are usual there, and one pair in some 20,000 of that very similarity differs in more of one fingerprint.
 RADIUS = 22
+#: Sets up to this size are candidates by their rarest shingles as well. Similar sets of which one has 64 or fewer are both among them.
+FEW = 80
 #: Least and largest number of bins of the histogram of a text's shingles, one saturating byte each; one bin for 8 shingles.
 BINS, MOST_BINS, PER_BIN = 64, 1 << 16, 8
 #: Shingles of one block of texts in the second comparison (each text counts 64 more), and elements counted in one step.
@@ -103,14 +107,23 @@ def _set_key(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED + 1) - (1 << 63)
 
 
-def set_sketch(text: str | None, width: int) -> tuple[int, int, int, bytes]:
-    """Of a text's different shingles: SimHash, digest, number and histogram."""
+def _other(hashes: np.ndarray) -> np.ndarray:
+    """The hashes mixed (multiplications and shifts), for a second fingerprint that errs independently of the first."""
+    out = hashes.copy()
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
+    return out ^ (out >> np.uint64(31))
+
+
+def set_sketch(text: str | None, width: int) -> tuple[int, int, int, int, bytes, list[int] | None]:
+    """Of a text's different shingles: two SimHashes, digest, number, histogram, and themselves if they are few."""
     hashes = np.unique(_hashes(text, width))
-    return (_majority(hashes) if text and text.encode().split() else 0, _set_key(hashes), *_histogram(hashes))
+    fps = (_majority(hashes), _majority(_other(hashes))) if text and text.encode().split() else (0, 0)
+    return (*fps, _set_key(hashes), *_histogram(hashes), hashes.view(np.int64).tolist() if len(hashes) <= FEW else None)
 
 
 def fingerprints(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text: str = "text", sets: bool = False) -> DataFrame:
-    """(doc_id, digest, fp): a digest of the text and its signed 64-bit fingerprint for every row; with ``sets`` what ``set_sketch`` returns, as fp, key, n and bins."""
+    """(doc_id, digest, fp): a digest of the text and its signed 64-bit fingerprint for every row; with ``sets`` what ``set_sketch`` returns, as fp, fp2, key, n, bins and few."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +131,13 @@ def fingerprints(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text:
             texts = batch.column(1).to_pylist()
             if sets:
                 made = [set_sketch(x, width) for x in texts]
-                kinds = {"fp": pa.int64(), "key": pa.int64(), "n": pa.int64(), "bins": pa.binary()}
+                kinds = {"fp": pa.int64(), "fp2": pa.int64(), "key": pa.int64(), "n": pa.int64(), "bins": pa.binary(), "few": pa.list_(pa.int64())}
                 columns = {c: pa.array([m[k] for m in made], kind) for k, (c, kind) in enumerate(kinds.items())}
             else:
                 columns = {"fp": pa.array([text_fingerprint(x, width) for x in texts], pa.int64())}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "digest": batch.column(2), **columns})
 
-    return rows.mapInArrow(run, "doc_id long, digest long, fp long" + ", key long, n long, bins binary" * sets)
+    return rows.mapInArrow(run, "doc_id long, digest long, fp long" + ", fp2 long, key long, n long, bins binary, few array<long>" * sets)
 
 
 class _Forest:
@@ -333,7 +346,25 @@ def links(distinct: DataFrame, radius: int = 4, tile: int | None = None, similar
     return sent.select(*task, "own", "side", *columns).groupBy(*task).applyInPandas(_task(radius, similarity), "a long, b long")
 
 
-def _exact(width: int, radius: int, similarity: float):
+def rare_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that tie every two similar sets among those of ``classes`` (key, n, few) that have their shingles listed.
+
+    A set of n shingles that is similar to another misses n - ceil(similarity n) of the other's at most, so of its rarest
+    that many and one more (rarest among these sets, ties by hash), one is among the other's rarest too. Shingles of one set
+    alone take places and tie nothing. The sets that name a shingle are tied to the least of them, so a shingle makes no pairs.
+    """
+    rows = classes.where("few is not null").select("key", "n", F.explode("few").alias("h"))
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = rows.join(shared, "h").groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))  # FEW at most
+    places = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("x"))).cast("int")
+    named = own.where(places > 0).select("key", F.explode(F.slice("x", F.lit(1), places)).alias("s")).select("key", F.col("s.h").alias("h"))
+    least = named.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("most")).where("a < most")
+    return named.join(least.select("h", "a"), "h").where("a <> key").select("a", F.col("key").alias("b"))
+
+
+def _exact(width: int, similarity: float):
+    radius = 64  # any two fingerprints: candidates by rare shingles may differ in more bits than others
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("side", kind="stable")
         sets = [np.unique(_hashes(x, width)) for x in pdf["text"]]
@@ -351,7 +382,7 @@ def _exact(width: int, radius: int, similarity: float):
     return run
 
 
-def similar_links(near: DataFrame, classes: DataFrame, docs: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
+def similar_links(near: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """(a, b): links between classes whose texts are similar, as many as tie what all such links tie.
 
     ``near`` (node, root) are components outside which no pair is similar. A key's text is that of its smallest id; all
@@ -367,26 +398,29 @@ def similar_links(near: DataFrame, classes: DataFrame, docs: DataFrame, width: i
     dealt = members.join(totals, "root").withColumn("parts", parts).select("key", "fp", "least_id", (F.col("parts") > 1).alias("large"), home.alias("home"), part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     asked = written(dealt.select("key", "fp", "least_id", "large", "home", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), (F.col("part") > F.col("other")).cast("int").alias("side"), (F.col("part") == F.col("other")).alias("own")), "asked")
     rows = docs.join(_small(asked), F.col("doc_id").eqNullSafe(F.col("least_id")))
-    return rows.select("large", "home", "one", "two", "side", "own", "key", "fp", "text").groupBy("large", "home", "one", "two").applyInPandas(_exact(width, radius, similarity), "a long, b long")
+    return rows.select("large", "home", "one", "two", "side", "own", "key", "fp", "text").groupBy("large", "home", "one", "two").applyInPandas(_exact(width, similarity), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, similarity: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id, digest): one row per row of ``docs``; component_id is the smallest doc_id reachable over links.
 
-    ``similarity``: fingerprints are of the different shingles, and links within ``radius`` count only if the texts are
-    that similar, also where fingerprints are equal. Texts with the same set of shingles are one class, by its 64-bit digest.
+    ``similarity``: fingerprints are of the different shingles, candidates are those within ``radius`` of either fingerprint or
+    with rare shingles in common, and links count only if the texts are that similar, also where fingerprints are equal. Texts with the same set of shingles are one class, by its 64-bit digest.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     tested = similarity is not None
     marked = written(fingerprints(docs, width, sets=tested), "fingerprints")
     if not tested:
         marked = marked.withColumn("key", F.col("fp"))
-    own = [F.first(c).alias(c) for c in (("fp", "n", "bins") if tested else ("fp",))]  # the same in all of a class
+    own = [F.first(c).alias(c) for c in (("fp", "fp2", "n", "bins", "few") if tested else ("fp",))]  # the same in all of a class
     classes = written(marked.groupBy("key").agg(F.min("doc_id").alias("least_id"), *own), "classes")
-    roots = components(links(classes, radius, similarity=similarity))
-    if tested:
-        near = roots
-        roots = components(similar_links(near, classes.select("key", "fp", "n", "least_id"), docs, width, radius, similarity))
+    if not tested:
+        roots = components(links(classes, radius))
+    else:
+        sets = classes.select("key", "fp", "fp2", "n", "bins")
+        by_bits = [links(sets.select("key", F.col(fp).alias("fp"), "n", "bins"), radius, similarity=similarity) for fp in ("fp", "fp2")]
+        near = components(by_bits[0].union(by_bits[1]).union(rare_links(classes.select("key", "n", "few"), similarity)))
+        roots = components(similar_links(near, classes.select("key", "fp", "n", "least_id"), docs, width, similarity))
         discard(near)
     placed = classes.select("key", "least_id").join(roots, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
