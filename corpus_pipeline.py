@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import bpe, mixing, pii, quality, simhash
-from veilframe.llm.shared import table, written
+from veilframe.llm.shared import discard, discard_since, mark, table, written
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -57,8 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents of ``sf_dir``."""
+    """All stages in order over the documents of ``sf_dir``. A stage's own tables and its input go when its output is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        place = mark(spark)
+        out = written(stage(spark, docs, sf_dir), name)
+        discard_since(spark, place, out)
+        discard(docs)
+        docs = out
     return docs
