@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.tables import written
+from veilframe.tables import spread, written
 
 # Fixed values.
 SKIPPED = ("script", "style", "noscript", "template", "meta", "link", "title", "head")
@@ -308,7 +308,7 @@ def elements(found: DataFrame) -> DataFrame:
 
 def elements_of(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """``elements`` of raw pages, each parsed once: the nodes are written to the shared folder, as several joins read them."""
-    return elements(written(nodes(pages, key, html), "nodes"))
+    return elements(written(nodes(spread(pages.select(key, html)), key, html), "nodes"))
 
 
 def inside(containers: DataFrame, items: DataFrame) -> DataFrame:
