@@ -91,7 +91,7 @@ def test_similarity_is_checked(spark):
     docs = [(i, t) for i, t in documents() if i is not None]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5, 14, 0.8).collect()}
-    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in docs for w in [(t or "").lower().split()]}
+    sets = {i: {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in docs for w in [(t or "").encode().lower().split()]}
     root = {i: i for i in sets}
 
     def find(x):
