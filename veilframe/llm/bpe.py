@@ -127,18 +127,17 @@ def _map(df: DataFrame, column: str, name: str, kind: T.DataType, values) -> Dat
     return df.mapInArrow(run, _added(df, name, kind))
 
 
+def _ids(encoding, texts: list[str | None]) -> pa.Array:
+    found = [encode_text(encoding, x or "") for x in texts]
+    offsets = np.zeros(len(found) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in found], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+
+
 def encode(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", into: str = "token_ids") -> DataFrame:
     """Adds ``into``, the ids of the whole ``text``: those of the tiktoken library without special tokens."""
     held = _vocabulary(df.sparkSession, vocabulary_path, pattern)
-
-    def values(column: pa.Array) -> pa.Array:
-        encoding, _ = _codec(held.value, pattern)
-        found = [encode_text(encoding, x or "") for x in column.to_pylist()]
-        offsets = np.zeros(len(found) + 1, dtype=np.int32)
-        np.cumsum([len(x) for x in found], out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
-
-    return _map(df, text, into, T.ArrayType(T.IntegerType()), values)
+    return _map(df, text, into, T.ArrayType(T.IntegerType()), lambda column: _ids(_codec(held.value, pattern)[0], column.to_pylist()))
 
 
 def count(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", into: str = "n_tokens") -> DataFrame:
@@ -163,11 +162,27 @@ def decode(df: DataFrame, vocabulary_path: str, pattern: str, ids: str = "token_
     return _map(df, ids, into, T.BinaryType(), values)
 
 
+def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, token_ids, decoded) of every row: the ids of the whole text and the bytes that these stand for, by one worker a task."""
+    held = _vocabulary(docs.sparkSession, vocabulary_path, pattern)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, pieces = _codec(held.value, pattern)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_OUT // 4):
+                part = batch.slice(start, ROWS_OUT // 4)
+                ids = _ids(encoding, part.column(1).to_pylist())
+                back = pa.array([decode_ids(pieces, x) for x in ids.to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, back], names=["doc_id", "token_ids", "decoded"])
+
+    kind = rows.schema["doc_id"].dataType
+    return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]))
+
+
 def digests(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
     """Per document: number and digest of its ids, and the digest of the bytes decoded from them."""
-    encoded = encode(docs.select("doc_id", "text"), vocabulary_path, pattern).drop("text")
-    back = decode(encoded, vocabulary_path, pattern)
-    return back.select(
+    return round_trip(docs, vocabulary_path, pattern).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
