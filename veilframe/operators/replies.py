@@ -2,7 +2,8 @@
 
 A reply names one element of its page, so checking it is a join by page and element; evidence is exploded
 and joined the same way. Every refused reply keeps the reason in ``refused``; the first reason that holds, in
-the order below, counts. Null and empty texts hold no object.
+the order below, counts. Null and empty texts hold no object. What stands from the first brace to the last has to be one JSON
+object as a whole, and its values count only as the kind that they have: nothing is read as a text that is none.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions import jsons
 from veilframe.functions.patterns import PLACEHOLDER
+from veilframe.functions.text import let
 from veilframe.operators.decide import CREDENTIAL_REFERENCE, optional_opt_in
 
 # Fixed values of the format.
@@ -20,7 +23,6 @@ FAILURE_WORDS = ("pending", "missing", "mismatch", "expired", "unclear", "reject
 REASONING = r"(?is)<(think|thought|thinking)>.*?</\1>"
 NO_SUMMARY = "The assistant did not explain its choice."
 CREDENTIALS = r"AIza[0-9A-Za-z_-]{27,}|sk-[A-Za-z0-9_-]{20,}"
-_SCHEMA = "status string, action struct<type:string,selector:string,value:string>, confidence string, reasoning_summary string, evidence string"
 
 
 def holds_credential(text: Column) -> Column:
@@ -41,10 +43,22 @@ def parsed(replies: DataFrame, reply: str = "reply") -> DataFrame:
     text = F.regexp_replace(F.coalesce(F.col(reply), F.lit("")), REASONING, "")
     open_end = F.lower(text).rlike("<(think|thought|thinking)>")
     span = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    body = F.when(span != "", F.from_json(span, _SCHEMA))
-    valid = F.json_object_keys(span).isNotNull()
-    why = F.when(open_end, "ended inside its reasoning").when(span == "", "no object").when(~valid, "not valid")
-    return replies.withColumn("refused", why).withColumn("_span", F.when(why.isNull(), span)).withColumn("body", F.when(why.isNull(), body))
+    why = F.when(open_end, "ended inside its reasoning").when(span == "", "no object")
+    rows = jsons.once(replies, _span=span, _why=why)
+    rows = jsons.once(rows, _v=F.when(F.col("_why").isNull(), jsons.whole(F.col("_span"))))
+    refused = F.coalesce("_why", F.when(F.coalesce(jsons.kind(F.col("_v")) != "object", F.lit(True)), "not valid"))
+    rows = jsons.once(rows, refused=refused, body=let(F.col("_v"), _body))
+    return rows.withColumn("body", F.when(F.col("refused").isNull(), F.col("body"))).drop("_span", "_why", "_v")
+
+
+def _body(v: Column) -> Column:
+    said = lambda x, name: jsons.as_text(jsons.member(x, name)).alias(name)
+
+    def action(x):
+        other = F.coalesce(~jsons.kind(jsons.member(x, "value")).isin("text", "null"), F.lit(False))
+        return F.when(jsons.kind(x) == "object", F.struct(said(x, "type"), said(x, "selector"), said(x, "value"), other.alias("other_value")))
+
+    return F.struct(said(v, "status"), let(jsons.member(v, "action"), action).alias("action"), jsons.as_number(jsons.member(v, "confidence")).alias("confidence"), said(v, "reasoning_summary"), jsons.member(v, "evidence").alias("evidence"))
 
 
 def interpreted(replies: DataFrame, elements: DataFrame, reply: str = "reply", key: str = "reply_id") -> DataFrame:
@@ -61,6 +75,7 @@ def interpreted(replies: DataFrame, elements: DataFrame, reply: str = "reply", k
         .when(F.col("body.action").isNull(), "no action")
         .when(~F.coalesce(act.isin(*ALLOWED_ACTIONS), F.lit(False)), "action not allowed")
         .when(F.col("_id").isNull(), "element not in the page")
+        .when(F.col("body.action.other_value"), "value is no text")
         .when((act != "type") & (F.coalesce(value, F.lit("")) != ""), "value for an action that takes none")
         .when((act == "type") & (F.coalesce(value, F.lit("")) == ""), "nothing to type")
         .when((act == "type") & (value != CREDENTIAL_REFERENCE) & F.coalesce(F.col("_value").isin(*PLACEHOLDER.values()), F.lit(False)), "literal for a redacted field")
@@ -69,10 +84,10 @@ def interpreted(replies: DataFrame, elements: DataFrame, reply: str = "reply", k
     )
     checked = met.withColumn("refused", refusal)
     asked = checked.where(F.col("refused").isNull() & (F.col("body.status") == "action_ready") & (act == "click") & F.col("_row").isNotNull())
-    bad = refused_evidence(asked.select(F.col(key).alias("_reply"), "page_id", "task", F.col("_row").alias("row"), F.get_json_object("_span", "$.evidence").alias("evidence")), elements)
+    bad = refused_evidence(asked.select(F.col(key).alias("_reply"), "page_id", "task", F.col("_row").alias("row"), F.col("body.evidence").alias("evidence")), elements)
     out = checked.join(bad, F.col(key) == F.col("_reply"), "left").withColumn("refused", F.coalesce("refused", "_bad"))
     ready = F.col("refused").isNull() & (F.col("body.status") == "action_ready")
-    sure = F.try_to_number("body.confidence", F.lit("9.999999")).cast("double")
+    sure = F.col("body.confidence")
     shown = lambda c: F.when(ready, c)
     return out.select(
         key,
@@ -91,20 +106,23 @@ def _squeezed(text: Column) -> Column:
 
 
 def refused_evidence(clicks: DataFrame, elements: DataFrame) -> DataFrame:
-    """(_reply, _bad) for clicks in a row (_reply, page_id, task, row, evidence: a JSON list) whose evidence does not hold.
+    """(_reply, _bad) for clicks in a row (_reply, page_id, task, row, evidence: VARIANT) whose evidence does not hold.
 
     Every cited element has to be on the page, in the clicked row, to contain the quoted words, and to show no word of
     failure that the task does not name. Of several faults the first in the list counts.
     """
-    items = clicks.withColumn("_items", F.from_json("evidence", "array<struct<elementId:string,text:string>>"))
+    items = clicks.withColumn("_items", jsons.items(F.col("evidence")))
     none = items.where("_items is null").select("_reply", F.lit("no evidence").alias("_bad"))
-    cited = items.where("_items is not null").select("_reply", "page_id", "task", "row", F.posexplode("_items").alias("_n", "_item"))
+    cited = items.where("_items is not null").select("_reply", "page_id", "task", "row", F.posexplode("_items").alias("_n", "_x"))
+    named = F.struct(F.try_variant_get(jsons.member(F.col("_x"), "elementId"), "$", "string").alias("elementId"), jsons.as_text(jsons.member(F.col("_x"), "text")).alias("text"))
+    cited = cited.select("_reply", "page_id", "task", "row", "_n", (jsons.kind(F.col("_x")) == "object").alias("_is"), named.alias("_item"))
     known = elements.select(F.col("page_id").alias("_page"), F.col("element_id").alias("_id"), F.col("row").alias("_row"), F.lower(F.concat_ws(" ", F.nullif(F.col("value"), F.lit("")), F.nullif(F.col("label"), F.lit("")))).alias("_said"))
     met = cited.join(known, (F.col("page_id") == F.col("_page")) & (F.col("_item.elementId") == F.col("_id")), "left")
     quoted = _squeezed(F.coalesce("_item.text", F.lit("")))
     failing = F.exists(F.array(*map(F.lit, FAILURE_WORDS)), lambda w: F.regexp_like(F.col("_said"), F.concat(F.lit(r"\b"), w, F.lit(r"\b"))) & ~F.regexp_like(F.lower("task"), F.concat(F.lit(r"\b"), w, F.lit(r"\b"))))
     fault = (
-        F.when(F.col("_id").isNull() | (quoted == ""), "cited element not on the page")
+        F.when(~F.col("_is"), "evidence is no list of elements")
+        .when(F.col("_id").isNull() | (quoted == ""), "cited element not on the page")
         .when(~F.col("_row").eqNullSafe(F.col("row")), "evidence from another row")
         .when(~F.contains(_squeezed(F.col("_said")), quoted), "quoted words not there")
         .when(failing, "evidence shows an unmet condition")
