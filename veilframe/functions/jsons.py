@@ -31,8 +31,13 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def whole(text: Column) -> Column:
     """The VARIANT of a text that is one JSON value from end to end, or null."""
-    values = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))  # a second value, or what is none, spoils the list or makes it longer
-    return let(F.try_variant_get(values, "$", "array<variant>"), lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))))
+    # the parser stops behind the first value: what follows the text, its own digest, has to be reached as the second of a list
+    def of(t):
+        values = F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), F.md5(t), F.lit('"]')))
+        whole_list = lambda x: F.when((F.size(x) == 2) & (F.try_variant_get(F.get(x, F.lit(1)), "$", "string") == F.md5(t)), F.get(x, F.lit(0)))
+        return let(F.try_variant_get(values, "$", "array<variant>"), whole_list)
+
+    return let(text, of)
 
 
 def kind(value: Column) -> Column:
