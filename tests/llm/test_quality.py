@@ -92,3 +92,30 @@ def test_one_row_of_very_many_copies_is_one_row_of_the_sample(spark):
     drawn = rows.draw(np.random.default_rng(2), 4000)
     assert (drawn == rows.x[rows.n.argmax()]).all(axis=1).mean() == pytest.approx(0.75, abs=0.03)
     assert len(quality.collected(quality._sampled(quality.shapes(docs.where("id >= 15000")), 1000)).x) <= 51
+
+
+def test_the_risk_covers_all_unlabelled_rows(spark):
+    rng = np.random.default_rng(8)
+    x = np.abs(rng.normal(0.5, 0.3, (5000, quality.WIDTH))).astype(np.float32)
+    positive = quality.Rows(x[:300].astype(np.float64), np.ones(300, np.int64))
+    layers = [w + rng.normal(0, 0.1, w.shape) for w in quality._start(rng, quality.WIDTH)]
+    model = quality.Model(x.mean(axis=0), x.std(axis=0), layers, 0.4)
+    rows = spark.createDataFrame([(k, x[k].tobytes()) for k in range(5000)], "doc_id long, x binary")
+    loss, grads = quality.summed_gradient(rows.repartition(7), model)
+    again = quality.summed_gradient(rows.repartition(2), model)
+    assert loss == again[0] and all((a == b).all() for a, b in zip(grads, again[1], strict=True))  # however the rows are dealt
+    z = np.clip((x.astype(np.float64) - model.mean) / model.scale, -8, 8)
+    s = quality._sigmoid(quality._forward(layers, z)[1])
+    assert loss == pytest.approx(s.mean(), abs=1e-4)
+    for a, b in zip(grads, quality._gradient(layers, z, s * (1 - s) / len(z)), strict=True):
+        assert np.allclose(a, b, atol=2e-4)
+
+    seen = []
+
+    def loss_of(m):
+        seen.append(quality.risk(m.layers, np.clip((positive.x - m.mean) / m.scale, -8, 8), z, m.prior))
+        return quality.summed_gradient(rows, m)
+
+    best = quality.refined(model, positive, loss_of, passes=12)
+    at = quality.risk(best.layers, np.clip((positive.x - best.mean) / best.scale, -8, 8), z, best.prior)
+    assert at == pytest.approx(min(seen), abs=1e-3) and at < seen[0] and len(seen) == 13

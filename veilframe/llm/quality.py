@@ -4,7 +4,9 @@ Trusted positives are the documents labelled 1; everything else, labelled or not
 text. The share of positives in it (the class prior) is estimated first: a classifier ranks
 positives against unlabelled texts, and the prior is the least ratio, over rank thresholds, of the
 unlabelled share above the threshold to the positives' share there. A small network then minimises
-the non-negative unbiased risk with that prior (sigmoid loss). Labels of 0 are never used.
+the non-negative unbiased risk with that prior (sigmoid loss): first by steps on rows drawn from two samples, then by
+passes over all unlabelled rows, each a Spark job that sums their part of the risk and its gradient in the tasks. Of
+all weights seen, those of the least risk over all rows are kept. Labels of 0 are never used.
 
 Only shape counts: byte classes, word and line statistics of the whole text, no id, source or
 language. The shapes of all rows outside the held-out fold are written once, 80 bytes a row. Means,
@@ -32,9 +34,13 @@ from veilframe.llm.shared import discard, written
 
 #: Rows of either training sample, at most on average; hidden units, steps and rows of a step.
 SAMPLE, HIDDEN, STEPS, BATCH = 20_000, 12, 1_500, 1_024
+#: Passes over all unlabelled rows, and their rate.
+PASSES, PASS_RATE = 16, 0.003
 ACCEPT = 0.7
 #: No feature is above this; steps of a unit in which features are summed up.
 HIGHEST, UNIT = 16.0, 1 << 16
+#: Units of standardised features, and of what is multiplied with them: sums of a batch's products stay below 2 ** 53.
+FINE, FINER = float(1 << 10), float(1 << 20)
 
 _CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n\r\t", b".", b",", b"!?", b";:'\"()-", b"|<>=_/\\{}[]", b"%$&*#@^~+`", bytes(range(0x80, 0xC0)), bytes(range(0xC0, 0x100))]
 _MEMBER = np.zeros((256, len(_CLASSES)))
@@ -271,6 +277,65 @@ def counted_above(made: DataFrame, model: Model, cuts: np.ndarray) -> tuple[np.n
     return np.array(found[:-1]), found[-1]
 
 
+def _whole(x: np.ndarray, unit: float) -> np.ndarray:
+    return np.round(x * unit)
+
+
+def partial_gradient(layers: list[np.ndarray], z: np.ndarray) -> np.ndarray:
+    """Of unlabelled rows: their number, the sum of their losses as negatives, and that sum's gradient, in whole numbers of the units."""
+    z = _whole(z, FINE)
+    hidden, out = _forward(layers, z / FINE)
+    s = _sigmoid(out)
+    slope = s * (1 - s)
+    back, d = _whole(slope[:, None] * layers[2][None, :] * (1 - hidden**2), FINER), _whole(slope, FINER)
+    parts = [np.array([len(z), _whole(s, FINER).sum()]), (z.T @ back).ravel(), back.sum(axis=0), _whole(hidden, FINER).T @ d, np.array([d.sum()])]
+    return np.concatenate(parts).astype(np.int64)
+
+
+def summed_gradient(made: DataFrame, model: Model) -> tuple[float, list[np.ndarray]]:
+    """The mean loss of all rows of ``made`` as negatives, and its gradient by layer."""
+    layers, mean, scale = model.layers, model.mean, model.scale
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                x = _matrix(batch.column(0).slice(start, 4096).to_pylist())
+                found = partial_gradient(layers, np.clip((x - mean) / scale, -8, 8))
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"place": np.arange(len(total), dtype=np.int32), "total": total})
+
+    parts = made.select("x").mapInArrow(run, "place int, total long")
+    sums = parts.groupBy("place").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).orderBy("place").collect()
+    n, loss, *flat = (int(r["total"]) for r in sums)
+    units = [FINE * FINER, FINER, FINER * FINER, FINER]
+    out, at = [], 0
+    for layer, unit in zip(layers, units, strict=True):
+        out.append(np.array([x / unit / n for x in flat[at : at + layer.size]]).reshape(layer.shape))
+        at += layer.size
+    return loss / FINER / n, out
+
+
+def refined(model: Model, positive: Rows, loss_of, passes: int = PASSES) -> Model:
+    """``model`` after gradient steps on the risk of ``positive`` and all unlabelled rows; ``loss_of`` a model gives their mean loss and gradient."""
+    z = np.clip((positive.x - model.mean) / model.scale, -8, 8)
+    share, prior = positive.n / positive.n.sum(), model.prior
+    now = Model(model.mean, model.scale, [x.copy() for x in model.layers], prior)
+    adam, best, least = _Adam(now.layers, PASS_RATE), model, np.inf
+    for _ in range(passes + 1):
+        sa = _sigmoid(_forward(now.layers, z)[1])
+        loss, gb = loss_of(now)
+        below = loss - prior * float(share @ sa)
+        found = prior * float(share @ (1 - sa)) + max(0.0, below)
+        if found < least:
+            best, least = Model(model.mean, model.scale, [x.copy() for x in now.layers], prior), found
+        sign = 1.0 if below >= 0 else -1.0
+        ga = _gradient(now.layers, z, (-2 if sign > 0 else 1) * prior * share * sa * (1 - sa))
+        adam.step([a + sign * b + 1e-4 * w for a, b, w in zip(ga, gb, now.layers, strict=True)])
+    return best
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, quality) outside the held-out fold."""
     trusted = labels.where((F.col("quality") == 1) & ~held_out()).select("doc_id").where("doc_id is not null").distinct()
@@ -281,7 +346,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         unlabelled = collected(_sampled(web, sample))
         if not len(positive.x) or not len(unlabelled.x):
             return None
-        return fit(positive, unlabelled, moments(web), lambda model, cuts: counted_above(web, model, cuts))
+        first = fit(positive, unlabelled, moments(web), lambda model, cuts: counted_above(web, model, cuts))
+        return refined(first, positive, lambda model: summed_gradient(web, model))
     finally:
         discard(web)
 
