@@ -138,3 +138,39 @@ def first_answer(attempts: DataFrame, key: str = "request_id", rank: str = "atte
         F.min_by(F.when(good, F.col("path")), F.when(good, F.col(rank))).alias("path"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~good, F.struct(rank, "refused")))), lambda x: x["refused"]), "; ").alias("fell_back_because"),
     )
+
+
+#: Codes of errors that a client tells apart; any other counts as none of them.
+ERROR_CODES = ("MALFORMED_REQUEST", "MODEL_UNAVAILABLE", "ACTION_REJECTED", "INTERNAL_ERROR")
+
+
+def responses(bodies: DataFrame, value: str = "value") -> DataFrame:
+    """``bodies`` with what a client makes of each: request_id, outcome, action, selector, typed, summary, refused.
+
+    ``outcome`` is ``action``, ``needs_more_context`` or ``refused``. A body has to be one JSON object as a whole; a value that is no
+    text counts as none, and so does a request's id.
+    """
+    rows = jsons.once(bodies, _v=jsons.whole(F.col(value)))
+    text = lambda v, name: jsons.as_text(jsons.member(v, name))
+
+    def told(v):
+        a = let(jsons.member(v, "action"), lambda x: F.when(jsons.kind(x).isin("object", "list"), F.struct(text(x, "type").alias("type"), text(x, "selector").alias("selector"), text(x, "value").alias("value"))))
+        return F.struct((F.coalesce(jsons.kind(v), F.lit("")).isin("object", "list")).alias("is"), F.coalesce(text(v, "request_id"), F.lit("")).alias("request_id"), text(v, "status").alias("status"), text(v, "error_code").alias("code"), a.alias("action"), text(v, "reasoning_summary").alias("summary"))
+
+    rows = jsons.once(rows, _t=let(F.col("_v"), told))
+    t, status = F.col("_t"), F.col("_t.status")
+    refused = (
+        F.when(F.col("_v").isNull(), "not JSON")
+        .when(~t["is"], "not an object")
+        .when(status == "error", F.concat(F.lit("error "), F.when(t["code"].isin(*ERROR_CODES), t["code"]).otherwise("of no known code")))
+        .when(status == "needs_more_context", None)
+        .when(F.coalesce(status != "action_ready", F.lit(True)), "unknown status")
+        .when(t["action"].isNull(), "no action")
+        .when(~F.coalesce(F.col("_t.action.type").isin(*ALLOWED_ACTIONS), F.lit(False)), "action not allowed")
+        .when(F.coalesce(F.col("_t.action.selector"), F.lit("")) == "", "no selector")
+    )
+    rows = rows.withColumn("refused", refused)
+    acts = F.col("refused").isNull() & (status == "action_ready")
+    outcome = F.when(F.col("refused").isNotNull(), "refused").when(acts, "action").otherwise("needs_more_context")
+    shown = lambda c: F.when(acts, c)
+    return rows.select(*bodies.columns, t["request_id"].alias("request_id"), outcome.alias("outcome"), shown(F.col("_t.action.type")).alias("action"), shown(F.col("_t.action.selector")).alias("selector"), shown(F.col("_t.action.value")).alias("typed"), F.when(F.col("refused").isNull(), t["summary"]).alias("summary"), "refused")

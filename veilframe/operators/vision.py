@@ -75,6 +75,14 @@ def image_regions(words: DataFrame, images: DataFrame, classify) -> DataFrame:
     return line.unionByName(card).withColumn("source", F.lit("ocr"))
 
 
+def pixel_detections(words: DataFrame, frames: DataFrame, classify) -> DataFrame:
+    """(page_id, element_id, category, position): what readings of whole pictures (page_id, ord, text, position) find, to be scored by
+    place alone: ``frames`` (page_id, width, height) are read as they are, and element_id is null."""
+    whole = frames.select("page_id", F.lit("frame").alias("element_id"), geom.rect(0, 0, F.col("width"), F.col("height")).alias("position"), F.col("width").alias("crop_width"), F.col("height").alias("crop_height"))
+    found = image_regions(words.withColumn("element_id", F.lit("frame")), whole, classify)
+    return found.select("page_id", F.lit(None).cast("string").alias("element_id"), "category", "position")
+
+
 def covered_images(images: DataFrame, results: DataFrame) -> DataFrame:
     """Images to cover whole: those without a result (page_id, element_id, ok), or with one that failed."""
     read = results.groupBy("page_id", "element_id").agg(F.bool_and("ok").alias("_ok"))

@@ -149,3 +149,24 @@ SELECT page_id, k AS ord, row_number() OVER (PARTITION BY page_id ORDER BY CASE
 """)
 def region_order(spark, sf_dir):
     return guards.concatenated(_boxes(spark, sf_dir)).select("page_id", "ord", "place")
+
+
+@query(f"""
+WITH hits AS (SELECT *, CASE WHEN contains(text, '@mail.example') THEN 'email' END AS category, regexp_matches(text, '(?i)\\bpassport\\b') AS card FROM {_LINE_SQL})
+SELECT page_id, category, (x - h * 0.25)::DOUBLE AS x, (y - h * 0.25)::DOUBLE AS y, (w + h * 0.5)::DOUBLE AS width, (h * 1.5)::DOUBLE AS height FROM hits WHERE category IS NOT NULL
+UNION ALL SELECT DISTINCT page_id, 'id_number', 0, 0, 640, 480 FROM hits WHERE card
+""")
+def pixel_detections(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    frames = words.select("page_id").distinct().select("page_id", F.lit(640).alias("width"), F.lit(480).alias("height"))
+    return vision.pixel_detections(words.drop("element_id"), frames, classify_text).select("page_id", "category", "position.*")
+
+
+@query(f"""SELECT page_id, k AS ord, round(greatest(0, x - w * 0.15::DOUBLE) / 640, 9) AS x1, round(least(640, x + w * 1.15::DOUBLE) / 640, 9) AS x2, round(greatest(0, x - w * 0.15::DOUBLE), 9) AS x, round(least(640, x + w * 1.15::DOUBLE) - greatest(0, x - w * 0.15::DOUBLE), 9) AS width FROM {_BOXES_SQL}""")
+def face_regions(spark, sf_dir):
+    p = F.col("position")
+    unit = F.struct((p["x"] / 640).alias("x1"), (p["y"] / 640).alias("y1"), ((p["x"] + p["width"]) / 640).alias("x2"), ((p["y"] + p["height"]) / 640).alias("y2"))
+    grown = _boxes(spark, sf_dir).withColumn("box", vision.padded_face(unit))
+    placed = grown.withColumn("place", vision.face_position(F.col("box"), F.lit(1280), F.lit(1280), F.lit(2.0), F.lit(2.0)))
+    near = lambda c: F.round(c, 9)
+    return placed.select("page_id", "ord", near("box.x1").alias("x1"), near("box.x2").alias("x2"), near("place.x").alias("x"), near("place.width").alias("width"))
