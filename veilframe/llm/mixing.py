@@ -97,18 +97,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
     sources = levels.groupBy("source").agg(F.sum("docs").alias("docs"), F.sum("size").alias("source_size"), F.collect_list(F.struct("w", "docs")).alias("_levels"))
     sources = written(sources, "sources")  # a source has 121 classes at most
     shares = targets(sources.drop("_levels"), weights, budget, most).withColumnRenamed("source", "_source")
-    shares = written(shares.join(sources.select("source", "_levels"), F.col("_source").eqNullSafe(F.col("source"))).drop("source"), "targets")
+    shares = written(shares.join(sources.select("source", "_levels"), F.col("_source").eqNullSafe(F.col("source"))).drop("source").withColumn("_sid", F.monotonically_increasing_id()), "targets")
     if shares.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         shares = F.broadcast(shares)  # a checked size; more sources are joined by a shuffle, which AQE splits at hot ones
     parts = F.ceil(F.sqrt("docs")).cast("long")
     spread = F.floor(expected_below(F.col("_key"), F.col("_levels")) / F.col("docs") * parts).cast("long")  # rises with the key
     placed = rows.join(shares, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_range", spread).drop("_levels")
-    ranges = placed.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # sources by their number, which is never null: the window's partitioning serves the join too, and rows are shuffled once
+    ranges = placed.groupBy("_sid", "_range").agg(F.sum("size").alias("_sum"))
+    before = Window.partitionBy("_sid").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_sid", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("_sid", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.withColumn("_own", F.coalesce(F.sum("size").over(own), F.lit(0)))
-    joined = summed.join(ranges, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    joined = summed.join(ranges, ["_sid", "_range"])
     goal = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = goal - epochs * F.col("source_size") - F.col("_before") - F.col("_own")
