@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from veilframe.functions.text import classify_text
-from veilframe.operators import replies, stores, vision
+from veilframe.operators import redact, replies, stores, vision
 
 RECT = "struct<x:double,y:double,width:double,height:double>"
 
@@ -63,3 +63,15 @@ def test_detections_of_whole_pictures(spark):
     frames = spark.createDataFrame([(k, 300, 200) for k in (1, 2, 3)], "page_id long, width int, height int")
     got = {r.page_id: (r.category, tuple(r.position), r.element_id) for r in vision.pixel_detections(words, frames, classify_text).collect()}
     assert got == {1: ("email", (5.0, 5.0, 150.0, 30.0), None), 2: ("id_number", (0.0, 0.0, 300.0, 200.0), None)}
+
+
+def test_values_that_a_payload_still_holds():
+    import time
+
+    payload = json.dumps({"a": 'say "hi"\tAda', "text": "Lovelace\\x", "é": "naïve"}, ensure_ascii=False)
+    assert redact.held_values(payload, ['say "hi"\tAda', "Ada", "lace", "text", "Love", "x1", "naïve", "acelove"]) == sorted(['say "hi"\tAda', "Ada", "lace", "text", "Love", "naïve"])
+    assert redact.held_values("", ["abcd"]) == [] and redact.held_values("abcd", []) == []
+    start = time.process_time()
+    many = [f"value-{k}-" for k in range(20_000)]
+    assert redact.held_values(" ".join(many[::2]) * 3, many) == sorted(many[::2])
+    assert time.process_time() - start < 20

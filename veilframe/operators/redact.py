@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,12 +62,42 @@ def payloads(redacted: DataFrame, regions: DataFrame) -> DataFrame:
     return summary.join(rows, "page_id", "left").select("page_id", whole.alias("payload"))
 
 
+def held_values(payload: str, raws: Sequence[str]) -> list[str]:
+    """The raw values that a payload holds, as they are or as JSON writes them, by one pass over it: an automaton of all of them."""
+    import ahocorasick
+
+    forms: dict[str, set[str]] = {}
+    for raw in raws:
+        for form in (raw, json.dumps(raw, ensure_ascii=False)[1:-1]):
+            forms.setdefault(form, set()).add(raw)
+    if not forms:
+        return []
+    automaton = ahocorasick.Automaton()
+    for form, own in forms.items():
+        automaton.add_word(form, own)
+    automaton.make_automaton()
+    found: set[str] = set()
+    for _, own in automaton.iter(payload):
+        found |= own
+    return sorted(found)
+
+
 def leaks(sent: DataFrame, raw: DataFrame) -> DataFrame:
-    """(page_id, leaked): raw values of a page that its own payload still holds, one array per page with any."""
+    """(page_id, leaked): raw values of a page that its own payload still holds, in order, one array per page with any.
+
+    A page's payload and values are one row of an Arrow batch, searched in time of their lengths together.
+    """
     worth = raw.where((F.length("raw") >= LEAST_LEAK) & (F.col("raw") != HAS_VALUE) & ~F.col("raw").isin(*TOKENS))
     per_page = worth.groupBy("page_id").agg(F.collect_set("raw").alias("raws"))
-    held = F.filter("raws", lambda v: F.col("payload").contains(v) | F.col("payload").contains(F.substring(F.to_json(F.struct(v.alias("v"))), 7, 1 << 30)))
-    return sent.join(per_page, "page_id").withColumn("leaked", held).where(F.size("leaked") > 0).select("page_id", "leaked")
+    rows = sent.join(per_page, "page_id").select("page_id", "payload", "raws")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [held_values(p or "", r) for p, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["page_id", "leaked"])
+
+    kind = rows.schema["page_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"page_id {kind}, leaked array<string>").where(F.size("leaked") > 0)
 
 
 @dataclass(frozen=True)

@@ -23,4 +23,4 @@ def query(sql: str | None):
     return add
 
 
-from veilframe.plans import agents, boxes, fleets, handovers, inbound, keeping, persons, rollups, scans, scores, screens, texts, web  # noqa: E402, F401
+from veilframe.plans import agents, boxes, fleets, handovers, inbound, keeping, persons, rollups, scans, scores, screens, seals, texts, web  # noqa: E402, F401
