@@ -5,7 +5,7 @@ import random
 import pytest
 
 from veilframe.operators import guards
-from veilframe.streaming import gates
+from veilframe.streaming import fleet, gates
 
 START = dt.datetime(2024, 5, 1, tzinfo=dt.timezone.utc)
 
@@ -86,3 +86,34 @@ def test_runs_end_as_their_rules_say(spark, tmp_path, shuffled):
     schema = "run_id string, at timestamp, event_id string, step long, signature string, final boolean"
     got = run(spark, lambda e: gates.run_stream(e, late="5 minutes"), tmp_path / "in", schema, tmp_path / "out", tmp_path / "check")
     assert sorted((r["run_id"], r["steps"], r["stop"]) for r in got if r["run_id"] != "z") == [("again", 1, "repeat"), ("final", 2, "final"), ("long", 5, "most steps"), ("null", 2, "done"), ("short", 1, "done")]
+
+
+def test_a_batch_rewrites_only_the_buckets_of_its_devices(spark, tmp_path):
+    path, schema = str(tmp_path / "fleet"), "device_id string, seen long, report_id long, total long"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    size = lambda v: sum(f.stat().st_size for f in (tmp_path / f"fleet/data/version={v}").rglob("*.parquet"))
+    assert fleet.current(spark, path) is None
+    fleet.apply(spark.range(3000).selectExpr("concat('d', id) AS device_id", "1L AS seen", "id AS report_id", "id AS total"), path, buckets=16)
+    fleet.apply(rows(("d5", 2, 9000, -5), ("new", 1, 9001, 1), ("d6", 0, 9002, -6)), path, buckets=16)
+    got = {r.device_id: r.total for r in fleet.current(spark, path).collect()}
+    assert len(got) == 3001 and got["d5"] == -5 and got["d6"] == 6 and got["new"] == 1
+    assert len(list((tmp_path / "fleet/data/version=1").glob("bucket=*"))) <= 3 and size(1) < size(0) / 3
+    fleet.apply(rows(), path, buckets=16)  # nothing new, nothing written
+    again = rows(("d5", 2, 9000, -5), ("new", 1, 9001, 1))
+    for _ in range(4):
+        fleet.apply(again, path, buckets=16)  # replays change nothing, and old versions go
+    assert {r.device_id: r.total for r in fleet.current(spark, path).collect()} == got
+    assert sorted(p.name for p in (tmp_path / "fleet/manifest").glob("version=*")) == ["version=3", "version=4", "version=5"]
+    assert not (tmp_path / "fleet/data/version=2").exists()
+    orphan = tmp_path / "fleet/data/version=6/bucket=0"  # a crash before the manifest
+    orphan.mkdir(parents=True)
+    (orphan / "part.parquet").write_text("broken")
+    fleet.apply(rows(("d7", 5, 1, -7)), path, buckets=16)
+    assert {r.device_id: r.total for r in fleet.current(spark, path).collect()} == got | {"d7": -7}
+
+
+def test_counts_of_windows(spark):
+    rows = [("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:00:00", "a", 4.0), ("2024-01-01 00:10:00", "b", 8.0)]
+    events = spark.createDataFrame(rows, "ts string, event_type string, value double").selectExpr("CAST(ts AS timestamp) AS ts", "event_type", "value")
+    got = {(str(r.w.start), r.event_type): (r.n, r.value) for r in fleet.windowed_counts(events).collect()}
+    assert got == {("2024-01-01 00:00:00", "a"): (2, 3.0), ("2024-01-01 01:00:00", "a"): (1, 4.0), ("2024-01-01 00:00:00", "b"): (1, 8.0)}
