@@ -1,4 +1,5 @@
 import json
+import math
 
 from pyspark.sql import functions as F
 
@@ -49,6 +50,17 @@ def test_latency_is_exact_for_small_groups_and_near_for_large(spark):
     assert abs(r.q50 - 100_000) <= 200 and abs(r.q95 - 190_000) <= 200
 
 
+def test_latencies_are_exact_where_the_sketch_is_not(spark):
+    big = spark.range(30_000).select(F.lit("a").alias("stage"), (F.col("id") * 7919 % 10007).alias("ms"))
+    hot = spark.range(30_000).select(F.lit(None).cast("string").alias("stage"), F.when(F.col("id") % 3 > 0, 5).otherwise(F.col("id")).alias("ms"))
+    got = {r.stage: (r.n, r.least, r.most, r.q50, r.q95) for r in stores.latency(big.union(hot), "stage", accuracy=50).collect()}
+    at = lambda v, q: sorted(v)[math.ceil(len(v) * q) - 1]
+    a, b = [k * 7919 % 10007 for k in range(30_000)], [5 if k % 3 else k for k in range(30_000)]
+    assert got == {"a": (30_000, min(a), max(a), at(a, 0.5), at(a, 0.95)), None: (30_000, min(b), max(b), at(b, 0.5), at(b, 0.95))}
+    [whole] = stores.latency(big, accuracy=50).collect()
+    assert (whole.q50, whole.q95) == (at(a, 0.5), at(a, 0.95))
+
+
 def test_responses_of_the_server(spark):
     ok = {"request_id": "r", "status": "action_ready", "action": {"type": "scroll", "selector": "e1"}}
     bodies = [ok, ok | {"action": {"type": "type", "selector": "e1", "value": "v"}, "reasoning_summary": "s"}, {"status": "needs_more_context"}, {"status": "error", "error_code": "INTERNAL_ERROR"}, {"status": "error"}, {}, ok | {"action": None}, ok | {"action": {"type": "open", "selector": "e"}}, ok | {"action": {"type": "click", "selector": 5}}, "x", None, "null", "[]"]

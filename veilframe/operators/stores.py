@@ -57,8 +57,28 @@ def audit_json(entries: DataFrame, now_ms: int, fields: tuple[str, ...] = ("kind
     return listed.select(device, F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
+#: Shares of a group's rows by which an exact quantile is bracketed: the sketch's error, several times over.
+_MARGIN = 5
+
+
 def latency(steps: DataFrame, *keys: str, quantiles: tuple[float, ...] = (0.5, 0.95), accuracy: int = 10_000) -> DataFrame:
-    """(keys, n, least, most, mean, q50, q95) of ``ms``, by a mergeable sketch: a quantile's rank is off by 1 in ``accuracy`` of the
-    rows at most, so groups of fewer rows than that have the exact one, the least value with that share at or below it."""
-    told = steps.where("ms is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("ms").alias("least"), F.max("ms").alias("most"), F.avg("ms").alias("mean"), F.approx_percentile("ms", list(quantiles), accuracy).alias("_q"))
-    return told.select(*keys, "n", "least", "most", "mean", *[F.col("_q")[i].alias(f"q{round(q * 100)}") for i, q in enumerate(quantiles)])
+    """(keys, n, least, most, mean, q50, q95) of ``ms``. A quantile is the least value with that share at or below it, exactly.
+
+    A mergeable sketch brackets each quantile within some rows in ``accuracy``; what lies below is counted by value, and only the
+    different values between are put in order. Where the bracket misses the rank, the whole group counts as the bracket.
+    """
+    timed = steps.where("ms is not null").withColumn("_k", F.struct(F.lit(1).alias("_"), *keys))
+    off = _MARGIN / accuracy
+    shares = [min(1.0, max(0.0, q + side * off)) for q in quantiles for side in (-1, 1)]
+    told = timed.groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.min("ms").alias("least"), F.max("ms").alias("most"), F.avg("ms").alias("mean"), F.approx_percentile("ms", shares, accuracy).alias("_q"))
+    rank = lambda q: F.greatest(F.ceil(F.col("n") * F.lit(q)).cast("long"), F.lit(1).cast("long"))
+    asked = told.select("_k", "least", "most", F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), rank(q).alias("_rank"), F.col("_q")[2 * i].alias("_lo"), F.col("_q")[2 * i + 1].alias("_hi")) for i, q in enumerate(quantiles)])))
+    counted = timed.groupBy("_k", "ms").agg(F.count(F.lit(1)).alias("_c"))
+    share = lambda holds: F.coalesce(F.sum(F.when(holds, F.col("_c"))), F.lit(0).cast("long"))
+    sums = counted.join(asked, "_k").groupBy("_k", "_i", "_rank", "least", "most", "_lo", "_hi").agg(share(F.col("ms") < F.col("_lo")).alias("_below"), share(F.col("ms") <= F.col("_hi")).alias("_upto"))
+    held = (F.col("_rank") > F.col("_below")) & (F.col("_rank") <= F.col("_upto"))
+    ends = sums.select("_k", "_i", "_rank", F.when(held, F.col("_lo")).otherwise(F.col("least")).alias("_lo"), F.when(held, F.col("_hi")).otherwise(F.col("most")).alias("_hi"), F.when(held, F.col("_below")).otherwise(0).alias("_below"))
+    between = counted.join(ends, "_k").where(F.col("ms").between(F.col("_lo"), F.col("_hi")))
+    upto = F.col("_below") + F.sum("_c").over(Window.partitionBy("_k", "_i").orderBy("ms"))
+    found = between.withColumn("_n", upto).where("_n >= _rank").groupBy("_k").agg(*[F.min(F.when(F.col("_i") == i, F.col("ms"))).alias(f"q{round(q * 100)}") for i, q in enumerate(quantiles)])
+    return told.join(found, "_k").select(*[F.col("_k")[k].alias(k) for k in keys], "n", "least", "most", "mean", *[f"q{round(q * 100)}" for q in quantiles])
