@@ -1,3 +1,6 @@
+import duckdb
+
+from veilframe.plans import registry
 from veilframe.sources import html
 
 PAGE = """<html><head><title>no</title><script>var a = "<b>no</b>";</script></head><body>
@@ -121,3 +124,12 @@ def test_no_text_breaks_the_parser():
 def test_a_bad_page_harms_no_other(spark):
     got = rows_of(spark, ["<![foo[x]]>a", "<p>good"])
     assert [(r["page_id"], r["value"]) for r in got] == [(1, "good")]
+
+
+def test_headings_agree_with_their_sql_on_cut_references(spark, tmp_path):
+    said = ["Terms &amp", "a &amp;lt b", "cut &#x2", "it&#x27;s &#x27", "&ltb&gt &quot", "&amp;amp", "stays &am", "a\x0bb", "  ", "x" * 205]
+    spark.createDataFrame([(k, f"<h1>{t}</h1><p>{t}") for k, t in enumerate(said)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = registry.QUERIES["page_headings"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(db.execute(registry.ORACLES["page_headings"]).fetchall()) and len(got) == 9

@@ -11,6 +11,11 @@ from veilframe.sources import captured, html
 from veilframe.tables import table
 
 _PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"
+# Character references as browsers read them: these count without their semicolon too, and one that was cut to &#x2 is no character.
+_READ = "{x}"
+for _was, _is in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#x27;?", "''"), ("&#x2;", ""), ("&#x2([^0-9a-fA-F;]|$)", r"\1"), ("&amp;?", "&")):
+    _READ = f"regexp_replace({_READ}, '{_was}', '{_is}', 'g')"
+_READ = rf"trim(regexp_replace({_READ}, '[\s\x0B]+', ' ', 'g'))"
 _CUT = "CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '…' ELSE nullif({x}, '') END"
 
 
@@ -33,7 +38,7 @@ def page_links(spark, sf_dir):
 
 
 @query(f"""
-SELECT page_id, {_CUT.format(x="said", n=200)} AS heading FROM (SELECT page_id, {_PLAIN.format(x="regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS said FROM pages WHERE contains(html, '<h1>')) WHERE said <> ''
+SELECT page_id, {_CUT.format(x="said", n=200)} AS heading FROM (SELECT page_id, {_READ.format(x="regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS said FROM pages WHERE contains(html, '<h1>')) WHERE said <> ''
 """)
 def page_headings(spark, sf_dir):
     heads = _nodes(spark, sf_dir).where((F.col("tag") == "h1") & (html.kind() == "text"))
