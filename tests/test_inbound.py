@@ -130,3 +130,21 @@ def test_evidence_of_a_click_in_a_row(spark):
     got = judged(spark, click(None), click("e1"), click([]), click(["e1"]), click([cite("e5", " ready ")]), click([cite("e9", "x")]), click([cite("e5", 5)]), click([cite("e0", "Pay")]), click([cite("e5", "steady")]), click([cite("e1", "Fee")]), click([cite("e5", "Ready"), cite("e1", "fee pending")]))
     assert [r.refused for r in got] == ["no evidence", "no evidence", None, "evidence is no list of elements", None, "cited element not on the page", "cited element not on the page", "evidence from another row", "quoted words not there", "evidence shows an unmet condition", "evidence shows an unmet condition"]
     assert judged(spark, click([cite("e1", "Fee")]), task="those whose fee is PENDING")[0].refused is None
+
+
+def test_a_body_is_taken_apart_once(spark):
+    df = spark.createDataFrame([(1, "x")], "k long, value string")
+    used = requests.validated(df).where("body is not null").select("k", F.explode("body.redacted_dom_summary").alias("e")).select("k", "e.filled", "e.row", "e.position.height")
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schemaOfVariant") < 100 and len(plan) < 60_000
+
+
+def test_fits_agrees_with_faults(spark):
+    shape = Shape({"a": Text(1), "n": Number(0, integer=True), "l": Many(Many(Flag(), 2)), "o": Shape({"x": Number(lenient=False)}, optional=frozenset(("x",)), closed=True), "quo`ted": Text()}, optional=frozenset(("n", "quo`ted")), defaulted=frozenset(("o",)))
+    good = {"a": "t", "n": "7", "l": [[True, "no"], []], "o": {"x": 1}}
+    bodies = [good, good | {"a": None}, good | {"a": {"b": [1]}}, good | {"n": None}, good | {"n": 1.5}, good | {"n": "-1"}, good | {"l": [[1, 2, 3]]}, good | {"l": [True]}, good | {"l": {}}, good | {"l": [["x"]]}, good | {"o": None}, good | {"o": {"x": None}}, good | {"o": {"x": "1"}}, good | {"o": {"y": 1}}, good | {"quo`ted": 1}, {"a": "t", "l": []}, [good], "7"]
+    df = spark.createDataFrame([(k, b if isinstance(b, str) else json.dumps(b)) for k, b in enumerate(bodies)], "k long, t string")
+    v = jsons.whole(F.col("t"))
+    got = df.orderBy("k").select(jsons.fits(shape, v).alias("fits"), jsons.faults(shape, v, F.lit("")).alias("faults")).collect()
+    assert [r.fits for r in got] == [not r.faults for r in got] == [k in (0, 3, 11, 15) for k in range(len(bodies))]
+    assert [tuple(f) for r in got[6:10] for f in r.faults] == [("l[0]", "more than 2 items"), ("l[0]", "not a list"), ("l", "not a list"), ("l[0][0]", "not a flag")]

@@ -42,7 +42,9 @@ def whole(text: Column) -> Column:
 
 def kind(value: Column) -> Column:
     """text, integer, number, flag, null, list or object; SQL's null where there is no value."""
-    return let(F.schema_of_variant(value), _kind)
+    # the schema of a list or an object is made from all that it holds, so these two are told by what they can be taken for
+    plain = lambda v: let(F.schema_of_variant(v), _kind)
+    return let(value, lambda v: F.when(_entries(v).isNotNull(), "object").when(items(v).isNotNull(), "list").otherwise(plain(v)))
 
 
 def _kind(s: Column) -> Column:
@@ -52,8 +54,6 @@ def _kind(s: Column) -> Column:
         .when((s == "DOUBLE") | s.startswith("DECIMAL"), "number")
         .when(s == "BOOLEAN", "flag")
         .when(s == "VOID", "null")
-        .when(s.startswith("ARRAY"), "list")
-        .when(s.startswith("OBJECT"), "object")
     )
 
 
@@ -61,28 +61,36 @@ def member(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$['{name}']", "variant")
 
 
-def _if(value: Column, kinds: tuple[str, ...], to: str) -> Column:
-    return let(value, lambda v: F.when(kind(v).isin(*kinds), F.try_variant_get(v, "$", to)))
+def _is(value: Column, schema: str) -> Column:
+    return F.schema_of_variant(value) == schema
+
+
+def _text(value: Column) -> Column:
+    return F.when(_is(value, "STRING"), F.try_variant_get(value, "$", "string"))
 
 
 def as_text(value: Column) -> Column:
     """A text's own characters; null for values of other kinds."""
-    return _if(value, ("text",), "string")
+    return let(value, _text)
 
 
 def as_number(value: Column) -> Column:
     """A number as double; flags are 0 and 1, all else is null."""
-    return _if(value, ("integer", "number", "flag"), "double")
+    return let(value, lambda v: F.when(~_is(v, "STRING"), F.try_variant_get(v, "$", "double")))
 
 
 def items(value: Column) -> Column:
     """A list's values; null for values of other kinds."""
-    return _if(value, ("list",), "array<variant>")
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _entries(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 def keys(value: Column) -> Column:
     """An object's names; null for values of other kinds."""
-    return F.map_keys(_if(value, ("object",), "map<string,variant>"))
+    return F.map_keys(_entries(value))
 
 
 @dataclass(frozen=True)
@@ -95,7 +103,7 @@ class Text:
     among: Sequence[str] = ()
 
     def fault(self, v: Column) -> Column:
-        said, checks = as_text(v), [(kind(v) != "text", "not a text")]
+        said, checks = F.try_variant_get(v, "$", "string"), [(~_is(v, "STRING"), "not a text")]
         if self.least is not None:
             checks.append((F.length(said) < self.least, f"shorter than {self.least}"))
         if self.most is not None:
@@ -107,7 +115,7 @@ class Text:
         return _first(checks)
 
     def typed(self, v: Column) -> Column:
-        return as_text(v)
+        return _text(v)
 
 
 @dataclass(frozen=True)
@@ -119,28 +127,30 @@ class Number:
     integer: bool = False
     lenient: bool = True
 
-    def _value(self, v: Column) -> Column:
-        k = kind(v)
-        own = F.when(k.isin("integer", "number"), F.try_variant_get(v, "$", "double"))
-        if self.lenient:
-            spelled = F.trim(F.translate(as_text(v), "\t\n\r\f\v", "     "))
-            form = r"^[+-]?\d+(\.0*)?$" if self.integer else r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-            own = F.coalesce(own, F.when(k == "flag", F.try_variant_get(v, "$", "double")), F.when(spelled.rlike(form), spelled.try_cast("double")))
-        return F.when(own == F.floor(own), own) if self.integer else own
+    def _own(self, v: Column) -> Column:
+        own = F.try_variant_get(v, "$", "double")
+        if not self.lenient:
+            return F.when(~F.schema_of_variant(v).isin("STRING", "BOOLEAN"), own)
+        spelled = F.trim(F.translate(F.try_variant_get(v, "$", "string"), "\t\n\r\f\v", "     "))
+        form = r"^[+-]?\d+(\.0*)?$" if self.integer else r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+        return F.when(_is(v, "STRING"), F.when(spelled.rlike(form), spelled.try_cast("double"))).otherwise(own)
 
     def fault(self, v: Column) -> Column:
+        none = "not an integer" if self.integer else "not a number"
+
         def judge(n):
-            checks = [(n.isNull(), "not an integer" if self.integer else "not a number")]
+            checks = [(n.isNull() | (n != F.floor(n)) if self.integer else n.isNull(), none)]
             if self.least is not None:
                 checks.append((n < self.least, f"below {self.least}"))
             if self.most is not None:
                 checks.append((n > self.most, f"above {self.most}"))
             return _first(checks)
 
-        return let(self._value(v), judge)
+        bounded = self.integer or self.least is not None or self.most is not None
+        return let(self._own(v), judge) if bounded else F.when(self._own(v).isNull(), none)
 
     def typed(self, v: Column) -> Column:
-        return self._value(v).cast("long") if self.integer else self._value(v)
+        return let(self._own(v), lambda n: F.when(n == F.floor(n), n).cast("long")) if self.integer else self._own(v)
 
 
 @dataclass(frozen=True)
@@ -149,18 +159,16 @@ class Flag:
 
     lenient: bool = True
 
-    def _value(self, v: Column) -> Column:
-        own = F.when(kind(v) == "flag", F.try_variant_get(v, "$", "boolean"))
-        if self.lenient:
-            said, n = F.lower(as_text(v)), F.when(kind(v).isin("integer", "number"), F.try_variant_get(v, "$", "double"))
-            own = F.coalesce(own, F.when(n.isin(0.0, 1.0), n == 1.0), F.when(said.isin(*TRUE_TEXTS), True).when(said.isin(*FALSE_TEXTS), False))
-        return own
+    def typed(self, v: Column) -> Column:
+        own = F.when(_is(v, "BOOLEAN"), F.try_variant_get(v, "$", "boolean"))
+        if not self.lenient:
+            return own
+        said, n = F.lower(F.try_variant_get(v, "$", "string")), F.try_variant_get(v, "$", "double")
+        spelled = F.when(said.isin(*TRUE_TEXTS), True).when(said.isin(*FALSE_TEXTS), False)
+        return own.when(_is(v, "STRING"), spelled).otherwise(F.when(n.isin(0.0, 1.0), n == 1.0))
 
     def fault(self, v: Column) -> Column:
-        return F.when(self._value(v).isNull(), "not a flag")
-
-    def typed(self, v: Column) -> Column:
-        return self._value(v)
+        return F.when(self.typed(v).isNull(), "not a flag")
 
 
 @dataclass(frozen=True)
@@ -170,12 +178,19 @@ class Many:
     item: Text | Number | Flag | Many | Shape
     most: int | None = None
 
+    def fits(self, v: Column) -> Column:
+        few = lambda xs: F.size(xs) <= self.most if self.most is not None else F.lit(True)
+        return let(items(v), lambda xs: xs.isNotNull() & few(xs) & F.forall(xs, lambda x: fits(self.item, x)))
+
     def faults(self, v: Column, path: Column) -> Column:
-        own = [(kind(v) != "list", "not a list")]
-        if self.most is not None:
-            own.append((F.size(items(v)) > self.most, f"more than {self.most} items"))
-        each = F.transform(items(v), lambda x, i: faults(self.item, x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
-        return F.when(_first(own).isNotNull(), _one(path, _first(own))).otherwise(F.flatten(each))
+        def of(xs):
+            each = F.transform(xs, lambda x, i: F.when(fits(self.item, x), _none()).otherwise(faults(self.item, x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+            out = F.when(xs.isNull(), _one(path, F.lit("not a list")))
+            if self.most is not None:
+                out = out.when(F.size(xs) > self.most, _one(path, F.lit(f"more than {self.most} items")))
+            return out.otherwise(F.flatten(each))
+
+        return let(items(v), of)
 
     def typed(self, v: Column) -> Column:
         return F.transform(items(v), lambda x: self.item.typed(x))
@@ -190,25 +205,44 @@ class Shape:
     defaulted: frozenset[str] = field(default_factory=frozenset)
     closed: bool = False
 
+    def _members(self, v: Column) -> Column:
+        """The members as one STRUCT of VARIANT, taken in one pass; null for values of other kinds."""
+        names = ",".join(f"`{n.replace('`', '``')}`:variant" for n in self.fields)
+        return F.try_variant_get(v, "$", f"struct<{names}>")
+
+    def _absent(self, name: str, x: Column) -> Column:
+        """Whether a member counts as not there, which only ``optional`` and ``defaulted`` ones may be."""
+        return x.isNull() | F.is_variant_null(x) if name in self.optional else x.isNull()
+
+    def fits(self, v: Column) -> Column:
+        def of(o):
+            out = o.isNotNull()
+            for name, shape in self.fields.items():
+                x = o.getField(name)
+                out = out & (self._absent(name, x) | fits(shape, x) if name in self.optional | self.defaulted else x.isNotNull() & fits(shape, x))
+            return out & F.forall(keys(v), lambda k: k.isin(*self.fields)) if self.closed else out
+
+        return let(self._members(v), of)
+
     def faults(self, v: Column, path: Column) -> Column:
         """``defaulted`` names may be missing but not null."""
-        found = []
-        for name, shape in self.fields.items():
-            at = F.concat(path, F.when(path == "", "").otherwise("."), F.lit(name))
+        start = F.concat(path, F.when(path == "", "").otherwise("."))
 
-            def of(x, name=name, shape=shape, at=at):
+        def of(o):
+            found = []
+            for name, shape in self.fields.items():
+                at, x = F.concat(start, F.lit(name)), o.getField(name)
                 missing = _none() if name in self.optional | self.defaulted else _one(at, F.lit("missing"))
-                inner = faults(shape, x, at)
-                return F.when(x.isNull(), missing).when((kind(x) == "null"), _none()).otherwise(inner) if name in self.optional else F.when(x.isNull(), missing).otherwise(inner)
+                found.append(F.when(self._absent(name, x), missing).otherwise(faults(shape, x, at)))
+            if self.closed:
+                more = F.filter(F.array_sort(keys(v)), lambda k: ~k.isin(*self.fields))
+                found.append(F.transform(more, lambda k: F.struct(F.concat(start, k).alias("path"), F.lit("unknown name").alias("fault"))))
+            return F.when(o.isNull(), _one(path, F.lit("not an object"))).otherwise(F.concat(*found))
 
-            found.append(let(member(v, name), of))
-        if self.closed:
-            more = F.filter(F.array_sort(keys(v)), lambda k: ~k.isin(*self.fields))
-            found.append(F.transform(more, lambda k: F.struct(F.concat(path, F.when(path == "", "").otherwise("."), k).alias("path"), F.lit("unknown name").alias("fault"))))
-        return F.when(kind(v) != "object", _one(path, F.lit("not an object"))).otherwise(F.concat(*found))
+        return let(self._members(v), of)
 
     def typed(self, v: Column) -> Column:
-        return F.struct(*[shape.typed(member(v, name)).alias(name) for name, shape in self.fields.items()])
+        return let(self._members(v), lambda o: F.struct(*[shape.typed(o.getField(name)).alias(name) for name, shape in self.fields.items()]))
 
 
 def _first(checks: list[tuple[Column, str]]) -> Column:
@@ -226,6 +260,11 @@ def _one(path: Column, fault: Column) -> Column:
     return F.array(F.struct(path.alias("path"), fault.alias("fault")))
 
 
+def fits(shape: Text | Number | Flag | Many | Shape, value: Column) -> Column:
+    """Whether ``value`` has no fault, without listing any; never null."""
+    return shape.fits(value) if isinstance(shape, (Many, Shape)) else shape.fault(value).isNull()
+
+
 def faults(shape: Text | Number | Flag | Many | Shape, value: Column, path: Column) -> Column:
     """ARRAY<STRUCT<path, fault>>: every fault of ``value``, in the order of the shape; empty if it fits."""
     if isinstance(shape, (Many, Shape)):

@@ -25,20 +25,25 @@ REQUEST = Shape({"request_id": Text(), "task_query": Text(1, 500), "redacted_fra
 NO_JSON, MALFORMED = "not JSON", "MALFORMED_REQUEST"
 
 
+def judged(raw: DataFrame, shape: Shape = REQUEST, value: str = "value") -> DataFrame:
+    """``raw`` with ``parsed``, the body as VARIANT or null, and ``faults`` (empty if the body fits)."""
+    rows = jsons.once(raw, parsed=jsons.whole(F.col(value)))
+    none = F.array(F.struct(F.lit("").alias("path"), F.lit(NO_JSON).alias("fault")))
+    return jsons.once(rows, faults=F.when(F.col("parsed").isNull(), none).otherwise(jsons.faults(shape, F.col("parsed"), F.lit(""))))
+
+
 def validated(raw: DataFrame, shape: Shape = REQUEST, value: str = "value") -> DataFrame:
     """``raw`` with ``faults`` (empty if the body fits) and ``body``, typed, or null."""
-    rows = jsons.once(raw, _v=jsons.whole(F.col(value)))
-    none = F.array(F.struct(F.lit("").alias("path"), F.lit(NO_JSON).alias("fault")))
-    judged = jsons.once(rows, faults=F.when(F.col("_v").isNull(), none).otherwise(jsons.faults(shape, F.col("_v"), F.lit(""))))
-    return judged.withColumn("body", F.when(F.size("faults") == 0, shape.typed(F.col("_v")))).drop("_v")
+    return jsons.once(judged(raw, shape, value), body=F.when(F.size("faults") == 0, shape.typed(F.col("parsed")))).drop("parsed")
 
 
 def quarantined(judged: DataFrame, *keys: str) -> DataFrame:
-    """(keys, n, path, fault): a row for each fault of what ``validated`` refused."""
+    """(keys, n, path, fault): a row for each fault of what ``judged`` or ``validated`` refused."""
     return judged.select(*keys, F.posexplode("faults").alias("n", "f")).select(*keys, "n", "f.path", "f.fault")
 
 
 def refusals(judged: DataFrame, *keys: str, value: str = "value", name: str = "request_id") -> DataFrame:
     """(keys, request_id, error_code, status): how each refused body is answered; without a text as its id, by an empty one."""
-    own = F.coalesce(jsons.as_text(jsons.member(jsons.whole(F.col(value)), name)), F.lit(""))
+    body = F.col("parsed") if "parsed" in judged.columns else jsons.whole(F.col(value))
+    own = F.coalesce(jsons.as_text(jsons.member(body, name)), F.lit(""))
     return judged.where(F.size("faults") > 0).select(*keys, own.alias("request_id"), F.lit(MALFORMED).alias("error_code"), F.lit(400).alias("status"))

@@ -79,12 +79,12 @@ faults AS (
 
 @query(f"WITH {_FAULTS_SQL} SELECT o AS request, path, fault FROM faults")
 def request_validation(spark, sf_dir):
-    return requests.quarantined(requests.validated(_bodies(spark, sf_dir)), "request").select("request", "path", "fault")
+    return requests.quarantined(requests.judged(_bodies(spark, sf_dir)), "request").select("request", "path", "fault")
 
 
 @query(f"WITH {_FAULTS_SQL} SELECT DISTINCT o AS request, CASE WHEN o % 17 IN (1, 3, 4, 8) THEN '' ELSE 'r' || o END AS request_id, 'MALFORMED_REQUEST' AS error_code, 400 AS status FROM faults")
 def request_refusals(spark, sf_dir):
-    return requests.refusals(requests.validated(_bodies(spark, sf_dir)), "request")
+    return requests.refusals(requests.judged(_bodies(spark, sf_dir)), "request")
 
 
 @query(f"""WITH {_FAULTS_SQL}, lines AS (SELECT l_orderkey AS o, (l_orderkey * 3 + l_linenumber * 5) % 11 = 0 AND l_orderkey % 3 = 0 AS odd, l_linenumber AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o FROM faults))
