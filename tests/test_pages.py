@@ -1,4 +1,5 @@
 import duckdb
+import pyarrow as pa
 
 from veilframe.plans import registry
 from veilframe.sources import html
@@ -133,3 +134,16 @@ def test_headings_agree_with_their_sql_on_cut_references(spark, tmp_path):
     db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     got = registry.QUERIES["page_headings"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(db.execute(registry.ORACLES["page_headings"]).fetchall()) and len(got) == 9
+
+
+def test_links_parse_their_pages_once(spark, tmp_path):
+    spark.createDataFrame([(1, '<a href="/">x</a>')], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    plan = registry.QUERIES["reviewable_links"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
+def test_no_batch_of_nodes_grows_with_a_page():
+    pages = pa.RecordBatch.from_pydict({"page_id": [1, 2, 3], "html": ["<p>x" * 30_000, None, '<i a="1">y</i>']})
+    sent = list(html._run(iter([pages])))
+    assert max(b.num_rows for b in sent) <= 5_000 and sum(b.num_rows for b in sent) == 30_001
+    assert sent[-1].to_pylist()[-1]["attrs"] == [("a", "1")] and sent[-1].to_pylist()[-1]["page_id"] == 3

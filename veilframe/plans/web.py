@@ -63,7 +63,7 @@ SELECT page_id, count(*) AS listed, sum(length(v))::BIGINT AS characters FROM (
   SELECT page_id, {_PLAIN.format(x="unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1))")} AS v FROM pages) WHERE v <> '' GROUP BY page_id
 """)
 def reviewable_links(spark, sf_dir):
-    links = html.elements(_nodes(spark, sf_dir).where("tag = 'a'"))
+    links = html.elements(html.parsed(table(spark, sf_dir, "pages"), only="tag = 'a'"))
     return captured.reviewable(links).groupBy("page_id").agg(F.count(F.lit(1)).alias("listed"), F.sum(F.length("value")).alias("characters"))
 
 

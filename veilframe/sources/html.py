@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -52,7 +53,12 @@ _WHOLE_ROLES = frozenset(("button", "columnheader"))
 GRIDS, GRID_CELLS, GRID_ROW, GRID_HEADER = ("table", "grid", "treegrid"), ("cell", "gridcell"), "row", "columnheader"
 _GRID_ROLES = {**dict.fromkeys(GRIDS, "grid"), **dict.fromkeys(GRID_CELLS, "grid_cell"), GRID_ROW: "grid_row"}
 _BEGUN = re.compile("<[A-Za-z/!?]")
-_BATCH = 20_000
+#: Start and end tags as most pages write them; all others, and those whose content is no markup, are left to the parser of the library.
+_START, _END = re.compile(r'<([A-Za-z][A-Za-z0-9]*)((?:[ \t\n]+[A-Za-z][-A-Za-z0-9]*="[^"<>&]*")*)[ \t\n]*>'), re.compile(r"</([A-Za-z][A-Za-z0-9]*)>")
+_ATTR = re.compile(r'([A-Za-z][-A-Za-z0-9]*)="([^"]*)"')
+_RAW = frozenset("script style title textarea iframe noembed noframes noscript xmp plaintext".split())
+#: Pages that are turned into nodes at a time, and nodes that are sent on at a time: they bound what a Python worker holds.
+_PAGES, _BATCH = 32, 5_000
 
 #: What a node knows of its nearest ancestors, itself included for those of its own kind: their numbers.
 _NEAREST = ("label", "row", "select", "table", "line", "cell", "holder", "grid", "grid_row", "grid_cell")
@@ -97,6 +103,23 @@ class _Reader(HTMLParser):
         end = super().parse_comment(i, 0)
         return end if end >= 0 else len(self.rawdata)  # one that never ends takes the rest, and is looked for once
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # nobody asks for lines
+
+    def parse_starttag(self, i: int) -> int:
+        met = _START.match(self.rawdata, i)
+        if not met or (tag := met[1].lower()) in _RAW:
+            return super().parse_starttag(i)
+        self.handle_starttag(tag, [(k.lower(), v) for k, v in _ATTR.findall(met[2])] if met[2] else [])
+        return met.end()
+
+    def parse_endtag(self, i: int) -> int:
+        met = None if self.cdata_elem else _END.match(self.rawdata, i)
+        if not met:
+            return super().parse_endtag(i)
+        self.handle_endtag(met[1].lower())
+        return met.end()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _BLOCKS:
             self.handle_endtag("p")
@@ -179,33 +202,41 @@ def read(page: str | None) -> list[dict]:
     return reader.made
 
 
+def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, found = [], []
+        for at in range(0, batch.num_rows, _PAGES):
+            part = batch.slice(at, _PAGES)
+            for page, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                made = read(text)
+                for k in range(0, len(made), _BATCH):
+                    ids += [page] * len(made[k : k + _BATCH])
+                    found += made[k : k + _BATCH]
+                    if len(found) >= _BATCH:
+                        yield _rows(ids, found)
+                        ids, found = [], []
+        yield _rows(ids, found)
+
+
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(page_id, node, tag, attrs, own, whole, ...) of every tag of every page."""
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(html).alias("html")).where("html is not null")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, found = [], []
-            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made = read(text)
-                ids += [page] * len(made)
-                found += made
-                if len(found) >= _BATCH:
-                    yield _rows(ids, found)
-                    ids, found = [], []
-            yield _rows(ids, found)
-
-    return rows.mapInArrow(run, f"page_id long, {_DDL}")
+    return rows.mapInArrow(_run, f"page_id long, {_DDL}")
 
 
 def _rows(ids: list, found: list[dict]) -> pa.RecordBatch:
-    def column(field: pa.Field) -> pa.Array:
-        if field.name == "attrs":
-            return pa.array([list(n["attrs"].items()) for n in found], field.type)
-        inherited = field.name in _NEAREST or field.name == "head"
-        return pa.array([n["near"][field.name] for n in found] if inherited else [n[field.name] for n in found], field.type)
-
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(column, NODE)], names=["page_id", *[f.name for f in NODE]])
+    ends, names, values = [0], [], []
+    for n in found:
+        if n["attrs"]:
+            names += n["attrs"]
+            values += n["attrs"].values()
+        ends.append(len(names))
+    columns = {"attrs": pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string()))}
+    inherited = (*_NEAREST, "head")
+    columns |= dict(zip(inherited, zip(*map(itemgetter(*inherited), map(itemgetter("near"), found)), strict=True), strict=True)) if found else dict.fromkeys(inherited, [])
+    arrays = [columns["attrs"] if f.name == "attrs" else pa.array(columns[f.name] if f.name in columns else [n[f.name] for n in found], f.type) for f in NODE]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *arrays], names=["page_id", *[f.name for f in NODE]])
 
 
 def squeezed(text: Column) -> Column:
@@ -234,7 +265,7 @@ def kind() -> Column:
         .when(tag.isin("textarea", "select") | (_attr("contenteditable") == "true"), "input")
         .when((tag == "button") | ((tag == "a") & F.map_contains_key("attrs", F.lit("href"))) | (role == "button"), "button")
         .when(tag.isin(*IMAGES), "image")
-        .when(tag.isin(*TEXTS) & (squeezed(F.col("own")) != ""), "text")
+        .when(tag.isin(*TEXTS) & F.col("own").rlike(r"\S"), "text")
     )
 
 
@@ -249,7 +280,7 @@ def elements(found: DataFrame) -> DataFrame:
     label's own text is no element of its own if it labels an input or button.
     """
     page = Window.partitionBy("page_id")
-    kinds = found.withColumn("element_type", kind())
+    kinds = found if "element_type" in found.columns else found.withColumn("element_type", kind())
     ids = found.where(F.map_contains_key("attrs", F.lit("id"))).groupBy("page_id", _attr("id").alias("id")).agg(F.min_by("whole", "node").alias("said"))
     labels = found.where("tag = 'label'")
     named = labels.where(F.map_contains_key("attrs", F.lit("for"))).groupBy("page_id", _attr("for").alias("id")).agg(F.min(F.struct("node", "whole")).alias("by_id"))
@@ -257,7 +288,7 @@ def elements(found: DataFrame) -> DataFrame:
     options = found.where("tag = 'option' and select is not null").groupBy("page_id", F.col("select").alias("node"))
     chosen = options.agg(F.coalesce(F.max_by(F.when(F.map_contains_key("attrs", F.lit("selected")), F.col("whole")), F.when(F.map_contains_key("attrs", F.lit("selected")), F.col("node"))), F.min_by("whole", "node")).alias("chosen"))
     own = kinds.where("element_type is not null")
-    asked = own.where(F.coalesce(_attr("aria-labelledby"), F.lit("")) != "").select("page_id", "node", F.posexplode(F.split(_attr("aria-labelledby"), r"\s+")).alias("n", "id"))
+    asked = found.where(F.coalesce(_attr("aria-labelledby"), F.lit("")) != "").select("page_id", "node", F.posexplode(F.split(_attr("aria-labelledby"), r"\s+")).alias("n", "id"))
     said = asked.join(ids, ["page_id", "id"], "left").groupBy("page_id", "node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("said", F.lit("")).alias("said")))), lambda x: x["said"]), " ").alias("labelled"))
     rows = own.withColumn("_id", _attr("id")).join(named.withColumnRenamed("id", "_id"), ["page_id", "_id"], "left").join(around, ["page_id", "label"], "left").join(said, ["page_id", "node"], "left").join(chosen, ["page_id", "node"], "left")
     rows = rows.join(headers(found), ["page_id", "table", "cell"], "left").join(grid_headers(found), ["page_id", "grid_cell"], "left")
@@ -307,8 +338,13 @@ def elements(found: DataFrame) -> DataFrame:
 
 
 def elements_of(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """``elements`` of raw pages, each parsed once: the nodes are written to the shared folder, as several joins read them."""
-    return elements(written(nodes(spread(pages.select(key, html)), key, html), "nodes"))
+    """``elements`` of raw pages, each parsed once, as several joins read the nodes."""
+    return elements(parsed(pages, key, html))
+
+
+def parsed(pages: DataFrame, key: str = "page_id", html: str = "html", only: str = "true") -> DataFrame:
+    """The ``nodes`` for which ``only`` holds, with their kind as ``element_type``, written to the shared folder: pages are parsed once."""
+    return written(nodes(spread(pages.select(key, html)), key, html).where(only).withColumn("element_type", kind()), "nodes")
 
 
 def inside(containers: DataFrame, items: DataFrame) -> DataFrame:
