@@ -1,8 +1,11 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from veilframe.functions import geom
 from veilframe.functions.text import classify_text
-from veilframe.operators import scan
+from veilframe.operators import scan, vision
 
 RECT = "struct<x:double,y:double,width:double,height:double>"
 
@@ -107,6 +110,57 @@ def test_readings_are_compared_once_for_the_page(spark):
     assert (r.agreed, r.shown_only, r.read_only, r.hidden) == (1, 1, 1, 2) and abs(r.agreement - 1 / 3) < 1e-12
 
 
+def test_readings_deal_their_texts_by_page_once(spark):
+    looks = looks_of(spark, (1, 0, 0, True), (1, 1, 450, True))
+    shown, read = texts(spark, (1, 0, 0, "one", (0, 0, 300, 20))), texts(spark, (1, 1, 0, "two", (0, 0, 300, 20)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (scan.reading(shown, read, read, looks), vision.agreement(shown, read), scan.stitched(findings(spark, (1, 0, 0, "email", "dom", (0, 0, 9, 9))), looks))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [2, 1, 2]  # the rows and the looks
+    assert all("Exchange hashpartitioning(page_id" in p for p in plans)
+
+
+def test_readings_are_those_of_a_plain_loop(spark):
+    draw = random.Random(3)
+    said = ("one", "One!", "one two", "two", "...", "", None, "three")
+    stops = {1: [0, 450, 900], 2: [0], 3: [0, 450], 4: [0], 5: [0, 450]}
+    looks = looks_of(spark, *[(p, s, y, True) for p, ys in stops.items() for s, y in enumerate(ys)])
+    sides = []
+    for n in range(3):
+        of = {0: (1, 2, 3, 6), 1: (1, 2, 4, 6), 2: (1, 5)}[n]  # page 3 has no read text, 4 no shown, 5 only hidden, 6 no look
+        sides.append([(p, draw.randrange(4), o, draw.choice(said), (draw.choice((0, 40)), 10 * draw.randrange(12), 100, draw.choice((20, 30)))) for p in of for o in range(30)])
+    normal = lambda t: re.sub("[^a-z0-9]+", " ", (t or "").lower()).strip()
+
+    def share(a, b):
+        inter = max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+        return inter / min(a[2] * a[3], b[2] * b[3])
+
+    def merged(rows, page):
+        kept = []
+        for _, s, o, t, (x, y, w, h) in sorted((r for r in rows if r[0] == page), key=lambda r: r[1:3]):
+            if normal(t) and s < len(stops.get(page, ())):
+                box = (x, y + stops[page][s], w, h)
+                if not any(k == normal(t) and share(b, box) >= 0.6 for k, b in kept):
+                    kept.append((normal(t), box))
+        return kept
+
+    expected = {}
+    for page in range(1, 7):
+        a, b, c = (merged(rows, page) for rows in sides)
+        pairs = sorted((-share(p, q), i, j) for i, (t, p) in enumerate(a) for j, (u, q) in enumerate(b) if share(p, q) >= 0.2 and (t in u or u in t))
+        left, right = set(), set()
+        for _, i, j in pairs:
+            if i not in left and j not in right:
+                left.add(i), right.add(j)
+        if a or b:
+            expected[page] = (len(left), len(a) - len(left), len(b) - len(left), len(c))
+    got = scan.reading(*[texts(spark, *rows) for rows in sides], looks).collect()
+    assert {r.page_id: (r.agreed, r.shown_only, r.read_only, r.hidden) for r in got} == expected and set(expected) == {1, 2, 3, 4}
+
+
 def test_text_that_only_pixels_show(spark):
     shown = texts(spark, (1, 0, 0, "mail me@mail.example", (0, 0, 300, 20)))
     read = texts(spark, (1, 0, 0, "mail me@mail.example", (0, 1, 300, 20)), (1, 0, 1, "other@mail.example", (0, 100, 300, 20)), (1, 1, 0, "mail me@mail.example", (0, 0, 300, 20)), (1, 0, 2, "nothing", (0, 200, 300, 20)))

@@ -21,7 +21,7 @@ def overlapping(left: DataFrame, right: DataFrame, key: str = "page_id") -> Data
     return a.join(b, key).where(geom.overlaps(F.col("l.position"), F.col("r.position")))
 
 
-def _kept(items: Column, kind: str, clash) -> Column:
+def kept(items: Column, kind: str, clash) -> Column:
     """The items, in order, that clash with none kept before."""
     add = lambda acc, x: F.when(F.exists(acc, lambda k: clash(k, x)), acc).otherwise(F.concat(acc, F.array(x)))
     return F.aggregate(items, F.array().cast(f"array<{kind}>"), add)
@@ -31,8 +31,8 @@ def _fold(rows: DataFrame, order: list[Column], clash, *keys: str, most: int | N
     body = F.struct(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("_o"), *[c for c in rows.columns if c not in keys])
     grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(body)).alias("items"))
     kind = grouped.schema["items"].dataType.elementType.simpleString()
-    kept = _kept(F.col("items"), kind, clash)
-    return grouped.select(*keys, F.explode(F.slice(kept, 1, most) if most else kept).alias("x")).select(*keys, "x.*").drop("_o")
+    stay = kept(F.col("items"), kind, clash)
+    return grouped.select(*keys, F.explode(F.slice(stay, 1, most) if most else stay).alias("x")).select(*keys, "x.*").drop("_o")
 
 
 def kept_first(rows: DataFrame, order: list[Column], clash, *keys: str) -> DataFrame:
@@ -61,9 +61,14 @@ def deduplicated_regions(regions: DataFrame, share: float = SAME_SHARE, key: str
     return rest.unionByName(regions.where(manual))
 
 
+def taken(k: Column, x: Column) -> Column:
+    """Whether pair ``k`` has an end of pair ``x``."""
+    return (k["a"] == x["a"]) | (k["b"] == x["b"])
+
+
 def greedy_pairs(pairs: DataFrame, key: str = "page_id", weight: str = "weight") -> DataFrame:
     """One-to-one matching: pairs (a, b, weight) by weight, then a, then b, if neither end is taken."""
-    return _fold(pairs, [-F.col(weight), F.col("a"), F.col("b")], lambda k, x: (k["a"] == x["a"]) | (k["b"] == x["b"]), key)
+    return _fold(pairs, [-F.col(weight), F.col("a"), F.col("b")], taken, key)
 
 
 def best_element(regions: DataFrame, elements: DataFrame, key: str = "page_id") -> DataFrame:

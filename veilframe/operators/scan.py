@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions import geom
+from veilframe.functions.text import normalised
 from veilframe.operators import coverage, match, vision
 
 LOOK = ("stop", "scroll_x", "scroll_y", "view_width", "view_height")
@@ -38,9 +39,13 @@ def view_of(look: str | None = None) -> Column:
 
 
 def lifted(rows: DataFrame, looks: DataFrame, key: str = "page_id") -> DataFrame:
-    """``rows`` of looks that count, their position moved from the view to the page."""
-    met = rows.join(looks.select(key, "stop", "scroll_x", "scroll_y"), [key, "stop"])
-    return met.withColumn("position", geom.moved(F.col("position"), F.col("scroll_x"), F.col("scroll_y"))).select(*rows.columns)
+    """``rows`` of looks that count, their position moved from the view to the page.
+
+    A page's few looks are met as one list, so the rows are dealt by page alone, as what follows needs them, and not again.
+    """
+    views = looks.groupBy(key).agg(F.collect_list(F.struct("stop", "scroll_x", "scroll_y")).alias("_views"))
+    met = rows.join(views, key).withColumn("_view", F.explode(F.filter("_views", lambda v: v["stop"] == F.col("stop"))))
+    return met.withColumn("position", geom.moved(F.col("position"), F.col("_view.scroll_x"), F.col("_view.scroll_y"))).select(*rows.columns)
 
 
 def stitched(findings: DataFrame, looks: DataFrame, share: float = match.SAME_SHARE, key: str = "page_id") -> DataFrame:
@@ -95,16 +100,16 @@ def screens(found: DataFrame, looks: DataFrame, key: str = "page_id") -> DataFra
 
 def reading(shown: DataFrame, read: DataFrame, hidden: DataFrame, looks: DataFrame, key: str = "page_id") -> DataFrame:
     """(page_id, agreed, shown_only, read_only, agreement, hidden) of each page: both readers' texts (page_id, stop, ord, text,
-    position) of all looks, sightings merged first and compared once; ``hidden`` counts different pieces."""
+    position) of all looks, sightings merged first and compared once; ``hidden`` counts different pieces.
 
-    def merged(rows: DataFrame) -> DataFrame:
-        placed = lifted(rows, looks, key)
-        number = F.row_number().over(Window.partitionBy(key).orderBy("stop", "ord")).cast("long")
-        return vision.merged_sightings(placed.withColumn("ord", number).select(key, "ord", "text", "position"))
-
-    compared = vision.agreement(merged(shown), merged(read))
-    count = merged(hidden).groupBy(key).agg(F.count(F.lit(1)).alias("hidden"))
-    return compared.join(count, key, "left").withColumn("hidden", F.coalesce("hidden", F.lit(0).cast("long")))
+    Texts are brought to their normal form, then dealt by page, once; sightings are merged and compared where they then lie.
+    """
+    sides = [rows.select(key, F.lit(n).alias("side"), "stop", "ord", normalised(F.col("text")).alias("text"), "position").where("text <> ''") for n, rows in enumerate((shown, read, hidden))]
+    pieces = sides[0].union(sides[1]).union(sides[2]).repartition(key)
+    same = lambda k, x: geom.overlap_share(k["position"], x["position"]) >= vision.MERGE_SHARE
+    merged = match.kept_first(lifted(pieces, looks, key), [F.col("stop"), F.col("ord")], same, key, "side", "text")
+    number = F.row_number().over(Window.partitionBy(key, "side").orderBy("stop", "ord", "text", "position")).cast("long")
+    return vision.compared(merged.withColumn("ord", number), key=key)
 
 
 def screen_findings(shown: DataFrame, read: DataFrame, classify, *keys: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions import geom
-from veilframe.functions.text import digit_variant, same_text
+from veilframe.functions.text import digit_variant, normalised, same_text
 from veilframe.operators import match
 
 # Fixed values.
@@ -115,8 +115,6 @@ def shown_texts(elements: DataFrame) -> DataFrame:
 
 def merged_sightings(items: DataFrame, share: float = MERGE_SHARE) -> DataFrame:
     """The first of sightings (page_id, ord, text, position) with one normalised text that cover ``share`` of the smaller; texts without letters or digits are none."""
-    from veilframe.functions.text import normalised
-
     named = items.withColumn("_text", normalised(F.col("text"))).where("_text <> ''")
     return match.kept_first(named, [F.col("ord")], lambda k, x: geom.overlap_share(k["position"], x["position"]) >= share, "page_id", "_text").drop("_text")
 
@@ -129,15 +127,34 @@ def agreed_pairs(shown: DataFrame, read: DataFrame, share: float = READ_SHARE, k
     return match.greedy_pairs(pairs, key)
 
 
+def compared(items: DataFrame, share: float = READ_SHARE, key: str = "page_id") -> DataFrame:
+    """(page_id, agreed, shown_only, read_only, agreement, hidden) of pages with texts (page_id, side, ord, text in normal form,
+    position) of the markup (side 0) or the pixels (side 1), one to one as in ``agreed_pairs``; those of side 2 are only counted.
+
+    A page's texts are gathered once and paired in place. Its first pair is kept whether it agrees or not, so that pages
+    where none does keep their counts.
+    """
+    side = lambda n: F.collect_list(F.when(F.col("side") == n, F.struct("ord", "text", "position")))
+    pages = items.groupBy(key).agg(side(0).alias("_l"), side(1).alias("_r"), F.count_if(F.col("side") == 2).alias("hidden")).where("size(_l) + size(_r) > 0")
+    left = pages.select(key, "hidden", F.size("_l").cast("long").alias("shown"), F.size("_r").cast("long").alias("read"), F.posexplode_outer("_l").alias("i", "l"), "_r")
+    near = left.select(key, "hidden", "shown", "read", "i", "l", F.posexplode_outer("_r").alias("j", "r"))
+    weight = geom.overlap_share(F.col("l.position"), F.col("r.position"))
+    within = F.col("l.text").contains(F.col("r.text")) | F.col("r.text").contains(F.col("l.text"))
+    agrees = F.col(key).isNotNull() & (weight >= share) & (F.col("l.text") != "") & (F.col("r.text") != "") & within
+    first = (F.coalesce("i", F.lit(0)) == 0) & (F.coalesce("j", F.lit(0)) == 0)
+    pairs = F.array_sort(F.collect_list(F.when(agrees, F.struct((-weight).alias("w"), F.col("l.ord").alias("a"), F.col("r.ord").alias("b")))))
+    told = near.where(first | agrees).groupBy(key, "shown", "read", "hidden").agg(pairs.alias("_pairs"))
+    kind = told.schema["_pairs"].dataType.elementType.simpleString()
+    agreed = F.size(match.kept(F.col("_pairs"), kind, match.taken)).cast("long")
+    rows = told.withColumn("agreed", agreed).select(key, "agreed", (F.col("shown") - F.col("agreed")).alias("shown_only"), (F.col("read") - F.col("agreed")).alias("read_only"), "hidden")
+    total = F.col("agreed") + F.col("shown_only") + F.col("read_only")
+    return rows.select(key, "agreed", "shown_only", "read_only", F.when(total > 0, F.col("agreed") / total).otherwise(1.0).alias("agreement"), "hidden")
+
+
 def agreement(shown: DataFrame, read: DataFrame, share: float = READ_SHARE) -> DataFrame:
     """(page_id, agreed, shown_only, read_only, agreement): texts of the markup and of the pixels (page_id, ord, text, position), one to one by overlap."""
-    agreed = agreed_pairs(shown, read, share).groupBy("page_id").agg(F.count(F.lit(1)).alias("agreed"))
-    count = lambda df, n: df.where(F.trim("text") != "").groupBy("page_id").agg(F.count(F.lit(1)).alias(n))
-    both = count(shown, "shown").join(read.groupBy("page_id").agg(F.count(F.lit(1)).alias("read")), "page_id", "full").join(agreed, "page_id", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    rows = both.select("page_id", zero("agreed").alias("agreed"), (zero("shown") - zero("agreed")).alias("shown_only"), (zero("read") - zero("agreed")).alias("read_only"))
-    total = F.col("agreed") + F.col("shown_only") + F.col("read_only")
-    return rows.withColumn("agreement", F.when(total > 0, F.col("agreed") / total).otherwise(1.0))
+    of = lambda df, n: df.select("page_id", F.lit(n).alias("side"), "ord", normalised(F.col("text")).alias("text"), "position")
+    return compared(of(shown.where(F.trim("text") != ""), 0).union(of(read, 1)), share).drop("hidden")
 
 
 def recognition_size(width: Column, height: Column, least_width: Column | None = None, scale: Column | None = None) -> Column:

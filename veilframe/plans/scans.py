@@ -21,43 +21,55 @@ from veilframe.tables import spread, table
 LINE, VIEW, WIDTH = 22, 264, 520
 
 
+def _pages(docs: DataFrame) -> DataFrame:
+    """(page_id, text, document_height, at, truncated): each page with its stops, and whether they end before its bottom."""
+    height = (F.size(F.split("text", "\n", -1)) * LINE).cast("long")
+    tall = docs.where("text is not null").select(F.col("doc_id").alias("page_id"), "text", height.alias("document_height"))
+    stops, cut = coverage.scan_stops(F.col("document_height"), F.lit(VIEW))
+    return tall.select("*", stops.alias("at"), cut.alias("truncated"))
+
+
 def _lines(spark, sf_dir) -> DataFrame:
+    """(page_id, at, n, text): each line with its page's stops, so that looks meet it where it is read."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n", -1)).alias("n", "text"))
+    return _pages(docs).select("page_id", "at", F.posexplode(F.split("text", "\n", -1)).alias("n", "text"))
 
 
 def _plans(spark, sf_dir) -> DataFrame:
-    height = (F.size(F.split("text", "\n", -1)) * LINE).cast("long")
-    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("page_id"), height.alias("document_height"))
-    stops, cut = coverage.scan_stops(F.col("document_height"), F.lit(VIEW))
-    return docs.select("page_id", "document_height", F.lit(VIEW).cast("long").alias("view_height"), stops.alias("at"), F.size(stops).cast("long").alias("stops"), cut.alias("truncated"))
+    return _pages(table(spark, sf_dir, "documents")).select("page_id", "document_height", F.lit(VIEW).cast("long").alias("view_height"), "at", F.size("at").cast("long").alias("stops"), "truncated")
+
+
+def _looks(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` (page_id, at, ...) once a look, with stop and scroll_y. Every 13th page is locked from its third look on."""
+    locked = (F.col("page_id") % 13 == 5) & (F.col("stop") >= 2)
+    met = rows.select("page_id", *columns, "at", F.posexplode("at").alias("stop", "y"))
+    return met.select("page_id", *columns, "stop", F.when(locked, F.element_at("at", 2)).otherwise(F.col("y")).alias("scroll_y"))
 
 
 def _captures(spark, sf_dir) -> DataFrame:
-    """Every 13th page is locked from its third look on, and every 11th page's third look can't be read."""
-    rows = _plans(spark, sf_dir).select("page_id", "at", F.posexplode("at").alias("stop", "y"))
+    """The looks of each page; every 11th page's third look can't be read."""
     p, stop = F.col("page_id"), F.col("stop")
-    locked = (p % 13 == 5) & (stop >= 2)
-    return rows.select("page_id", "stop", F.lit(0).alias("scroll_x"), F.when(locked, F.element_at("at", 2)).otherwise(F.col("y")).alias("scroll_y"), F.lit(WIDTH).alias("view_width"), F.lit(VIEW).alias("view_height"), (~((p % 11 == 3) & (stop == 2))).alias("ok"))
+    looks = _looks(_plans(spark, sf_dir))
+    return looks.select("page_id", "stop", F.lit(0).alias("scroll_x"), "scroll_y", F.lit(WIDTH).alias("view_width"), F.lit(VIEW).alias("view_height"), (~((p % 11 == 3) & (stop == 2))).alias("ok"))
 
 
-def _seen(lines: DataFrame, captures: DataFrame) -> DataFrame:
-    """``lines`` (page_id, n, ...) as each look shows them: the part inside the view, in its coordinates."""
-    met = lines.join(captures.select("page_id", "stop", "scroll_y"), "page_id")
+def _seen(lines: DataFrame) -> DataFrame:
+    """``lines`` (page_id, at, n, ...) as each look shows them: the part inside the view, in its coordinates."""
+    met = _looks(lines, *[c for c in lines.columns if c not in ("page_id", "at")])
     top = F.col("n") * LINE + F.pmod(F.col("page_id") + F.col("stop"), F.lit(4)) - F.col("scroll_y")
     rows = met.withColumn("_top", top).where((F.col("_top") < VIEW) & (F.col("_top") + LINE > 0))
     y = F.greatest(F.col("_top"), F.lit(0))
     return rows.withColumn("position", geom.rect(0, y, WIDTH, F.least(F.col("_top") + LINE, F.lit(VIEW)) - y)).withColumn("ord", F.col("n").cast("long")).drop("_top", "scroll_y", "n")
 
 
-def _found(spark, sf_dir, captures: DataFrame) -> DataFrame:
-    seen = _seen(categorised(_lines(spark, sf_dir)).drop("text"), captures)
+def _found(spark, sf_dir) -> DataFrame:
+    seen = _seen(categorised(_lines(spark, sf_dir)).drop("text"))
     return seen.withColumns({"source": F.when(F.col("ord") % 3 == 0, "ocr").otherwise("dom"), "reason": F.lit("line")})
 
 
-def _pictures(spark, sf_dir, captures: DataFrame) -> DataFrame:
+def _pictures(spark, sf_dir) -> DataFrame:
     """Every ninth line has a picture of 300 x 110 beside it, of which a look shows all or a part."""
-    met = _lines(spark, sf_dir).where("n % 9 = 4").select("page_id", "n").join(captures.select("page_id", "stop", "scroll_y"), "page_id")
+    met = _looks(_lines(spark, sf_dir).where("n % 9 = 4"), "n")
     rows = met.withColumn("_top", F.col("n") * LINE - F.col("scroll_y")).where((F.col("_top") < VIEW) & (F.col("_top") + 110 > 0))
     return rows.select("page_id", "stop", F.col("n").cast("long").alias("ord"), F.concat(F.lit("i"), F.col("n").cast("string")).alias("element_id"), F.lit("image").alias("element_type"), geom.rect(100, F.col("_top"), 300, 110).alias("position"))
 
@@ -89,24 +101,21 @@ gaps AS (SELECT * FROM unread a WHERE NOT EXISTS (SELECT 1 FROM stitched b WHERE
 
 @query(f"WITH {_LOOKS_SQL}, {_STITCHED_SQL} SELECT page_id, stop::INT AS stop, ord, category, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS width, h::DOUBLE AS height FROM stitched")
 def scan_stitched(spark, sf_dir):
-    captures = _captures(spark, sf_dir)
-    found = scan.stitched(_found(spark, sf_dir, captures), scan.walked(captures))
+    found = scan.stitched(_found(spark, sf_dir), scan.walked(_captures(spark, sf_dir)))
     return found.select("page_id", "stop", "ord", "category", "position.*")
 
 
 @query(f"WITH {_LOOKS_SQL}, {_STITCHED_SQL} SELECT f.seen - s.kept AS merged, f.seen AS sightings, s.kept AS findings FROM (SELECT count(*) AS seen FROM found) f, (SELECT count(*) AS kept FROM stitched) s")
 def scan_merges(spark, sf_dir):
-    captures = _captures(spark, sf_dir)
-    looks, found = scan.walked(captures), _found(spark, sf_dir, captures)
+    looks, found = scan.walked(_captures(spark, sf_dir)), _found(spark, sf_dir)
     both = scan.lifted(found, looks).select(F.lit(1).alias("seen"), F.lit(0).alias("kept")).union(scan.stitched(found, looks).select(F.lit(0), F.lit(1)))
     sums = both.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("sightings"), F.coalesce(F.sum("kept"), F.lit(0)).alias("findings"))
     return sums.select((F.col("sightings") - F.col("findings")).alias("merged"), "sightings", "findings")
 
 
 def _everything(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    captures = _captures(spark, sf_dir)
-    looks = scan.walked(captures)
-    return scan.everything(_found(spark, sf_dir, captures), _pictures(spark, sf_dir, captures), looks), looks
+    looks = scan.walked(_captures(spark, sf_dir))
+    return scan.everything(_found(spark, sf_dir), _pictures(spark, sf_dir), looks), looks
 
 
 @query(f"WITH {_LOOKS_SQL}, {_STITCHED_SQL}, {_UNREAD_SQL} SELECT page_id, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS width, h::DOUBLE AS height FROM gaps")
@@ -134,9 +143,9 @@ def scan_summary(spark, sf_dir):
     return told.select("page_id", "stops", "looks", "document_height", "truncated", "examined_to", "total", F.coalesce(F.try_element_at("counts", F.lit("email")), F.lit(0).cast("long")).alias("emails"))
 
 
-def _texts(spark, sf_dir, captures) -> tuple[DataFrame, DataFrame]:
+def _texts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """What the markup shows (every line but each tenth) and what is read (all but each fourth; each seventh misread)."""
-    seen = _seen(_lines(spark, sf_dir), captures)
+    seen = _seen(_lines(spark, sf_dir))
     misread = F.when(F.col("ord") % 7 == 2, F.reverse("text")).otherwise(F.col("text"))
     return seen.where("ord % 10 <> 9"), seen.where("ord % 4 <> 3").withColumn("text", misread)
 
@@ -157,14 +166,12 @@ sizes AS (SELECT page_id, count_if(side = 0) AS shown, count_if(side = 1) AS rea
 SELECT page_id, coalesce(agreed, 0) AS agreed, shown - coalesce(agreed, 0) AS shown_only, read - coalesce(agreed, 0) AS read_only FROM sizes LEFT JOIN agreed USING (page_id)
 """)
 def scan_reading(spark, sf_dir):
-    captures = _captures(spark, sf_dir)
-    shown, read = _texts(spark, sf_dir, captures)
-    told = scan.reading(shown, read, read.limit(0), scan.walked(captures))
+    shown, read = _texts(spark, sf_dir)
+    told = scan.reading(shown, read, read.limit(0), scan.walked(_captures(spark, sf_dir)))
     return told.select("page_id", "agreed", "shown_only", "read_only")
 
 
 @query(None)
 def screen_findings(spark, sf_dir):
-    captures = _captures(spark, sf_dir)
-    shown, read = _texts(spark, sf_dir, captures)
+    shown, read = _texts(spark, sf_dir)
     return scan.screen_findings(shown, read, classify_text, "page_id", "stop").select("page_id", "stop", "ord", "category", "confidence")
