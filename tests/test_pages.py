@@ -147,3 +147,43 @@ def test_no_batch_of_nodes_grows_with_a_page():
     sent = list(html._run(iter([pages])))
     assert max(b.num_rows for b in sent) <= 5_000 and sum(b.num_rows for b in sent) == 30_001
     assert sent[-1].to_pylist()[-1]["attrs"] == [("a", "1")] and sent[-1].to_pylist()[-1]["page_id"] == 3
+
+
+def test_grids_are_read_in_one_pass_over_their_pages(spark, tmp_path):
+    lines = [(k, 10 * k + n % 3, n, n) for k in range(40) for n in range(k % 7 + 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    cells = registry.QUERIES["grid_cells"](spark, str(tmp_path))
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Window" not in plan
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(map(tuple, cells.collect()), key=str) == sorted(db.execute(registry.ORACLES["grid_cells"]).fetchall(), key=str)
+
+
+def test_what_judges_nodes_is_compiled(spark):
+    """Above 8,000 bytes of a method the JVM doesn't compile it."""
+    found = html.elements(html.nodes(spark.createDataFrame([(1, "<p>x")], "page_id long, html string"), shown=True)).where("tag = 'b' and value rlike '^[0-9]+$'")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = found.select("page_id", "value", "column_header")._jdf.queryExecution().executedPlan()
+        made = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(plan)
+        sizes = [made.apply(k)._3().maxMethodCodeSize() for k in range(made.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8_000
+
+
+def test_plain_pages_are_read_as_all_others():
+    import random
+
+    pieces = ["<p>", "</p>", "<div>", '<div role="row">', '<b role="columnheader">', '<i role="cell">', '<table role="grid">', "</table>", "<tr>", "<th>", "<td>", '<td colspan="2">', "</b>", "</div>", "<br/>", '<label for="a">', "<label>", '<input id="a" />', '<A HREF="u">', "<option>", "<select>", " x ", "a &amp; b", "&lt", "é\n"]
+    chance = random.Random(4)
+    for _ in range(2_000):
+        page = "".join(chance.choices(pieces, k=chance.randint(0, 30)))
+        assert html.read(page) == html.read("<!-- to the library's parser -->" + page)
+
+
+def test_trees_of_pages_are_remembered_without_their_texts():
+    first, second = (html.read(f"<table><tr><th>{h}<tr><td>{v}</table><button>{v}</button>") for h, v in (("One", "a"), (" ", " b &amp; c")))
+    assert [(n["own"], n["header"], n["element_type"]) for n in first[2:]] == [("One", None, "text"), ("", None, None), ("a", "One", "text"), ("a", None, "button")]
+    assert [(n["own"], n["header"], n["element_type"]) for n in second[2:]] == [(" ", None, None), ("", None, None), (" b & c", None, "text"), (" b & c", None, "button")]

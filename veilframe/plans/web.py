@@ -33,7 +33,7 @@ SELECT page_id, count(*) AS links, count(DISTINCT said) AS texts, max(length(sai
   SELECT page_id, {_PLAIN.format(x="unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1))")} AS said FROM pages) GROUP BY page_id
 """)
 def page_links(spark, sf_dir):
-    links = _nodes(spark, sf_dir).where(html.kind() == "button").withColumn("said", html.squeezed(F.col("own")))
+    links = _nodes(spark, sf_dir).where("element_type = 'button'").withColumn("said", html.squeezed(F.col("own")))
     return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("said").alias("texts"), F.max(F.length("said")).cast("long").alias("longest"))
 
 
@@ -41,7 +41,7 @@ def page_links(spark, sf_dir):
 SELECT page_id, {_CUT.format(x="said", n=200)} AS heading FROM (SELECT page_id, {_READ.format(x="regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS said FROM pages WHERE contains(html, '<h1>')) WHERE said <> ''
 """)
 def page_headings(spark, sf_dir):
-    heads = _nodes(spark, sf_dir).where((F.col("tag") == "h1") & (html.kind() == "text"))
+    heads = _nodes(spark, sf_dir).where("tag = 'h1' and element_type = 'text'")
     return heads.select("page_id", html.clamped(F.col("own"), html.MOST_VALUE).alias("heading"))
 
 
@@ -78,9 +78,9 @@ def exported_maps(spark, sf_dir):
 
 def _grid_pages(spark, sf_dir) -> DataFrame:
     """A page for each order: a grid of its lines by roles, within a row of an outer grid. Every fifth has a header too many."""
-    cell = lambda c: F.concat(F.lit('<i role="gridcell"><b>'), F.col(c).cast("string"), F.lit("</b></i>"))
-    row = F.concat(F.lit('<div role="row"><div>'), cell("l_partkey"), F.lit("</div>"), cell("l_suppkey"), F.lit('</div>'))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    cell = lambda c: F.concat(F.lit('<i role="gridcell"><b>'), c.cast("string"), F.lit("</b></i>"))
+    row = lambda x: F.concat(F.lit('<div role="row"><div>'), cell(x["l_partkey"]), F.lit("</div>"), cell(x["l_suppkey"]), F.lit("</div>"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), row), "").alias("rows"))
     extra = F.when(F.col("l_orderkey") % 5 == 0, '<b role="columnheader">More').otherwise("")
     head = F.concat(F.lit('<p role="row"><b role="columnheader">Part <u>sort</u></b><b role="columnheader"><u>Supplier</u></b>'), extra, F.lit("</p>"))
     page = F.concat(F.lit('<section role="grid"><div role="row"><i role="cell">outer</i><table role="grid">'), head, F.col("rows"), F.lit("</table></div></section>"))
@@ -92,5 +92,6 @@ SELECT l_orderkey AS page_id, x.value, CASE WHEN l_orderkey % 5 > 0 THEN x.heade
 FROM (SELECT l_orderkey, unnest([{'value': l_partkey::VARCHAR, 'header': 'Part'}, {'value': l_suppkey::VARCHAR, 'header': 'Supplier'}]) AS x FROM lineitem) GROUP BY ALL
 """)
 def grid_cells(spark, sf_dir):
-    found = html.elements_of(_grid_pages(spark, sf_dir)).where("tag = 'b' and value rlike '^[0-9]+$'")
+    # pages come from a shuffle, so they lie on all cores already
+    found = html.elements(html.nodes(_grid_pages(spark, sf_dir), shown=True)).where("tag = 'b' and value rlike '^[0-9]+$'")
     return found.groupBy("page_id", "value", F.col("column_header").alias("header")).agg(F.count(F.lit(1)).alias("cells"))

@@ -1,9 +1,10 @@
 """Elements of raw pages: a small parser turns each page into node rows, Spark makes elements of them.
 
-``nodes`` parses whole pages in Arrow batches, one row per tag, with what a start tag knows of its ancestors.
-Everything else is joins and expressions: what a node is, its label, its value, its column's header, its
-row. Nodes are numbered in document order and know the last node below them, so what stands below a node is a
-range of numbers, and counts of what stands before both ends say which of a kind are inside (``inside``).
+``nodes`` parses whole pages in Arrow batches, one row per tag, with its kind and the texts that it refers to in its page:
+its label's, its option's, its column's header. Everything else is expressions and windows over these rows: which of its
+labels counts, its value, whether it stands for itself, its row and number. Nodes are numbered in document order and know the
+last node below them, so what stands below a node is a range of numbers, and counts of what stands before both ends say
+which of a kind are inside (``inside``).
 
 Broken markup is read as browsers do in the common cases: unknown end tags are ignored, an open paragraph,
 list item, option or table cell ends where the next begins, what is never closed ends with the page, a declaration
@@ -16,10 +17,14 @@ first node.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, partial
 from html import unescape
 from html.parser import HTMLParser
-from operator import itemgetter
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -52,49 +57,105 @@ _WHOLE_ROLES = frozenset(("button", "columnheader"))
 #: Roles of grids that are built without tables.
 GRIDS, GRID_CELLS, GRID_ROW, GRID_HEADER = ("table", "grid", "treegrid"), ("cell", "gridcell"), "row", "columnheader"
 _GRID_ROLES = {**dict.fromkeys(GRIDS, "grid"), **dict.fromkeys(GRID_CELLS, "grid_cell"), GRID_ROW: "grid_row"}
+#: Tags of nodes that change what those below them inherit, and of nodes that refer to others or are referred to.
+_MOVES = frozenset(("table", "thead", "tr", "td", "th", "label", "select", *CHROME, *ROWS))
+_REFERRED = frozenset(("label", "option", "td", "th"))
+_REFERRED_ROLES = frozenset((*GRIDS, *GRID_CELLS, GRID_HEADER))
+_SPEAKING = frozenset(TEXTS)
+_SPACE = " \t\n\x0b\f\r"  # what \s is to Spark
+_SPACES = re.compile(f"[{_SPACE}]+")
 _BEGUN = re.compile("<[A-Za-z/!?]")
-#: Start and end tags as most pages write them; all others, and those whose content is no markup, are left to the parser of the library.
-_START, _END = re.compile(r'<([A-Za-z][A-Za-z0-9]*)((?:[ \t\n]+[A-Za-z][-A-Za-z0-9]*="[^"<>&]*")*)[ \t\n]*>'), re.compile(r"</([A-Za-z][A-Za-z0-9]*)>")
-_ATTR = re.compile(r'([A-Za-z][-A-Za-z0-9]*)="([^"]*)"')
+#: Tags whose content is no markup.
 _RAW = frozenset("script style title textarea iframe noembed noframes noscript xmp plaintext".split())
+#: What stands between < and > of start and end tags as most pages write them; all others, and those whose content is no markup, are left to the parser of the library.
+_START = re.compile(r'([A-Za-z][A-Za-z0-9]*)((?:[ \t\n]+[A-Za-z][-A-Za-z0-9]*="[^"<>&]*")*)[ \t\n]*/?')
+_END = re.compile(r"/([A-Za-z][A-Za-z0-9]*)")
+_ATTR = re.compile(r'([A-Za-z][-A-Za-z0-9]*)="([^"]*)"')
+#: Tags are remembered by their text, and the trees of pages by their tags, as sites repeat them: how many, and of what length at most.
+_SOME_TAGS, _SHORT_TAG, _SOME_PAGES, _SHORT_PAGE = 4_096, 200, 128, 16_384
 #: Pages that are turned into nodes at a time, and nodes that are sent on at a time: they bound what a Python worker holds.
 _PAGES, _BATCH = 32, 5_000
 
-#: What a node knows of its nearest ancestors, itself included for those of its own kind: their numbers.
+#: What a node inherits from its nearest ancestors: their numbers, which for those of its own kind are its own.
 _NEAREST = ("label", "row", "select", "table", "line", "cell", "holder", "grid", "grid_row", "grid_cell")
+_OUTSIDE = {"skip": False, "chrome": False, **dict.fromkeys(_NEAREST), "head": False, "lines": None, "cells": None}
+#: A node's numbers and texts, what kind of element it is, if any, then what it refers to in its page: its label's number
+#: and text, the texts that aria-labelledby names, a select's option, the header of the column it is in.
 NODE = pa.struct(
-    [("node", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("own", pa.string()), ("whole", pa.string())] + [(n, pa.int32()) for n in _NEAREST] + [("head", pa.bool_())]
+    [("node", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("own", pa.string()), ("whole", pa.string()), ("row", pa.int32())]
+    + [("element_type", pa.string()), ("label", pa.int32()), ("label_text", pa.string()), ("labelled", pa.string()), ("chosen", pa.string()), ("header", pa.string())]
 )
-_DDL = "node int, last int, tag string, attrs map<string,string>, own string, whole string, " + ", ".join(f"{n} int" for n in _NEAREST) + ", head boolean"
+_DDL = "node int, last int, tag string, attrs map<string,string>, own string, whole string, row int, element_type string, label int, label_text string, labelled string, chosen string, header string"
+
+
+class _Tag(NamedTuple):
+    """A start tag, and what follows from it alone."""
+
+    name: str
+    attrs: dict[str, str]
+    skipped: bool
+    block: bool
+    void: bool
+    ends: tuple | None
+    moves: bool
+    whole: bool
+    refers: bool
+    kind: str | None
+    speaking: bool
+
+
+def _start(name: str, attrs: dict[str, str]) -> _Tag:
+    role = attrs.get("role")
+    return _Tag(
+        name,
+        attrs,
+        skipped=name in SKIPPED,
+        block=name in _BLOCKS,
+        void=name in _VOID,
+        ends=_ENDS.get(name),
+        moves=name in _MOVES or role in ROW_ROLES or role in _GRID_ROLES,
+        whole=name in _WHOLE or "contenteditable" in attrs or role in _WHOLE_ROLES,
+        refers=name in _REFERRED or "id" in attrs or "aria-labelledby" in attrs or role in _REFERRED_ROLES,
+        kind=(kind := _kind(name, attrs)),
+        speaking=kind is None and name in _SPEAKING,
+    )
 
 
-class _Reader(HTMLParser):
-    """One page's nodes. An open node is its row, with what its children inherit; ``places`` has the open ones of each tag.
+def _kind(name: str, attrs: dict[str, str]) -> str | None:
+    """input, button, image or null, whatever the node says; others are text if they are of TEXTS and say something."""
+    if name == "input":
+        declared = attrs.get("type", "").lower()
+        return None if declared == "hidden" else "button" if declared in BUTTON_INPUTS else "input"
+    if name in ("textarea", "select") or attrs.get("contenteditable") == "true":
+        return "input"
+    if name == "button" or (name == "a" and "href" in attrs) or attrs.get("role") == "button":
+        return "button"
+    return "image" if name in IMAGES else None
 
-    Each tag is opened and closed once, and a node's text is a piece of the page's: nothing is looked for along the open nodes.
-    """
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.made: list[dict] = []
-        self.open: list[tuple[str, dict | None, dict]] = []
-        self.places: dict[str, list[int]] = {}
-        self.said: list[str] = []
-        self.size = 0
+def _read_tag(tag: str) -> _Tag | str | None:
+    """A start tag, the name of an end tag, or None if the tag is not as most are."""
+    if met := _END.fullmatch(tag):
+        return met[1].lower()
+    if (met := _START.fullmatch(tag)) and (name := met[1].lower()) not in _RAW:
+        return _start(name, {k.lower(): v for k, v in reversed(_ATTR.findall(met[2]))})
+    return None
 
-    def _inherited(self) -> dict:
-        return self.open[-1][2] if self.open else {"skip": False, "chrome": False, **dict.fromkeys(_NEAREST), "head": False, "lines": None, "cells": None}
 
-    def _close(self, at: int) -> None:
-        """Ends the open nodes from place ``at`` on."""
-        for tag, node, _ in reversed(self.open[at:]):
-            self.places[tag].pop()
-            if node is not None:
-                node["last"], node["upto"] = len(self.made) - 1, self.size
-        del self.open[at:]
+_known_tag = lru_cache(_SOME_TAGS)(_read_tag)
+
+
+def _plain(tag: str) -> _Tag | str | None:
+    return _known_tag(tag) if len(tag) <= _SHORT_TAG else _read_tag(tag)
+
+
+class _Reader(HTMLParser):
+    """The tags of a page that is not plain, each with the text before it: a start tag, the name of an end tag, or None behind further text."""
 
-    def _nearest(self, tags: tuple[str, ...]) -> int:
-        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.tags: list[_Tag | str | None] = []
+        self.texts: list[str] = []
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         return self.parse_bogus_comment(i)  # what browsers make of any "<!["
@@ -107,72 +168,247 @@ class _Reader(HTMLParser):
         return j  # nobody asks for lines
 
     def parse_starttag(self, i: int) -> int:
-        met = _START.match(self.rawdata, i)
-        if not met or (tag := met[1].lower()) in _RAW:
-            return super().parse_starttag(i)
-        self.handle_starttag(tag, [(k.lower(), v) for k, v in _ATTR.findall(met[2])] if met[2] else [])
-        return met.end()
+        return self._plain_tag(_START, i) or super().parse_starttag(i)
 
     def parse_endtag(self, i: int) -> int:
-        met = None if self.cdata_elem else _END.match(self.rawdata, i)
-        if not met:
-            return super().parse_endtag(i)
-        self.handle_endtag(met[1].lower())
-        return met.end()
+        return (None if self.cdata_elem else self._plain_tag(_END, i)) or super().parse_endtag(i)
+
+    def _plain_tag(self, kind: re.Pattern, i: int) -> int | None:
+        """Takes the tag at place ``i``, if it is plain; where it ends."""
+        met = kind.match(self.rawdata, i + 1)
+        if not met or not self.rawdata.startswith(">", met.end()) or (tag := _plain(met[0])) is None:
+            return None
+        self.texts.append("")
+        self.tags.append(tag)
+        return met.end() + 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _BLOCKS:
-            self.handle_endtag("p")
-        if tag in _ENDS:
-            own, limit = map(self._nearest, _ENDS[tag])
-            if own > limit:
-                self._close(own)
-        up = down = self._inherited()
-        named = {k: v or "" for k, v in reversed(attrs)}
-        node = None
-        if tag in SKIPPED and not up["skip"]:
-            down = up | {"skip": True}
-        elif not up["skip"]:
-            number, role = len(self.made), named.get("role")
-            if tag == "table":
-                down = down | {"table": number, "line": None, "cell": None, "holder": None, "head": False, "lines": [0]}
-            elif tag == "thead":
-                down = down | {"head": True}
-            elif tag == "tr" and up["lines"]:
-                down = down | {"line": up["lines"][0], "cells": [0]}
-                up["lines"][0] += 1
-            elif tag in _CELLS and up["cells"]:
-                down = down | {"cell": up["cells"][0], "holder": number}
-                up["cells"][0] += 1
-            elif tag in CHROME:
-                down = down | {"chrome": True}
-            if tag in ROWS or role in ROW_ROLES:
-                down = down | {"row": None if down["chrome"] else number}
-            if role in _GRID_ROLES:
-                down = down | {_GRID_ROLES[role]: number}
-            node = {"node": number, "tag": tag, "attrs": named, "own": [], "from": self.size, "near": down}
-            self.made.append(node)
-            if tag in ("label", "select"):
-                down = down | {tag: number}
-        if tag not in _VOID:
-            self.places.setdefault(tag, []).append(len(self.open))
-            self.open.append((tag, node, down))
-        elif node is not None:
-            node["last"], node["upto"] = node["node"], self.size
+        self._add("", _start(tag, {k: v or "" for k, v in reversed(attrs)}))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if at := self.places.get(tag):
-            self._close(at[-1])
+        self._add("", tag)
 
     def handle_data(self, data: str) -> None:
-        if self.open and not self.open[-1][2]["skip"]:
-            self.said.append(data)
-            self.size += len(data)
-            if self.open[-1][1] is not None:
-                self.open[-1][1]["own"].append(data)
+        self._add(data, None)
+
+    def _add(self, text: str, tag: _Tag | str | None) -> None:
+        self.texts.append(text)
+        self.tags.append(tag)
+
+
+class _Tree:
+    """The nodes that a sequence of tags makes, and which of them refers to which, whatever the texts between the tags say.
+
+    There is a text before each tag and one behind the last; ``owner`` has the node that each belongs to, and those below a
+    node are the ones from its ``begun`` to its ``upto``. An open node is its tag, its number and what its children
+    inherit; ``places`` has the open ones of each tag. Each tag is opened and closed once: nothing is looked for along the open nodes.
+    """
+
+    def __init__(self, tags: Iterable[_Tag | str | None]):
+        self.tags: list[_Tag] = []
+        self.nears: list[dict] = []
+        self.last: list[int] = []
+        self.begun: list[int] = []
+        self.upto: list[int] = []
+        self.row: list[int | None] = []
+        self.referring: list[int] = []
+        self.owner: list[int | None] = []
+        self.open: list[tuple[str, int | None, dict]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        for tag in tags:
+            self.owner.append(self.open[-1][1] if self.open else None)
+            if isinstance(tag, str):
+                self._end(tag)
+            elif tag is not None:
+                self._begin(tag)
+        self.owner.append(self.open[-1][1] if self.open else None)
+        self._close(0)
+        self._refer()
+        del self.nears, self.referring, self.open, self.places
+
+    def _close(self, at: int) -> None:
+        """Ends the open nodes from place ``at`` on."""
+        opened, places, last, upto = self.open, self.places, len(self.tags) - 1, len(self.owner)
+        while len(opened) > at:
+            name, node, _ = opened.pop()
+            places[name].pop()
+            if node is not None:
+                self.last[node], self.upto[node] = last, upto
+
+    def _nearest(self, names: tuple[str, ...]) -> int:
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=-1)
+
+    def _end(self, name: str) -> None:
+        if at := self.places.get(name):
+            self._close(at[-1])
+
+    def _begin(self, tag: _Tag) -> None:
+        if tag.block:
+            self._end("p")
+        if tag.ends:
+            own, limit = map(self._nearest, tag.ends)
+            if own > limit:
+                self._close(own)
+        near = below = self.open[-1][2] if self.open else _OUTSIDE
+        node = None
+        if not near["skip"]:
+            if tag.skipped:
+                below = near | {"skip": True}
+            else:
+                node = len(self.tags)
+                if tag.moves:
+                    near, below = self._moved(tag, near, node)
+                self.tags.append(tag)
+                self.nears.append(near)
+                self.last.append(node)
+                self.begun.append(len(self.owner))
+                self.upto.append(len(self.owner))
+                self.row.append(near["row"])
+                if tag.refers:
+                    self.referring.append(node)
+        if not tag.void:
+            self.places[tag.name].append(len(self.open))
+            self.open.append((tag.name, node, below))
+
+    @staticmethod
+    def _moved(tag: _Tag, up: dict, node: int) -> tuple[dict, dict]:
+        """What a node inherits, with its own number for its own kind, and what those below it inherit."""
+        name, role, near = tag.name, tag.attrs.get("role"), up.copy()
+        if name == "table":
+            near |= {"table": node, "line": None, "cell": None, "holder": None, "head": False, "lines": [0]}
+        elif name == "thead":
+            near["head"] = True
+        elif name == "tr" and up["lines"]:
+            near["line"], near["cells"] = up["lines"][0], [0]
+            up["lines"][0] += 1
+        elif name in _CELLS and up["cells"]:
+            near["cell"], near["holder"] = up["cells"][0], node
+            up["cells"][0] += 1
+        elif name in CHROME:
+            near["chrome"] = True
+        if name in ROWS or role in ROW_ROLES:
+            near["row"] = None if near["chrome"] else node
+        if role in _GRID_ROLES:
+            near[_GRID_ROLES[role]] = node
+        return near, near | {name: node} if name in ("label", "select") else near
+
+    def _refer(self) -> None:
+        tags, nears = self.tags, self.nears
+        ids, named, labels, chosen, cells, grids, heads, grid_cells = {}, {}, None, {}, [], [], [], []
+        for k in self.referring:
+            tag, near = tags[k], nears[k]
+            role = tag.attrs.get("role")
+            if "id" in tag.attrs:
+                ids.setdefault(tag.attrs["id"], k)
+            if by := tag.attrs.get("aria-labelledby"):
+                named[k] = by
+            if tag.name == "label":
+                labels = {} if labels is None else labels
+                if "for" in tag.attrs:
+                    labels.setdefault(tag.attrs["for"], k)
+            elif tag.name == "option" and near["select"] is not None:
+                if "selected" in tag.attrs or near["select"] not in chosen:
+                    chosen[near["select"]] = k
+            elif tag.name in _CELLS and near["table"] is not None and near["line"] is not None and near["cell"] is not None:
+                cells.append(k)
+            if role == GRID_HEADER:
+                heads.append(k)
+            elif role in GRIDS:
+                grids.append(k)
+            elif role in GRID_CELLS and near["grid_row"] is not None and near["grid"] is not None:
+                grid_cells.append(k)
+        self.label = [] if labels is None else [labels.get(tag.attrs.get("id"), near["label"]) for tag, near in zip(tags, nears, strict=True)]
+        self.labelled = {k: [ids.get(i) for i in _SPACES.split(by)] for k, by in named.items()}
+        self.chosen = chosen
+        self.header: dict[int, int] = {}
+        if in_table := self._headers(cells):
+            self.header = {k: in_table.get((near["table"], near["cell"])) for k, near in enumerate(nears) if near["cell"] is not None and tags[near["holder"]].name == "td"}
+        in_grid = self._grid_headers(grids, heads, grid_cells)
+        if grid_cells or self.header:
+            self.header |= {k: in_grid.get(near["grid_cell"]) for k, near in enumerate(nears) if near["grid_cell"] is not None}
+        self.headers = {k for k in self.header.values() if k is not None}
+        asked = {i for by in named.values() for i in by.split()}
+        self.wholes = [k for k, tag in enumerate(tags) if tag.whole or (asked and tag.attrs.get("id") in asked)]
+        self.kinds = {k: tag.kind for k, tag in enumerate(tags) if tag.kind is not None}
+
+    def _headers(self, cells: list[int]) -> dict[tuple[int, int], int]:
+        """By table and column, the cells of each table's header row: the last of its head or a first row of header cells only.
+
+        A header row with a cell over several columns names none.
+        """
+        tags, nears = self.tags, self.nears
+        lines: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for k in cells:
+            lines[nears[k]["table"], nears[k]["line"]].append(k)
+        named: dict[int, list[int]] = {}
+        for (table, line), row in sorted(lines.items()):
+            if any(nears[k]["head"] for k in row) or (line == 0 and all(tags[k].name == "th" for k in row)):
+                named[table] = row
+        found: dict[tuple[int, int], int] = {}
+        for table, row in named.items():
+            if not any(_wide(tags[k].attrs.get("colspan", "")) for k in row):
+                for k in row:
+                    found.setdefault((table, nears[k]["cell"]), k)
+        return found
+
+    def _grid_headers(self, grids: list[int], heads: list[int], cells: list[int]) -> dict[int, int]:
+        """The header of each cell of grids made by roles.
+
+        A grid's header row is the row of the first column header below it. A cell's place among the cells of its row names its
+        header, if the header row has as many headers below it as the row has cells.
+        """
+        nears, last = self.nears, self.last
+        spans: dict[int, tuple[int, int]] = {}  # by grid, from which to which of the heads its header row has
+        for k in grids:
+            first = bisect_right(heads, k)
+            if first < len(heads) and heads[first] <= last[k] and (row := nears[heads[first]]["grid_row"]) is not None:
+                spans[k] = bisect_right(heads, row), bisect_right(heads, last[row])
+        rows: dict[int, list[int]] = defaultdict(list)
+        for k in cells:
+            rows[nears[k]["grid_row"]].append(k)
+        found: dict[int, int] = {}
+        for row in rows.values():
+            for place, k in enumerate(row):
+                start, end = spans.get(nears[k]["grid"], (0, 0))
+                if end - start == len(row):
+                    found[k] = heads[start + place]
+        return found
+
+
+def _wide(colspan: str) -> bool:
+    """Whether a cell is over several columns."""
+    span = re.sub(r"[^\S\x85\xa0\u2007\u202f]", "", colspan)
+    return re.fullmatch(r"\d{1,4}", span) is not None and int(span) > 1
+
+
+def _tree(tags: tuple[str, ...]) -> _Tree | None:
+    """The tree of a page that has no other than plain tags, else None."""
+    read = []
+    for tag in tags:
+        if (t := _plain(tag)) is None:
+            return None
+        read.append(t)
+    return _Tree(read)
+
+
+_known_tree = lru_cache(_SOME_PAGES)(_tree)
+
+
+def _taken(page: str) -> tuple[_Tree, list[str]]:
+    """A page's tree and its texts."""
+    before, *parts = page.split("<")
+    tags, ends, texts = zip(*[p.partition(">") for p in parts], strict=True) if parts else ((), (), ())
+    if "" not in ends and (tree := (_known_tree if len(page) <= _SHORT_PAGE else _tree)(tags)):
+        return tree, [unescape(t) for t in (before, *texts)] if "&" in page else [before, *texts]
+    reader = _Reader()
+    end = page.rfind(">") + 1  # behind the last one no tag is whole: what has begun there is dropped
+    reader.feed(page[:end])
+    reader.close()
+    rest = "" if reader.cdata_elem else unescape(_BEGUN.split(page[end:], maxsplit=1)[0])
+    return _Tree(reader.tags), [*reader.texts, rest]
 
 
 def _enough(text: str, start: int, end: int) -> str:
@@ -183,60 +419,89 @@ def _enough(text: str, start: int, end: int) -> str:
     return some
 
 
+def _header_text(own: str, whole: str) -> str | None:
+    """A header's own text, or its whole one; ``clamped``."""
+    text = _SPACES.sub(" ", own).strip(" ") or _SPACES.sub(" ", whole).strip(" ")
+    return f"{text[:MOST_LABEL]}…" if len(text) > MOST_LABEL else text or None
+
+
+def _columns(page: str | None, shown: bool = False) -> dict[str, list]:
+    """The nodes of one page in document order, a list for each field of NODE; or, in any order, those that are elements (``shown``)."""
+    tree, texts = _taken(page or "")
+    tags, said = tree.tags, defaultdict(list)
+    for k, text in zip(tree.owner, texts, strict=True):
+        if text and k is not None:
+            said[k].append(text)
+    own = {k: "".join(some) for k, some in said.items()}
+    whole = {}
+    if tree.wholes:
+        kept = [text if k is not None else "" for k, text in zip(tree.owner, texts, strict=True)]
+        text, at = "".join(kept), [0, *accumulate(map(len, kept))]
+        whole = {k: _enough(text, at[tree.begun[k]], at[tree.upto[k]]) for k in tree.wholes}
+    headers = {k: _header_text(own.get(k, ""), whole[k]) for k in tree.headers}
+    spoken = [k for k, text in own.items() if tags[k].speaking and text.strip(_SPACE)]
+    kinds = tree.kinds | dict.fromkeys(spoken, "text")
+    wanted = list(kinds if shown else range(len(tags)))
+    none = [None] * len(wanted)
+    return {
+        "node": wanted,
+        "last": [tree.last[k] for k in wanted],
+        "tag": [tags[k].name for k in wanted],
+        "attrs": [tags[k].attrs for k in wanted],
+        "own": [own.get(k, "") for k in wanted],
+        "whole": [whole.get(k) for k in wanted] if whole else none,
+        "row": [tree.row[k] for k in wanted],
+        "element_type": [kinds.get(k) for k in wanted],
+        "label": [tree.label[k] for k in wanted] if tree.label else none,
+        "label_text": [whole.get(tree.label[k]) for k in wanted] if tree.label else none,
+        "labelled": [" ".join([whole.get(i, "") for i in by]) if (by := tree.labelled.get(k)) else None for k in wanted] if tree.labelled else none,
+        "chosen": [whole.get(tree.chosen.get(k)) for k in wanted] if tree.chosen else none,
+        "header": [headers.get(tree.header.get(k)) for k in wanted] if headers else none,
+    }
+
+
 def read(page: str | None) -> list[dict]:
-    """The nodes of one page in document order; those below node n are n + 1 to its ``last``, and ``near`` has what it inherits."""
-    reader, page = _Reader(), page or ""
-    whole = page.rfind(">") + 1  # behind the last one no tag is whole: what has begun there is dropped
-    reader.feed(page[:whole])
-    reader.close()
-    if not reader.cdata_elem:
-        reader.handle_data(unescape(_BEGUN.split(page[whole:], maxsplit=1)[0]))
-    reader._close(0)
-    asked = {i for n in reader.made for i in n["attrs"].get("aria-labelledby", "").split()}
-    text = "".join(reader.said)
-    for n in reader.made:
-        a = n["attrs"]
-        whole = n["tag"] in _WHOLE or "contenteditable" in a or a.get("role") in _WHOLE_ROLES or (asked and a.get("id") in asked)
-        start, end = n.pop("from"), n.pop("upto")
-        n["own"], n["whole"] = "".join(n["own"]), _enough(text, start, end) if whole else None
-    return reader.made
-
-
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of one page in document order, each with what it refers to; those below node n are n + 1 to its ``last``."""
+    columns = _columns(page)
+    return [dict(zip(columns, node, strict=True)) for node in zip(*columns.values(), strict=True)]
+
+
+def _run(batches: Iterator[pa.RecordBatch], shown: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, found = [], []
+        ids, found = [], {f.name: [] for f in NODE}
         for at in range(0, batch.num_rows, _PAGES):
             part = batch.slice(at, _PAGES)
             for page, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                made = read(text)
-                for k in range(0, len(made), _BATCH):
-                    ids += [page] * len(made[k : k + _BATCH])
-                    found += made[k : k + _BATCH]
-                    if len(found) >= _BATCH:
-                        yield _rows(ids, found)
-                        ids, found = [], []
-        yield _rows(ids, found)
-
-
-def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(page_id, node, tag, attrs, own, whole, ...) of every tag of every page."""
+                columns = _columns(text, shown)
+                made = len(columns["node"])
+                if ids and len(ids) + made > _BATCH:
+                    yield from _rows(ids, found)
+                    ids, found = [], {f.name: [] for f in NODE}
+                ids += [page] * made
+                for name, column in columns.items():
+                    found[name] += column
+        yield from _rows(ids, found)
+
+
+def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", shown: bool = False) -> DataFrame:
+    """(page_id, node, tag, attrs, own, whole, ...) of every tag of every page, or of those that are elements (``shown``)."""
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(html).alias("html")).where("html is not null")
 
-    return rows.mapInArrow(_run, f"page_id long, {_DDL}")
+    return rows.mapInArrow(partial(_run, shown=shown), f"page_id long, {_DDL}")
 
 
-def _rows(ids: list, found: list[dict]) -> pa.RecordBatch:
-    ends, names, values = [0], [], []
-    for n in found:
-        if n["attrs"]:
-            names += n["attrs"]
-            values += n["attrs"].values()
-        ends.append(len(names))
-    columns = {"attrs": pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string()))}
-    inherited = (*_NEAREST, "head")
-    columns |= dict(zip(inherited, zip(*map(itemgetter(*inherited), map(itemgetter("near"), found)), strict=True), strict=True)) if found else dict.fromkeys(inherited, [])
-    arrays = [columns["attrs"] if f.name == "attrs" else pa.array(columns[f.name] if f.name in columns else [n[f.name] for n in found], f.type) for f in NODE]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *arrays], names=["page_id", *[f.name for f in NODE]])
+def _rows(ids: list[int], found: dict[str, list]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(ids), _BATCH):
+        part = {name: column[at : at + _BATCH] for name, column in found.items()}
+        ends, names, values = [0], [], []
+        for attrs in part["attrs"]:
+            if attrs:
+                names += attrs
+                values += attrs.values()
+            ends.append(len(names))
+        attrs = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string()))
+        arrays = [attrs if f.name == "attrs" else pa.array(part[f.name], f.type) for f in NODE]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + _BATCH], pa.int64()), *arrays], names=["page_id", *[f.name for f in NODE]])
 
 
 def squeezed(text: Column) -> Column:
@@ -245,8 +510,8 @@ def squeezed(text: Column) -> Column:
 
 def clamped(text: Column, most: int) -> Column:
     """White space squeezed, cut at ``most`` characters with a mark; null if nothing is left."""
-    clean = F.nullif(squeezed(text), F.lit(""))
-    return F.when(F.length(clean) > most, F.concat(F.substring(clean, 1, most), F.lit("…"))).otherwise(clean)
+    cut = F.regexp_replace(squeezed(text), f"(?s)^(.{{{most}}}).+", "$1…")
+    return F.get(F.array_remove(F.array(cut), F.lit("")), F.lit(0))  # as nullif, which would compute it twice
 
 
 def _attr(name: str) -> Column:
@@ -257,18 +522,6 @@ def input_type() -> Column:
     return F.when(F.col("tag") == "input", F.lower(F.coalesce(F.nullif(_attr("type"), F.lit("")), F.lit("text"))))
 
 
-def kind() -> Column:
-    """input, button, text, image or null, of a node."""
-    tag, role = F.col("tag"), _attr("role")
-    return (
-        F.when(tag == "input", F.when(input_type() != "hidden", F.when(input_type().isin(*BUTTON_INPUTS), "button").otherwise("input")))
-        .when(tag.isin("textarea", "select") | (_attr("contenteditable") == "true"), "input")
-        .when((tag == "button") | ((tag == "a") & F.map_contains_key("attrs", F.lit("href"))) | (role == "button"), "button")
-        .when(tag.isin(*IMAGES), "image")
-        .when(tag.isin(*TEXTS) & F.col("own").rlike(r"\S"), "text")
-    )
-
-
 def is_password() -> Column:
     return (F.col("tag") == "input") & ((input_type() == "password") | F.lower(F.coalesce(_attr("autocomplete"), F.lit(""))).isin("current-password", "new-password"))
 
@@ -276,47 +529,36 @@ def is_password() -> Column:
 def elements(found: DataFrame) -> DataFrame:
     """(page_id, ord, element_id, element_type, tag, label, value, input_type, autocomplete, name, placeholder, column_header, row) of ``nodes``.
 
-    ``found`` is read several times: write it first where pages are many. Ids are of one capture, in document order. A
+    ``found`` is read once, and only its numbering deals it by page. Ids are of one capture, in document order. A
     label's own text is no element of its own if it labels an input or button.
     """
     page = Window.partitionBy("page_id")
-    kinds = found if "element_type" in found.columns else found.withColumn("element_type", kind())
-    ids = found.where(F.map_contains_key("attrs", F.lit("id"))).groupBy("page_id", _attr("id").alias("id")).agg(F.min_by("whole", "node").alias("said"))
-    labels = found.where("tag = 'label'")
-    named = labels.where(F.map_contains_key("attrs", F.lit("for"))).groupBy("page_id", _attr("for").alias("id")).agg(F.min(F.struct("node", "whole")).alias("by_id"))
-    around = labels.select("page_id", F.col("node").alias("label"), F.col("whole").alias("around"))
-    options = found.where("tag = 'option' and select is not null").groupBy("page_id", F.col("select").alias("node"))
-    chosen = options.agg(F.coalesce(F.max_by(F.when(F.map_contains_key("attrs", F.lit("selected")), F.col("whole")), F.when(F.map_contains_key("attrs", F.lit("selected")), F.col("node"))), F.min_by("whole", "node")).alias("chosen"))
-    own = kinds.where("element_type is not null")
-    asked = found.where(F.coalesce(_attr("aria-labelledby"), F.lit("")) != "").select("page_id", "node", F.posexplode(F.split(_attr("aria-labelledby"), r"\s+")).alias("n", "id"))
-    said = asked.join(ids, ["page_id", "id"], "left").groupBy("page_id", "node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("said", F.lit("")).alias("said")))), lambda x: x["said"]), " ").alias("labelled"))
-    rows = own.withColumn("_id", _attr("id")).join(named.withColumnRenamed("id", "_id"), ["page_id", "_id"], "left").join(around, ["page_id", "label"], "left").join(said, ["page_id", "node"], "left").join(chosen, ["page_id", "node"], "left")
-    rows = rows.join(headers(found), ["page_id", "table", "cell"], "left").join(grid_headers(found), ["page_id", "grid_cell"], "left")
     pressed = F.col("tag").isin("button", "a") | (_attr("role") == "button")
-    by_label = F.coalesce(F.col("by_id.whole"), F.col("around"))
     label = F.coalesce(
         F.nullif(_attr("aria-label"), F.lit("")),
         F.nullif(squeezed(F.col("labelled")), F.lit("")),
-        F.nullif(by_label, F.lit("")),
+        F.nullif(F.col("label_text"), F.lit("")),
         F.nullif(_attr("placeholder"), F.lit("")),
         F.nullif(_attr("title"), F.lit("")),
         F.when(pressed, F.nullif(squeezed(F.col("whole")), F.lit(""))),
         F.when(F.col("tag") == "img", F.nullif(_attr("alt"), F.lit(""))),
         F.nullif(_attr("name"), F.lit("")),
     )
-    value = (
+    said = (
         F.when(is_password(), F.when(F.coalesce(_attr("value"), F.lit("")) != "", HAS_VALUE))
         .when(input_type().isin("checkbox", "radio"), F.when(F.map_contains_key("attrs", F.lit("checked")), "checked").otherwise("unchecked"))
-        .when(F.col("tag") == "input", clamped(_attr("value"), MOST_VALUE))
-        .when(F.col("tag") == "select", clamped(F.col("chosen"), MOST_VALUE))
-        .when((F.col("tag") == "textarea") | (_attr("contenteditable") == "true"), clamped(F.col("whole"), MOST_VALUE))
-        .otherwise(clamped(F.col("own"), MOST_VALUE))
+        .when(F.col("tag") == "input", _attr("value"))
+        .when(F.col("tag") == "select", F.col("chosen"))
+        .when((F.col("tag") == "textarea") | (_attr("contenteditable") == "true"), F.col("whole"))
+        .otherwise(F.col("own"))
     )
-    header = F.when(F.col("grid_cell").isNotNull(), F.col("grid_header")).when(F.col("cell").isNotNull() & (F.col("holder_tag") == "td"), F.col("header"))
-    holders = found.where("tag = 'td'").select("page_id", F.col("node").alias("holder"), F.lit("td").alias("holder_tag"))
-    rows = rows.join(holders, ["page_id", "holder"], "left").withColumn("_label", clamped(label, MOST_LABEL)).withColumn("_value", value)
-    used = rows.where("element_type in ('input', 'button')").where(F.col("_label") == clamped(by_label, MOST_LABEL)).select("page_id", F.coalesce("by_id.node", "label").alias("node")).distinct()
-    kept = rows.join(used.withColumn("_used", F.lit(True)), ["page_id", "node"], "left").where("element_type <> 'text' or tag <> 'label' or _used is null")
+    rows = found.where("element_type is not null").withColumn("_label", clamped(label, MOST_LABEL)).withColumn("_value", clamped(said, MOST_VALUE))
+    labels = (F.col("element_type") == "text") & (F.col("tag") == "label")
+    user = F.col("element_type").isin("input", "button") & (F.col("_label") == clamped(F.col("label_text"), MOST_LABEL))
+    # beside a label's text come, if there are any, those that it labels
+    beside = rows.withColumn("_of", F.when(user, F.col("label")).when(labels, F.col("node")))
+    met = beside.withColumn("_used", F.lag("_of").over(page.orderBy("_of", F.coalesce(labels, F.lit(False)))))
+    kept = met.where("element_type <> 'text' or tag <> 'label' or _used is null or _used <> _of")
     seen = F.min("node").over(Window.partitionBy("page_id", "row"))
     numbered = kept.withColumn("ord", (F.row_number().over(page.orderBy("node")) - 1)).withColumn("_seen", F.when(F.col("row").isNotNull(), seen))
     in_order = F.dense_rank().over(page.orderBy(F.col("_seen").asc_nulls_last()))
@@ -332,19 +574,19 @@ def elements(found: DataFrame) -> DataFrame:
         _attr("autocomplete").alias("autocomplete"),
         _attr("name").alias("name"),
         _attr("placeholder").alias("placeholder"),
-        header.alias("column_header"),
+        F.col("header").alias("column_header"),
         F.when(F.col("_seen").isNotNull(), in_order).alias("row"),
     )
 
 
 def elements_of(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """``elements`` of raw pages, each parsed once, as several joins read the nodes."""
-    return elements(parsed(pages, key, html))
+    """``elements`` of raw pages, in one pass over them."""
+    return elements(nodes(spread(pages.select(key, html)), key, html, shown=True))
 
 
 def parsed(pages: DataFrame, key: str = "page_id", html: str = "html", only: str = "true") -> DataFrame:
-    """The ``nodes`` for which ``only`` holds, with their kind as ``element_type``, written to the shared folder: pages are parsed once."""
-    return written(nodes(spread(pages.select(key, html)), key, html).where(only).withColumn("element_type", kind()), "nodes")
+    """The ``nodes`` for which ``only`` holds, written to the shared folder: pages are parsed once."""
+    return written(nodes(spread(pages.select(key, html)), key, html).where(only), "nodes")
 
 
 def inside(containers: DataFrame, items: DataFrame) -> DataFrame:
@@ -357,43 +599,3 @@ def inside(containers: DataFrame, items: DataFrame) -> DataFrame:
     seen = F.sum("item").over(Window.partitionBy("page_id").orderBy("at", F.desc("item")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     counted = marks.withColumn("_n", seen).where("item = 0")
     return counted.groupBy("page_id", "node").agg(F.max(F.when(~F.col("end"), F.col("_n"))).alias("before"), F.max(F.when(F.col("end"), F.col("_n"))).alias("upto"))
-
-
-def _header_text() -> Column:
-    return F.coalesce(clamped(F.col("own"), MOST_LABEL), clamped(F.col("whole"), MOST_LABEL))
-
-
-def grid_headers(found: DataFrame) -> DataFrame:
-    """(page_id, grid_cell, grid_header): the header of each cell of grids made by roles.
-
-    A grid's header row is the row of the first column header below it. A cell's place among the cells of its row names its
-    header, if the header row has as many headers below it as the row has cells.
-    """
-    role = _attr("role")
-    page = Window.partitionBy("page_id").orderBy("node")
-    heads = found.where(role == GRID_HEADER).select("page_id", "node", "grid_row", _header_text().alias("grid_header"), F.row_number().over(page).alias("number"))
-    grids = found.where(role.isin(*GRIDS)).select("page_id", "node", "last")
-    first = inside(grids, heads).where("upto > before").select("page_id", F.col("node").alias("grid"), (F.col("before") + 1).alias("number"))
-    rows = first.join(heads.select("page_id", "number", F.col("grid_row").alias("head_row")), ["page_id", "number"]).where("head_row is not null").select("page_id", "grid", "head_row")
-    spans = found.where(role == GRID_ROW).select("page_id", "node", "last").join(rows.select("page_id", F.col("head_row").alias("node")).distinct(), ["page_id", "node"], "left_semi")
-    headed = rows.join(inside(spans, heads).select("page_id", F.col("node").alias("head_row"), "before", "upto"), ["page_id", "head_row"])
-    cells = found.where(role.isin(*GRID_CELLS) & F.col("grid_row").isNotNull() & F.col("grid").isNotNull()).select("page_id", "node", "grid_row", "grid")
-    own = Window.partitionBy("page_id", "grid_row")
-    placed = cells.withColumns({"k": F.row_number().over(own.orderBy("node")), "n": F.count(F.lit(1)).over(own)})
-    met = placed.join(headed, ["page_id", "grid"]).where(F.col("n") == F.col("upto") - F.col("before"))
-    named = met.select("page_id", F.col("node").alias("grid_cell"), (F.col("before") + F.col("k")).alias("number"))
-    return named.join(heads.select("page_id", "number", "grid_header"), ["page_id", "number"]).select("page_id", "grid_cell", "grid_header")
-
-
-def headers(found: DataFrame) -> DataFrame:
-    """(page_id, table, cell, header): the texts of each table's header row, the last of its head or a first row of header cells only.
-
-    A header row with a cell over several columns names none.
-    """
-    cells = found.where("tag in ('td', 'th') and table is not null and line is not null and cell is not null")
-    lines = cells.groupBy("page_id", "table", "line").agg(
-        F.bool_or("head").alias("head"), F.bool_and(F.col("tag") == "th").alias("all_th"), F.max(F.coalesce(F.try_to_number(_attr("colspan"), F.lit("9999")).cast("int"), F.lit(1))).alias("span")
-    )
-    named = lines.groupBy("page_id", "table").agg(F.coalesce(F.max(F.when(F.col("head"), F.struct("line", "span"))), F.min(F.when((F.col("line") == 0) & F.col("all_th"), F.struct("line", "span")))).alias("h"))
-    wanted = named.where("h.span <= 1").select("page_id", "table", F.col("h.line").alias("line"))
-    return cells.join(wanted, ["page_id", "table", "line"]).groupBy("page_id", "table", "cell").agg(F.min_by(_header_text(), "node").alias("header"))
