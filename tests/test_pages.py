@@ -187,3 +187,29 @@ def test_trees_of_pages_are_remembered_without_their_texts():
     first, second = (html.read(f"<table><tr><th>{h}<tr><td>{v}</table><button>{v}</button>") for h, v in (("One", "a"), (" ", " b &amp; c")))
     assert [(n["own"], n["header"], n["element_type"]) for n in first[2:]] == [("One", None, "text"), ("", None, None), ("a", "One", "text"), ("a", None, "button")]
     assert [(n["own"], n["header"], n["element_type"]) for n in second[2:]] == [(" ", None, None), ("", None, None), (" b & c", None, "text"), (" b & c", None, "button")]
+
+
+def test_pages_taken_together_are_read_as_one_by_one(monkeypatch):
+    made = [
+        '<table role="grid"><tr><th>{0}<th><i>{1}</i></tr><tr><td>{1}<td>{2}<br/>{0}</table>',
+        '<div role="grid"><p role="row"><b role="columnheader">{0}<u>{1}</u></b></p><div role="row"><i role="cell"><b>{1}</b>{2}</i></div></div>{0}',
+        '<a href="/">{0}<b>{1}</b></a><button title="t"></button><li role="row">{2}<img alt="x">{0}<style/>{1}',
+        "{0}<p>{1}",
+        '<label for="a">{0}</label><input id="a" value="{1}">',
+        "<p>{0}<p><!-- -->{1}",
+    ]
+    said = ["", " ", "a", " two  words ", "é\n\U0001f600", "x > y", "a &amp; b", "\xa0", "long " * 60, "n" * 121]
+    pages = [m.format(said[k % 10], said[k // 10 % 10], said[(k + k // 10) % 10]) for k in range(200) for m in made]
+    batch = pa.RecordBatch.from_pydict({"page_id": [*range(len(pages)), -1], "html": [*pages, None]})
+
+    def elements():
+        found = [r for b in html._run(iter([batch]), shown=True) for r in b.to_pylist()]
+        for r in found:  # an element that says its own text isn't asked for its whole one, others only for as much as is shown
+            r["whole"] = None if r["element_type"] == "text" else " ".join((r["whole"] or "").split())[: html.MOST_VALUE + 1]
+        return sorted(found, key=lambda r: (r["page_id"], r["node"]))
+
+    together = sum(len(rows) for _, rows in html._alike(batch.column(1)))
+    got = elements()
+    monkeypatch.setattr(html, "_MANY", 1_000_000)
+    assert got == elements() and len(got) > 2_000 and 300 < together < 700
+    assert {r["header"] for r in got} > {None, "a", "two words", "n" * 120 + "…"}

@@ -23,10 +23,12 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 from html import unescape
 from html.parser import HTMLParser
-from itertools import accumulate
+from itertools import accumulate, compress
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +74,10 @@ _START = re.compile(r'([A-Za-z][A-Za-z0-9]*)((?:[ \t\n]+[A-Za-z][-A-Za-z0-9]*="[
 _END = re.compile(r"/([A-Za-z][A-Za-z0-9]*)")
 _ATTR = re.compile(r'([A-Za-z][-A-Za-z0-9]*)="([^"]*)"')
 #: Tags are remembered by their text, and the trees of pages by their tags, as sites repeat them: how many, and of what length at most.
-_SOME_TAGS, _SHORT_TAG, _SOME_PAGES, _SHORT_PAGE = 4_096, 200, 128, 16_384
+_SOME_TAGS, _SHORT_TAG, _SOME_PAGES, _SHORT_PAGE = 4_096, 200, 128, 8_192
+#: Of so many pages at a time, those with one tree are taken together if there are many, up to so many texts; and how often
+#: on average a text may be in what is asked of such pages.
+_CHUNK, _MANY, _TEXTS, _SPANS = 10_000, 16, 200_000, 8
 #: Pages that are turned into nodes at a time, and nodes that are sent on at a time: they bound what a Python worker holds.
 _PAGES, _BATCH = 32, 5_000
 
@@ -202,8 +207,8 @@ class _Reader(HTMLParser):
 class _Tree:
     """The nodes that a sequence of tags makes, and which of them refers to which, whatever the texts between the tags say.
 
-    There is a text before each tag and one behind the last; ``owner`` has the node that each belongs to, and those below a
-    node are the ones from its ``begun`` to its ``upto``. An open node is its tag, its number and what its children
+    There is a text before each tag and one behind the last; ``owner`` has the node that each belongs to (those of none are
+    ``dropped``), and those below a node are the ones from its ``begun`` to its ``upto``. An open node is its tag, its number and what its children
     inherit; ``places`` has the open ones of each tag. Each tag is opened and closed once: nothing is looked for along the open nodes.
     """
 
@@ -226,6 +231,7 @@ class _Tree:
                 self._begin(tag)
         self.owner.append(self.open[-1][1] if self.open else None)
         self._close(0)
+        self.dropped = [k for k, node in enumerate(self.owner) if node is None]
         self._refer()
         del self.nears, self.referring, self.open, self.places
 
@@ -330,8 +336,11 @@ class _Tree:
         if grid_cells or self.header:
             self.header |= {k: in_grid.get(near["grid_cell"]) for k, near in enumerate(nears) if near["grid_cell"] is not None}
         self.headers = {k for k in self.header.values() if k is not None}
-        asked = {i for by in named.values() for i in by.split()}
-        self.wholes = [k for k, tag in enumerate(tags) if tag.whole or (asked and tag.attrs.get("id") in asked)]
+        by_id = {i for by in named.values() for i in by.split()}
+        self.asked = self.headers | {k for k, tag in enumerate(tags) if tag.kind and tag.whole}
+        spans = sum(self.upto[k] - self.begun[k] for k in self.asked)
+        self.flat = labels is None and not named and not chosen and spans <= _SPANS * len(self.owner)
+        self.wholes = [k for k, tag in enumerate(tags) if tag.whole or (by_id and tag.attrs.get("id") in by_id)]
         self.kinds = {k: tag.kind for k, tag in enumerate(tags) if tag.kind is not None}
 
     def _headers(self, cells: list[int]) -> dict[tuple[int, int], int]:
@@ -419,9 +428,9 @@ def _enough(text: str, start: int, end: int) -> str:
     return some
 
 
-def _header_text(own: str, whole: str) -> str | None:
-    """A header's own text, or its whole one; ``clamped``."""
-    text = _SPACES.sub(" ", own).strip(" ") or _SPACES.sub(" ", whole).strip(" ")
+def _header_text(text: str) -> str | None:
+    """``clamped``."""
+    text = _SPACES.sub(" ", text).strip(" ")
     return f"{text[:MOST_LABEL]}…" if len(text) > MOST_LABEL else text or None
 
 
@@ -429,16 +438,16 @@ def _columns(page: str | None, shown: bool = False) -> dict[str, list]:
     """The nodes of one page in document order, a list for each field of NODE; or, in any order, those that are elements (``shown``)."""
     tree, texts = _taken(page or "")
     tags, said = tree.tags, defaultdict(list)
-    for k, text in zip(tree.owner, texts, strict=True):
-        if text and k is not None:
-            said[k].append(text)
+    for k in tree.dropped:
+        texts[k] = ""
+    for k, text in compress(zip(tree.owner, texts, strict=True), texts):
+        said[k].append(text)
     own = {k: "".join(some) for k, some in said.items()}
     whole = {}
     if tree.wholes:
-        kept = [text if k is not None else "" for k, text in zip(tree.owner, texts, strict=True)]
-        text, at = "".join(kept), [0, *accumulate(map(len, kept))]
+        text, at = "".join(texts), [0, *accumulate(map(len, texts))]
         whole = {k: _enough(text, at[tree.begun[k]], at[tree.upto[k]]) for k in tree.wholes}
-    headers = {k: _header_text(own.get(k, ""), whole[k]) for k in tree.headers}
+    headers = {k: _header_text(own.get(k, "")) or _header_text(whole[k]) for k in tree.headers}
     spoken = [k for k, text in own.items() if tags[k].speaking and text.strip(_SPACE)]
     kinds = tree.kinds | dict.fromkeys(spoken, "text")
     wanted = list(kinds if shown else range(len(tags)))
@@ -469,9 +478,15 @@ def read(page: str | None) -> list[dict]:
 def _run(batches: Iterator[pa.RecordBatch], shown: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, found = [], {f.name: [] for f in NODE}
-        for at in range(0, batch.num_rows, _PAGES):
-            part = batch.slice(at, _PAGES)
-            for page, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+        for at in range(0, batch.num_rows, _CHUNK):
+            chunk = batch.slice(at, _CHUNK)
+            if shown:
+                rest = np.ones(chunk.num_rows, bool)
+                for tree, rows in _alike(chunk.column(1)):
+                    yield from _together(tree, chunk.column(0).take(rows), chunk.column(1).take(rows))
+                    rest[rows] = False
+                chunk = chunk.filter(pa.array(rest))
+            for page, text in _pages(chunk):
                 columns = _columns(text, shown)
                 made = len(columns["node"])
                 if ids and len(ids) + made > _BATCH:
@@ -483,6 +498,71 @@ def _run(batches: Iterator[pa.RecordBatch], shown: bool = False) -> Iterator[pa.
         yield from _rows(ids, found)
 
 
+def _pages(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None]]:
+    for at in range(0, batch.num_rows, _PAGES):
+        part = batch.slice(at, _PAGES)
+        yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+
+
+def _alike(pages: pa.Array) -> Iterator[tuple[_Tree, np.ndarray]]:
+    """Trees that many short pages have, whose tags are plain and refer to no labels or options, and where these pages are."""
+    short = pc.and_(pc.less_equal(pc.binary_length(pages), _SHORT_PAGE), pc.invert(pc.match_substring(pages, "&")))
+    at = np.flatnonzero(short.fill_null(False).to_numpy(zero_copy_only=False))
+    tags = pc.replace_substring_regex(pages.take(pa.array(at)), pattern=">[^<]+", replacement=">").dictionary_encode()
+    codes = tags.indices.to_numpy()
+    order, counts = np.argsort(codes, kind="stable"), np.bincount(codes, minlength=len(tags.dictionary))
+    for code, end in enumerate(np.cumsum(counts)):
+        if counts[code] < _MANY:
+            continue
+        before, *parts = tags.dictionary[code].as_py().split("<")
+        if not before and all(p.endswith(">") for p in parts) and (tree := _known_tree(tuple(p[:-1] for p in parts))) and tree.flat:
+            rows, step = at[order[end - counts[code] : end]], max(_MANY, _TEXTS // len(tree.owner))
+            for k in range(0, len(rows), step):
+                yield tree, rows[k : k + step]
+
+
+def _joined(columns: list[pa.Array]) -> pa.Array:
+    return pc.binary_join_element_wise(*columns, "") if len(columns) > 1 else columns[0]
+
+
+def _together(tree: _Tree, ids: pa.Array, pages: pa.Array) -> Iterator[pa.RecordBatch]:
+    """What ``_columns`` has of the elements of pages that have one tree, node by node; without the whole of texts, which nobody asks for."""
+    size, width = len(pages), 2 * len(tree.owner) - 1
+    pieces = pc.split_pattern(pc.split_pattern(pages, "<").flatten(), ">", max_splits=1).flatten().cast(pa.string())
+    filled = (pc.binary_length(pieces).to_numpy().reshape(size, width)[:, ::2] > 0).any(axis=0)
+    texts = {k: pieces.take(pa.array(np.arange(2 * k, len(pieces), width))) for k in np.flatnonzero(filled).tolist() if tree.owner[k] is not None}
+    said = defaultdict(list)
+    for k, column in texts.items():
+        said[tree.owner[k]].append(column)
+    blank, null = pa.repeat(pa.scalar("", pa.string()), size), pa.nulls(size, pa.string())
+    own = {k: _joined(columns) for k, columns in said.items()}
+    whole = {k: _joined([texts[i] for i in range(tree.begun[k], tree.upto[k]) if i in texts] or [blank]) for k in tree.asked}
+    headers = {k: pc.coalesce(_header_texts(own.get(k, blank)), _header_texts(whole[k])) for k in tree.headers}
+    wanted = sorted(tree.kinds | dict.fromkeys(k for k in own if tree.tags[k].speaking))
+    if not wanted:
+        return
+    tags, none = [tree.tags[k] for k in wanted], [None] * len(wanted)
+    same = {f.name: none for f in NODE} | {"node": wanted, "last": [tree.last[k] for k in wanted], "tag": [t.name for t in tags], "attrs": [t.attrs for t in tags]}
+    same |= {"row": [tree.row[k] for k in wanted], "element_type": [t.kind or "text" for t in tags]}
+    nodes = pa.Table.from_batches(_rows(none, same)).combine_chunks().take(pa.array(np.repeat(np.arange(len(wanted)), size)))
+    differ = {
+        "page_id": [ids] * len(wanted),
+        "own": [own.get(k, blank) for k in wanted],
+        "whole": [whole[k] if t.kind and t.whole else null for k, t in zip(wanted, tags, strict=True)],
+        "header": [headers.get(tree.header.get(k), null) for k in wanted],
+    }
+    for name, columns in differ.items():
+        nodes = nodes.set_column(nodes.column_names.index(name), name, pa.concat_arrays(columns))
+    speak = pc.not_equal(pc.utf8_trim(nodes["own"], characters=_SPACE), "")
+    kinds = pa.array(np.repeat([t.kind is not None for t in tags], size))
+    yield from nodes.filter(pc.or_(speak, kinds)).combine_chunks().to_batches(max_chunksize=_BATCH)
+
+
+def _header_texts(column: pa.Array) -> pa.Array:
+    said = column.dictionary_encode()  # headers say few different things
+    return pa.array([_header_text(text) for text in said.dictionary.to_pylist()], pa.string()).take(said.indices)
+
+
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", shown: bool = False) -> DataFrame:
     """(page_id, node, tag, attrs, own, whole, ...) of every tag of every page, or of those that are elements (``shown``)."""
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(html).alias("html")).where("html is not null")
