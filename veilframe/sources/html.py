@@ -155,12 +155,13 @@ def _plain(tag: str) -> _Tag | str | None:
 
 
 class _Reader(HTMLParser):
-    """The tags of a page that is not plain, each with the text before it: a start tag, the name of an end tag, or None behind further text."""
+    """The tags of a page that is not plain, each with the text before it: a start tag, the name of an end tag, or None between two texts."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tags: list[_Tag | str | None] = []
         self.texts: list[str] = []
+        self.text = ""
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         return self.parse_bogus_comment(i)  # what browsers make of any "<!["
@@ -173,35 +174,37 @@ class _Reader(HTMLParser):
         return j  # nobody asks for lines
 
     def parse_starttag(self, i: int) -> int:
-        return self._plain_tag(_START, i) or super().parse_starttag(i)
+        met = _START.match(self.rawdata, i + 1)
+        if not met or not self.rawdata.startswith(">", met.end()) or (tag := _plain(met[0])) is None:
+            return super().parse_starttag(i)
+        self._add(tag)
+        return met.end() + 1
 
     def parse_endtag(self, i: int) -> int:
-        return (None if self.cdata_elem else self._plain_tag(_END, i)) or super().parse_endtag(i)
-
-    def _plain_tag(self, kind: re.Pattern, i: int) -> int | None:
-        """Takes the tag at place ``i``, if it is plain; where it ends."""
-        met = kind.match(self.rawdata, i + 1)
-        if not met or not self.rawdata.startswith(">", met.end()) or (tag := _plain(met[0])) is None:
-            return None
-        self.texts.append("")
-        self.tags.append(tag)
+        met = None if self.cdata_elem else _END.match(self.rawdata, i + 1)
+        if not met or not self.rawdata.startswith(">", met.end()):
+            return super().parse_endtag(i)
+        self._add(met[1].lower())
         return met.end() + 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self._add("", _start(tag, {k: v or "" for k, v in reversed(attrs)}))
+        self._add(_start(tag, {k: v or "" for k, v in reversed(attrs)}))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        self._add("", tag)
+        self._add(tag)
 
     def handle_data(self, data: str) -> None:
-        self._add(data, None)
+        if self.text:
+            self._add(None)
+        self.text = data
 
-    def _add(self, text: str, tag: _Tag | str | None) -> None:
-        self.texts.append(text)
+    def _add(self, tag: _Tag | str | None) -> None:
+        self.texts.append(self.text)
         self.tags.append(tag)
+        self.text = ""
 
 
 class _Tree:
@@ -223,13 +226,15 @@ class _Tree:
         self.owner: list[int | None] = []
         self.open: list[tuple[str, int | None, dict]] = []
         self.places: dict[str, list[int]] = defaultdict(list)
+        opened, owner, places = self.open, self.owner, self.places
         for tag in tags:
-            self.owner.append(self.open[-1][1] if self.open else None)
+            owner.append(opened[-1][1] if opened else None)
             if isinstance(tag, str):
-                self._end(tag)
+                if at := places.get(tag):
+                    self._close(at[-1])
             elif tag is not None:
                 self._begin(tag)
-        self.owner.append(self.open[-1][1] if self.open else None)
+        owner.append(opened[-1][1] if opened else None)
         self._close(0)
         self.dropped = [k for k, node in enumerate(self.owner) if node is None]
         self._refer()
@@ -247,13 +252,9 @@ class _Tree:
     def _nearest(self, names: tuple[str, ...]) -> int:
         return max((p[-1] for n in names if (p := self.places.get(n))), default=-1)
 
-    def _end(self, name: str) -> None:
-        if at := self.places.get(name):
-            self._close(at[-1])
-
     def _begin(self, tag: _Tag) -> None:
-        if tag.block:
-            self._end("p")
+        if tag.block and (at := self.places.get("p")):
+            self._close(at[-1])
         if tag.ends:
             own, limit = map(self._nearest, tag.ends)
             if own > limit:
@@ -416,8 +417,9 @@ def _taken(page: str) -> tuple[_Tree, list[str]]:
     end = page.rfind(">") + 1  # behind the last one no tag is whole: what has begun there is dropped
     reader.feed(page[:end])
     reader.close()
-    rest = "" if reader.cdata_elem else unescape(_BEGUN.split(page[end:], maxsplit=1)[0])
-    return _Tree(reader.tags), [*reader.texts, rest]
+    if end < len(page) and not reader.cdata_elem:
+        reader.handle_data(unescape(_BEGUN.split(page[end:], maxsplit=1)[0]))
+    return _Tree(reader.tags), [*reader.texts, reader.text]
 
 
 def _enough(text: str, start: int, end: int) -> str:
